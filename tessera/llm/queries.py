@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, mixing, quality, token_counts
+from tessera.llm import bpe, chat, lm, minhash, mixing, quality, token_counts, topk
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_counts.op1_token_counts,
         chat.op2_prefix_targets,
+        topk.op3_exact_top_k,
         quality.op4_quality_rules,
+        lm.op7_bloom_lm_scores,
         bpe.op8_bpe_encode_decode,
         mixing.op9_poisson_mixing,
+        minhash.op10_minhash_near_dedup,
     )
 }
-SQL = {"op2_prefix_targets": chat.SQL, "op4_quality_rules": quality.SQL, "op9_poisson_mixing": mixing.SQL}
+SQL = {
+    "op2_prefix_targets": chat.SQL,
+    "op3_exact_top_k": topk.SQL,
+    "op4_quality_rules": quality.SQL,
+    "op9_poisson_mixing": mixing.SQL,
+    "op10_minhash_near_dedup": minhash.SQL,
+}
