@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality
+from tessera.llm import bpe, lines, minhash, mixing, quality
 from tessera.llm.common import materialize, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Removed ids up to this many are broadcast; more go by a shuffle.
+SMALL_ROWS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +17,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_policy(quality.ledger(docs)).where("kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that match an earlier one; n_chars follows the text, and no document goes."""
+    out = lines.dedup_lines(docs)
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates (five words, 0.8). Rows of one id stay together."""
+    gone = materialize(minhash.near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, shuffled."""
     return mixing.mix(docs).select(*docs.columns)
@@ -25,7 +39,14 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe.decode(bpe.encode(docs))
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources), ("bpe_round_trip", bpe_round_trip)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_round_trip", bpe_round_trip),
+]
+#: No SQL for BPE ids; tests/llm holds the run against brute force.
 ORACLE_SQL = None
 
 
