@@ -1 +1,3 @@
+"""Queries over the generated tables; importing this package registers them."""
 
+from tessera.plans import evaluation, places, retrieval, texts  # noqa: F401
