@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, lines, lm, minhash, mixing, quality, token_counts, topk
+from tessera.llm import bpe, chat, lines, lm, minhash, mixing, quality, suffix, token_counts, topk
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         chat.op2_prefix_targets,
         topk.op3_exact_top_k,
         quality.op4_quality_rules,
+        suffix.op5_suffix_array_dedup,
         lines.op6_line_dedup,
         lm.op7_bloom_lm_scores,
         bpe.op8_bpe_encode_decode,
