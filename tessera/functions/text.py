@@ -21,6 +21,12 @@ def _nn(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def once(df: DataFrame, *columns: Column) -> DataFrame:
+    """df with more columns, each computed once a row: a one-row generator keeps the optimizer from copying costly
+    expressions into every place that uses them."""
+    return df.select("*", F.explode(F.array(F.struct(*columns))).alias("__once")).select(*df.columns, "__once.*")
+
+
 def clean_text(c: Column, max_chars: int | None = None) -> Column:
     """Null is empty; lower case; ё as е; then the prefix."""
     t = F.replace(F.lower(_nn(c)), F.lit("ё"), F.lit("е"))

@@ -31,8 +31,8 @@ def candidate_ceiling(spark, sf):
 
 
 @query(f"""WITH {POOL_CTE}, cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, item_id) AS r2 FROM pool), t AS (SELECT DISTINCT * FROM truth),
-d AS (SELECT query_id, (count(*) FILTER (WHERE r2 <= 10) - count(*) FILTER (WHERE rank <= 10))::DOUBLE / any_value(n) AS d FROM (SELECT t.*, count(*) OVER (PARTITION BY t.query_id) AS n, rank, r2 FROM t LEFT JOIN cr USING (query_id, item_id)) GROUP BY query_id)
-SELECT count(*)::BIGINT AS n_queries, round(avg(d), 6) AS delta, round(stddev_samp(d) / sqrt(count(*)), 6) AS standard_error, count(*) FILTER (WHERE d > 1e-12) AS improved, count(*) FILTER (WHERE d < -1e-12) AS worsened FROM d""")
+dl AS (SELECT query_id, (count(*) FILTER (WHERE r2 <= 10) - count(*) FILTER (WHERE rank <= 10))::DOUBLE / any_value(n) AS d FROM (SELECT t.*, count(*) OVER (PARTITION BY t.query_id) AS n, rank, r2 FROM t LEFT JOIN cr USING (query_id, item_id)) GROUP BY query_id)
+SELECT count(*)::BIGINT AS n_queries, round(avg(d), 6) AS delta, round(stddev_samp(d) / sqrt(count(*)), 6) AS standard_error, count(*) FILTER (WHERE d > 1e-12) AS improved, count(*) FILTER (WHERE d < -1e-12) AS worsened FROM dl""")
 def paired_delta(spark, sf):
     t = truth(spark, sf)
     a, b = metrics.recall_per_query(_ranked(spark, sf), t, 10), metrics.recall_per_query(_ranked(spark, sf, "n_chars"), t, 10)
@@ -88,7 +88,7 @@ def cold_flags(spark, sf):
     return split.cold_flags(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text")), h)
 
 
-FIT = "held AS (SELECT DISTINCT p_partkey AS item_id FROM part WHERE p_partkey % 10 = 0), ct AS (SELECT DISTINCT p_name AS text FROM part WHERE p_size = 7), fit AS (SELECT * FROM ev WHERE item_id NOT IN (SELECT item_id FROM held) AND text NOT IN (SELECT text FROM ct))"
+FIT = "held AS (SELECT DISTINCT p_partkey AS item_id, p_name AS text FROM part WHERE p_partkey % 10 = 0), ct AS (SELECT DISTINCT p_name AS text FROM part WHERE p_size = 7), fit AS (SELECT * FROM ev WHERE item_id NOT IN (SELECT item_id FROM held) AND text NOT IN (SELECT text FROM ct))"
 
 
 def _fit(spark, sf):
@@ -139,7 +139,7 @@ def validate_answer(spark, sf):
 
 TAGS = f"""{POOL_CTE}, t AS (SELECT DISTINCT * FROM truth), rel AS (SELECT *, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-6) AS lex FROM pool),
 dis AS (SELECT query_id, lex AS d_lex, cov AS d_cov FROM rel WHERE (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1),
-mi AS (SELECT t.query_id, t.item_id, rank, lex, cov FROM t LEFT JOIN rel USING (query_id, item_id) WHERE rank IS NULL OR rank > 2),
+mi AS (SELECT t.query_id, t.item_id, rank, lex, cov FROM t LEFT JOIN rel USING (query_id, item_id) WHERE rank IS NULL OR rank > 0),
 tg AS (SELECT query_id, item_id, CASE WHEN rank IS NULL THEN ['candidate_miss'] ELSE list_filter([CASE WHEN rank > 50 AND rank <= 100 THEN 'close_rank' END, CASE WHEN item_id % 2 = 0 THEN 'location_difference' END,
   CASE WHEN lex < 2e-1 OR (cov < 25e-2 AND lex + 25e-2 < d_lex) THEN 'low_lexical' END, CASE WHEN cov < 15e-2 OR cov + 15e-2 < d_cov THEN 'low_semantic' END, CASE WHEN item_id % 3 = 0 THEN 'class_difference' END], lambda x: x IS NOT NULL) END AS tags FROM mi JOIN dis USING (query_id))"""
 
@@ -148,7 +148,7 @@ def _tagged(spark, sf):
     t = truth(spark, sf).distinct()
     rel = pool(spark, sf).withColumn("lexical", ranking.relative(F.col("bm25")))
     dis = diagnostics.first_distractor(rel, t).select("query_id", F.col("lexical").alias("d_lexical"), F.col("cov").alias("d_semantic"))
-    m = diagnostics.missed(rel, t, 2).join(rel.select("query_id", "item_id", "lexical", "cov"), ["query_id", "item_id"], "left").join(dis, "query_id")
+    m = diagnostics.missed(rel, t, 0).join(rel.select("query_id", "item_id", "lexical", "cov"), ["query_id", "item_id"], "left").join(dis, "query_id")
     m = m.withColumn("same", (F.col("item_id") % 2 != 0).cast("double")).withColumn("title_coverage", F.col("cov")).withColumn("semantic", F.col("cov")).withColumn("same_class", F.col("item_id") % 3 != 0)
     return m.withColumn("tags", diagnostics.error_tags())
 

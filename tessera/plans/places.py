@@ -20,7 +20,7 @@ def popularity(spark, sf):
     return history.popularity(events(spark, sf).where("category <> 'PROMO'"), items).withColumn("popularity", F.round("popularity", 6))
 
 
-@query(f"WITH {EVENTS} SELECT search_location, item_location, count(*)::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY search_location), 6) AS prob FROM ev GROUP BY ALL")
+@query(f"WITH {EVENTS} SELECT search_location, item_location, count(*)::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY search_location), 6) AS prob FROM ev GROUP BY search_location, item_location")
 def location_prob(spark, sf):
     return history.location_probability(events(spark, sf)).withColumn("prob", F.round("prob", 6))
 
@@ -47,7 +47,7 @@ def location_mode(spark, sf):
 
 @query(f"""WITH {EVENTS}, {CENTRES}, {MODE}, own AS (SELECT * FROM ce WHERE item_location % 6 <> 1),
 sc AS (SELECT search_location, coalesce(o.lat, a.lat) AS lat, coalesce(o.lon, a.lon) AS lon FROM mo LEFT JOIN own o ON o.item_location = search_location LEFT JOIN own a ON a.item_location = mode),
-pr AS (SELECT search_location, item_location, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY search_location) AS prob FROM ev GROUP BY ALL),
+pr AS (SELECT search_location, item_location, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY search_location) AS prob FROM ev GROUP BY search_location, item_location),
 x AS (SELECT s.search_location, c.item_location, (s.search_location = c.item_location)::INT::DOUBLE AS same, coalesce(prob, 0e0) AS prob,
   CASE WHEN coalesce(s.lat, 0e0) = 0 THEN 2e4 ELSE sqrt(pow(c.lat - s.lat, 2e0) + pow((c.lon - s.lon) * cos(radians(s.lat)), 2e0)) * 111e0 END AS km FROM sc s CROSS JOIN ce c LEFT JOIN pr USING (search_location, item_location))
 SELECT search_location, item_location, same, round(prob, 6) AS prob, round(km, 4) AS km, round(greatest(same, prob, exp(-km / 5e1) * 35e-2), 6) AS geo FROM x""")
@@ -60,7 +60,7 @@ def geo_blend(spark, sf):
     return s.select("search_location", "item_location", "same", F.round("prob", 6).alias("prob"), F.round("km", 4).alias("km"), F.round(N.geo_blend(F.col("same"), F.col("prob"), F.col("km")), 6).alias("geo"))
 
 
-@query(f"WITH {EVENTS} SELECT text, class, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text), 6) AS vote FROM ev GROUP BY ALL")
+@query(f"WITH {EVENTS} SELECT text, class, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text), 6) AS vote FROM ev GROUP BY text, class")
 def text_class_votes(spark, sf):
     return history.class_votes(events(spark, sf)).withColumn("vote", F.round("vote", 6))
 
@@ -74,8 +74,8 @@ def _tfidf(name: str, source: str) -> str:
 
 NEAR = rf"""tx AS (SELECT DISTINCT text FROM ev), tn AS (SELECT count(*) AS n FROM tx), tk AS (SELECT text, list_filter({tok('text')}, lambda x: len(x) > 1) AS t FROM tx),
 wp AS (SELECT text, term, count(*) AS tf FROM (SELECT text, unnest(list_concat(list_transform(t, lambda x: 'w:' || x), list_transform(range(1, len(t)), lambda i: 'b:' || t[i] || '_' || t[i + 1]))) AS term FROM tk) GROUP BY ALL),
-gw AS (SELECT text, ' ' || unnest({tok('text')}) || ' ' AS w FROM tx),
-gp AS (SELECT text, substring(w, i::BIGINT, n) AS term, count(*) AS tf FROM (SELECT text, w, k.n, unnest(range(1, greatest(len(w) - k.n + 1, 1) + 1)) AS i FROM gw, (SELECT unnest([3, 4, 5]) AS n) k WHERE k.n = 3 OR len(w) > k.n - 1) GROUP BY text, term),
+gwd AS (SELECT text, ' ' || unnest({tok('text')}) || ' ' AS w FROM tx),
+gp AS (SELECT text, substring(w, i::BIGINT, n) AS term, count(*) AS tf FROM (SELECT text, w, k.n, unnest(range(1, greatest(len(w) - k.n + 1, 1) + 1)) AS i FROM gwd, (SELECT unnest([3, 4, 5]) AS n) k WHERE k.n = 3 OR len(w) > k.n - 1) GROUP BY text, term),
 {_tfidf('w', 'wp')}, {_tfidf('g', 'gp')},
 bt AS (SELECT text, 'word ' || term AS term, w * 8e-1 AS w FROM wu UNION ALL SELECT text, 'char ' || term, w * 6e-1 FROM gu), vu AS (SELECT text, term, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM bt),
 ns AS (SELECT a.text, b.text AS neighbour, round(sum(a.w * b.w), 6) AS sim FROM vu a JOIN vu b USING (term) GROUP BY ALL),
@@ -87,7 +87,7 @@ def _near(spark, sf):
     return history.neighbours(v, 25)
 
 
-@query(f"""WITH {EVENTS}, {NEAR}, vo AS (SELECT text, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text) AS vote FROM ev WHERE class <> 'Brand#11' GROUP BY ALL),
+@query(f"""WITH {EVENTS}, {NEAR}, vo AS (SELECT text, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text) AS vote FROM ev WHERE class <> 'Brand#11' GROUP BY text, class),
 s AS (SELECT nb.text, class, sum(pow(sim, 5e0) * vote) AS s FROM nb JOIN vo ON vo.text = neighbour GROUP BY ALL), p AS (SELECT text, class, s / sum(s) OVER (PARTITION BY text) AS p FROM s)
 SELECT text, class, round(coalesce(vote, 0e0) * 75e-2 + coalesce(p, 0e0) * 25e-2, 4) AS vote FROM p FULL JOIN vo USING (text, class)""")
 def knn_text_votes(spark, sf):
@@ -161,7 +161,7 @@ def smoothed_rate(spark, sf):
     return remote.smoothed_rate(e, "class", "open").withColumn("rate", F.round("rate", 6))
 
 
-@query(f"""WITH {EVENTS}, {RATE}, vo AS (SELECT text, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text) AS prob FROM ev GROUP BY ALL), ex AS (SELECT text, sum(prob * rate) / sum(prob) AS expected FROM vo JOIN ra USING (class) GROUP BY text),
+@query(f"""WITH {EVENTS}, {RATE}, vo AS (SELECT text, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text) AS prob FROM ev GROUP BY text, class), ex AS (SELECT text, sum(prob * rate) / sum(prob) AS expected FROM vo JOIN ra USING (class) GROUP BY text),
 tm AS (SELECT text, avg(rate) AS text_rate FROM (SELECT text, class FROM ev WHERE search_location = 3) JOIN ra USING (class) GROUP BY text)
 SELECT text AS query_id, round(expected, 6) AS expected, round(coalesce(text_rate, expected), 6) AS prior FROM ex LEFT JOIN tm USING (text)""")
 def expected_rate(spark, sf):

@@ -9,10 +9,19 @@ from tessera.queries import query
 from tessera.sources.adapters import POOL_CTE, benchmark, documents, fields, pool, table, tok, truth
 
 
-@query(f"WITH {POOL_CTE} SELECT query_id, item_id, rank, round(bm25, 4) AS score FROM top WHERE rank <= 50")
+def cut(c, digits: int):
+    """Rounds a score that was rounded before: the same double operations in every engine."""
+    return F.floor(F.col(c) * 10.0**digits + 0.5) / 10.0**digits
+
+
+def cut_sql(c: str, digits: int) -> str:
+    return f"floor({c} * 1e{digits} + 5e-1) / 1e{digits}"
+
+
+@query(f"WITH {POOL_CTE} SELECT query_id, item_id, rank, {cut_sql('bm25', 4)} AS score FROM top WHERE rank <= 50")
 def bm25_top50(spark, sf):
     s = ranking.top_k(search.bm25_search(documents(spark, sf), benchmark(spark, sf)), 50)
-    return s.select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+    return s.select("query_id", "item_id", "rank", cut("score", 4).alias("score"))
 
 
 def _feats(t: str) -> str:
@@ -40,21 +49,20 @@ def _fielded(spark, sf):
     return search.search(search.fit_fields(fields(spark, sf), _THREE), search.query_terms(benchmark(spark, sf)))
 
 
-@query(f"WITH {FIELDED_CTE} SELECT query_id, item_id, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, item_id) AS rank FROM fsc WHERE score > 0) WHERE rank <= 50")
+@query(f"WITH {FIELDED_CTE} SELECT query_id, item_id, rank, score FROM (SELECT query_id, item_id, {cut_sql('score', 4)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {cut_sql('score', 4)} DESC, item_id) AS rank FROM fsc WHERE score > 0) WHERE rank <= 50")
 def bm25_fielded(spark, sf):
-    s = ranking.top_k(_fielded(spark, sf).withColumn("score", F.round("score", 4)), 50)
-    return s.select("query_id", "item_id", "rank", F.round("score", 3).alias("score"))
+    return ranking.top_k(_fielded(spark, sf).withColumn("score", cut("score", 4)), 50).select("query_id", "item_id", "rank", "score")
 
 
 @query(f"""WITH {FIELDED_CTE}, pr AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM benchmark b, documents WHERE (b.item_id + doc_id) % 37 = 0)
-SELECT query_id, item_id, round(coalesce(score, 0e0), 3) AS score FROM pr LEFT JOIN fsc USING (query_id, item_id)""")
+SELECT query_id, item_id, {cut_sql('coalesce(score, 0e0)', 3)} AS score FROM pr LEFT JOIN fsc USING (query_id, item_id)""")
 def score_pairs(spark, sf):
     q, d = benchmark(spark, sf).select("query_id"), documents(spark, sf).select("item_id")
     # The hashed pairs of a query set with every item stand in for a caller's list of pairs.
     pairs = q.join(d, (F.col("query_id") + F.col("item_id")) % 37 == 0)
     index = search.fit_fields(fields(spark, sf), _THREE)
     s = search.score_pairs(pairs, index, search.query_terms(benchmark(spark, sf)))
-    return s.select("query_id", "item_id", F.round("score", 3).alias("score"))
+    return s.select("query_id", "item_id", cut("score", 3).alias("score"))
 
 
 TITLE_CTE = f"""ti AS (SELECT doc_id AS item_id, {tok('substring(text, 1, 80)')} AS t FROM documents), tf1 AS (SELECT item_id, {_feats('t')} AS f FROM ti),
@@ -63,10 +71,10 @@ tdf AS (SELECT term, count(*) AS df FROM tp GROUP BY term), tw AS (SELECT term,
 tq AS (SELECT DISTINCT query_id, unnest({_feats('t')}) AS term FROM (SELECT item_id AS query_id, {tok('text')} AS t FROM benchmark))"""
 
 
-@query(f"WITH {TITLE_CTE} SELECT query_id, item_id, round(sum(w), 4) AS score FROM tq JOIN tw USING (term) GROUP BY ALL")
+@query(f"WITH {TITLE_CTE} SELECT query_id, item_id, {cut_sql('score', 4)} AS score FROM (SELECT query_id, item_id, round(sum(w), 6) AS score FROM tq JOIN tw USING (term) GROUP BY ALL)")
 def bm25_title(spark, sf):
     index = search.fit_field_channel(fields(spark, sf), "title")
-    return search.search(index, search.query_terms(benchmark(spark, sf))).select("query_id", "item_id", F.round("score", 4).alias("score"))
+    return search.search(index, search.query_terms(benchmark(spark, sf))).select("query_id", "item_id", cut("score", 4).alias("score"))
 
 
 def _gram_cte(name: str, source: str, key: str) -> str:
@@ -94,11 +102,11 @@ def tfidf_char_cosine(spark, sf):
 
 @query(f"""WITH {FIELDED_CTE}, {TITLE_CTE}, t2 AS (SELECT query_id, item_id, round(sum(w), 6) AS score FROM tq JOIN tw USING (term) GROUP BY ALL),
 a AS (SELECT query_id, item_id, score / max(score) OVER (PARTITION BY query_id) AS a FROM fsc), b AS (SELECT query_id, item_id, score / max(score) OVER (PARTITION BY query_id) AS b FROM t2),
-h AS (SELECT query_id, item_id, round(coalesce(a, 0e0) + coalesce(b, 0e0) * 35e-2, 4) AS score FROM a FULL JOIN b USING (query_id, item_id))
+h AS (SELECT query_id, item_id, {cut_sql('round(coalesce(a, 0e0) + coalesce(b, 0e0) * 35e-2, 6)', 4)} AS score FROM a FULL JOIN b USING (query_id, item_id))
 SELECT query_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM h WHERE score > 0) WHERE r <= 50""")
 def bm25_hybrid(spark, sf):
     title = search.search(search.fit_field_channel(fields(spark, sf), "title"), search.query_terms(benchmark(spark, sf)))
-    h = search.hybrid(_fielded(spark, sf), title).withColumn("score", F.round("score", 4))
+    h = search.hybrid(_fielded(spark, sf), title).withColumn("score", cut("score", 4))
     return ranking.top_k(h, 50).select("query_id", "item_id", "score")
 
 
@@ -106,11 +114,11 @@ _DOT = "list_dot_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_
 
 
 @query(f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 50)
-SELECT query_id, item_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10""")
+SELECT query_id, item_id, rank, {cut_sql('score', 5)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10""")
 def dense_top10(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     q = v.where("item_id < 50").withColumnRenamed("item_id", "query_id")  # the query set of this report
-    return dense.retrieve_top_k(q, v, 10).select("query_id", "item_id", "rank", F.round("score", 5).alias("score"))
+    return dense.retrieve_top_k(q, v, 10).select("query_id", "item_id", "rank", cut("score", 5).alias("score"))
 
 
 @query(f"SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 5) AS score FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 7")

@@ -76,8 +76,8 @@ def pool(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
     """(query_id, item_id, bm25, cov, rank, same_source): the k best documents of each passage, with token coverage."""
     d, q = documents(spark, sf_dir), benchmark(spark, sf_dir)
     top = ranking.top_k(search.bm25_search(d, q), k).withColumnRenamed("score", "bm25")
-    qt = q.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("qt"))
-    dt = d.select("item_id", "source", "n_chars", T.tokens(F.col("text")).alias("dt"))
+    qt = T.once(q, F.array_distinct(T.tokens(F.col("text"))).alias("qt")).select("query_id", "qt")
+    dt = T.once(d, T.tokens(F.col("text")).alias("dt")).select("item_id", "source", "n_chars", "dt")
     j = top.join(qt, "query_id").join(dt, "item_id")
     return j.select("query_id", "item_id", "bm25", F.round(F.size(F.array_intersect("qt", "dt")).cast("double") / F.greatest(F.size("qt"), F.lit(1)), 6).alias("cov"), "rank", "source", "n_chars")
 
