@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage by a Parquet table in the shared folder (one computation; checkpoint() takes two)."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
+    out = spark.read.schema(schema).parquet(path)
     out.kept_at = path
     return out
 
@@ -54,15 +57,37 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+#: Up to so many edges (16 bytes each) one task joins them; more take rounds of aggregations over all tasks.
+SMALL_EDGES = 1_000_000
+
+
+def _union_find(frames):
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for f in frames:
+        for u, v in zip(f["u"].tolist(), f["v"].tolist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pd.DataFrame({"id": ids, "component": [root(x) for x in ids]}, dtype="int64")
+
+
+def components(edges: DataFrame, max_rounds: int = 40, small_edges: int = SMALL_EDGES) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (id, component), the component being its smallest id.
 
-    Alternating large-star and small-star steps, each one aggregation over the edges; every round is written to the
-    shared folder. Ids without an edge don't appear. Edges may repeat, loop, and stand in either direction. No edges
+    A counted set of at most small_edges edges is joined in one task. More take alternating large-star and small-star
+    steps, each one aggregation over the edges; every round is written to the shared folder. Ids without an edge don't appear. Edges may repeat, loop, and stand in either direction. No edges
     give no rows.
     """
     spark = edges.sparkSession
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if e.count() <= small_edges:
+        return e.coalesce(1).mapInPandas(_union_find, "id long, component long")
     mark = None
     for _ in range(max_rounds):
         # Large star: every neighbour above u hangs on the least of u and its neighbours.

@@ -43,37 +43,42 @@ def _prefix(n, percent: int):
 
 
 def _near(alive: DataFrame, percent: int, wide: int) -> DataFrame:
-    """(h1, h2) of the lines in `alive` (h1, h2, at, toks) that match an earlier one, all distinct.
+    """(h1) of the lines in `alive` (h1, at, toks) that match an earlier one, all distinct.
 
-    Tokens in order of rarity among these lines, ties by hash; only tokens of the prefix that occur twice are indexed.
+    Tokens go in order of rarity among these lines, ties by hash; those of the prefix that occur twice are indexed. What
+    occurs once stands first in that order and in no intersection, so it only counts: it never travels.
     """
-    n = F.size("toks")
-    each = alive.select("h1", "h2", F.explode("toks").alias("tok"))
-    rarity = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(rarity, "tok").groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
-    ordered = ordered.select("h1", "h2", F.size("t").alias("n"), F.posexplode(F.slice("t", F.lit(1), _prefix(F.size("t"), percent))).alias("p", "x"))
-    posts = materialize(ordered.where("x.df > 1").select("h1", "h2", "n", "p", F.col("x.tok").alias("tok")).join(alive.select("h1", "h2", "at"), ["h1", "h2"]))
-    x, y = posts.alias("x"), posts.alias("y")
-    fits = (
-        (F.col("x.tok") == F.col("y.tok")) & (F.col("y.at") < F.col("x.at"))
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        # What lies before and after this token can't add more than that to the intersection.
-        & ((F.least("x.p", "y.p") + 1 + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) - 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    )
-
-    def similar(a, b):
-        both = F.size(F.array_intersect(a, b))
-        return both * (100 + percent) >= (F.size(a) + F.size(b)) * percent
+    each = alive.select("h1", F.explode("toks").alias("tok"))
+    common = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1")
+    g = common.groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    g = g.select("h1", F.col("t.tok").alias("t")).join(alive.select("h1", "at", F.size("toks").alias("n")), "h1")
+    g = materialize(g)
+    posts = g.select("h1", "at", "n", F.size("t").alias("m"), "t", F.posexplode("t").alias("i", "tok")).withColumn("p", F.col("n") - F.col("m") + F.col("i"))
+    posts = posts.where(F.col("p") < _prefix(F.col("n"), percent)).drop("i")
+
+    def fits(x, y):
+        c = lambda t, n: F.col(f"{t}.{n}")
+        n = c(x, "n") + c(y, "n")
+        # What lies before and after the shared token can't add more than that to the intersection.
+        most = F.least(c(x, "p"), c(y, "p")) + F.least(c(x, "n") - c(x, "p"), c(y, "n") - c(y, "p"))
+        return (c(x, "tok") == c(y, "tok")) & (c(y, "at") < c(x, "at")) & (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (most * (100 + percent) >= n * percent)
+
+    def similar(a, b, n):
+        return F.size(F.array_intersect(a, b)) * (100 + percent) >= n * percent
 
     # A semi join stops at the first match and returns each posting once at most: no pairs of a group of copies.
-    toks = alive.where(n <= LONG).select("h1", "h2", "toks")
-    short = materialize(posts.where(F.col("n") <= LONG).join(toks, ["h1", "h2"]).repartition(wide, "tok"))
+    short = posts.where(F.col("m") <= LONG).repartition(wide, "tok")
     x, y = short.alias("x"), short.alias("y")
-    found = x.join(y, fits & similar(F.col("x.toks"), F.col("y.toks")), "left_semi").select("h1", "h2")
-    x, y = posts.alias("x"), posts.alias("y")
-    pairs = x.join(y, fits & (F.greatest("x.n", "y.n") > LONG)).select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), F.col("y.h1").alias("g1"), F.col("y.h2").alias("g2")).distinct()
-    pairs = pairs.join(alive.select("h1", "h2", F.col("toks").alias("ta")), ["h1", "h2"]).join(alive.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("toks").alias("tb")), ["g1", "g2"])
-    return found.union(pairs.where(similar(F.col("ta"), F.col("tb"))).select("h1", "h2")).distinct()
+    found = x.join(y, fits("x", "y") & similar(F.col("x.t"), F.col("y.t"), F.col("x.n") + F.col("y.n")), "left_semi").select("h1")
+    # Lines with many common tokens would stand beside too many postings: their pairs meet first, then their tokens.
+    thin = posts.drop("t")
+    x, y = thin.where(F.col("m") > LONG).alias("x"), thin.alias("y")
+    one = x.join(y, fits("x", "y")).select(F.col("x.h1").alias("h1"), F.col("y.h1").alias("g1"))
+    x, y = thin.where(F.col("m") <= LONG).alias("x"), thin.where(F.col("m") > LONG).alias("y")
+    two = x.join(y, fits("x", "y")).select(F.col("x.h1").alias("h1"), F.col("y.h1").alias("g1"))
+    full = g.select("h1", "n", "t")
+    pairs = one.union(two).distinct().join(full, "h1").join(full.toDF("g1", "gn", "gt"), "g1")
+    return found.union(pairs.where(similar(F.col("t"), F.col("gt"), F.col("n") + F.col("gn"))).select("h1")).distinct()
 
 
 def removed_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str = "doc_id", text: str = "text", small_rows: int = SMALL_ROWS) -> DataFrame:
@@ -96,14 +101,15 @@ def removed_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str
     # Rows that repeat a key and its text have the same place: one of them is enough.
     words, tokens = line_tokens(F.col("line"), k)
     made = once.withColumn("w", words).withColumn("toks", tokens(F.col("w")))
-    heads = made.select("h1", "h2", F.explode(F.slice(F.sort_array("toks"), F.lit(1), _prefix(F.size("toks"), percent))).alias("tok"))
+    heads = made.select("h1", F.explode(F.slice(F.sort_array("toks"), F.lit(1), _prefix(F.size("toks"), percent))).alias("tok"))
     shared = heads.withColumn("lo", F.min("h1").over(Window.partitionBy("tok"))).withColumn("hi", F.max("h1").over(Window.partitionBy("tok"))).where("lo <> hi")
-    alive = materialize(shared.select("h1", "h2").distinct())
-    kept = once.join(_sized(alive, small_rows), ["h1", "h2"], "left_semi").withColumn("w", words).withColumn("toks", tokens(F.col("w")))
-    kept = materialize(kept.select("h1", "h2", "at", "toks").dropDuplicates(["h1", "h2"]))
+    alive = materialize(shared.select("h1").distinct())
+    kept = once.join(_sized(alive, small_rows), "h1", "left_semi").withColumn("w", words).withColumn("toks", tokens(F.col("w")))
+    kept = materialize(kept.select("h1", "h2", "at", "toks").dropDuplicates(["h1"]))
     near = materialize(_near(kept, percent, wide).withColumn("near", F.lit(True)))
+    near = near.join(kept.select("h1", "h2"), "h1")
     gone = materialize(copies.join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    for t in (copies, alive, kept, near):
+    for t in (copies, alive, kept):
         discard(t)
     out = lines.withColumn("at", at).join(_sized(gone, small_rows), ["h1", "h2"]).where(F.col("near") | ~F.col("first").eqNullSafe(F.col("at")))
     return out.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
