@@ -78,10 +78,13 @@ def word_features(tok: Column) -> Column:
 def char_grams(tok: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside space-padded words; a word no longer than n gives itself once and nothing longer."""
 
+    def grams(p: Column, n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: p.substr(i, F.lit(n)))
+        return F.when((F.lit(n) == low) | (F.length(p) > n - 1), each).otherwise(F.array().cast("array<string>"))
+
     def of(w: Column) -> Column:
         p = F.concat(F.lit(" "), w, F.lit(" "))
-        each = [F.when((F.lit(n) == low) | (F.length(p) > n - 1), F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i, n=n: p.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*each)
+        return F.concat(*(grams(p, n) for n in range(low, high + 1)))
 
     return F.flatten(F.transform(tok, of))
 

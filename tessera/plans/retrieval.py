@@ -79,8 +79,8 @@ def bm25_title(spark, sf):
 
 def _gram_cte(name: str, source: str, key: str) -> str:
     return (
-        f"{name}w AS (SELECT {key} AS id, ' ' || unnest({tok('t')}) || ' ' AS w FROM {source}),\n"
-        f"{name}p AS (SELECT id, substring(w, i::BIGINT, n) AS term, count(*) AS tf FROM (SELECT id, w, n, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS i FROM {name}w, (SELECT unnest([3, 4, 5]) AS n) WHERE n = 3 OR len(w) > n - 1) GROUP BY ALL)"
+        f"{name}words AS (SELECT {key} AS id, ' ' || unnest({tok('t')}) || ' ' AS w FROM {source}),\n"
+        f"{name}p AS (SELECT id, substring(w, i::BIGINT, n) AS term, count(*) AS tf FROM (SELECT id, w, n, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS i FROM {name}words, (SELECT unnest([3, 4, 5]) AS n) WHERE n = 3 OR len(w) > n - 1) GROUP BY ALL)"
     )
 
 
