@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.numeric import flag, geo_blend, log_positive
 
-#: The order of the features is a contract with trained models.
+#: The order of the features is a contract with trained models.
 FEATURES = [
-    "bm25", "bm25_rel", "char", "char_rel", "dense", "dense_rel", "title_bm25", "params_bm25", "microcat_vote", "same_location", "location_prob", "geo",
-    "log_distance", "near_10km", "near_50km", "history_click", "item_popularity", "rating", "log_reviews", "log_price", "phone_hidden", "message_forbidden",
-    "title_coverage", "description_coverage", "params_coverage", "filter_coverage", "literal_title", "literal_description", "category_match", "any_category",
-    "query_length", "rule", "minimum_rating_ok", "geo_bm25", "geo_dense", "microcat_bm25", "microcat_dense",
+    "bm25", "bm25_relative", "char", "char_relative", "dense", "dense_relative", "title_bm25", "title_relative", "params_bm25", "microcat_probability",
+    "same_location", "location_probability", "log_distance", "near_10km", "near_50km", "history_click", "item_popularity", "rating", "log_reviews", "log_price",
+    "phone_hidden", "message_forbidden", "category_match", "query_tokens", "title_tokens", "title_coverage", "description_coverage", "params_coverage", "exact_title", "exact_description",
+    "filter_coverage", "rating_filter_satisfied", "has_filters", "geo_bm25", "geo_dense", "microcat_bm25", "microcat_dense",
     "supervised_microcat", "supervised_microcat_relative", "supervised_microcat_rank", "microcat_confidence",
 ]
 #: The sources of the pool windows.
-WINDOW_SOURCES = ["bm25", "char", "dense", "geo_bm25", "geo_dense", "microcat_bm25", "rule"]
+WINDOW_SOURCES = ["bm25", "char", "dense", "geo_bm25", "geo_dense", "microcat_bm25", "supervised_microcat"]
 QUOTAS = {"word": 250, "char": 150, "dense": 250, "geo_bm25": 300, "geo_dense": 250, "microcat_bm25": 200, "microcat_dense": 150, "rule": 150}
 TINY_QUOTAS = {"tiny": 200, "tiny_geo": 450, "tiny_microcat": 250, "tiny_rule": 150}
 
@@ -40,36 +40,34 @@ def long_channels(pool: DataFrame, columns: dict[str, str], q: str = "query_id",
     return pool.select(q, item, F.explode(each).alias("x")).select(q, item, "x.channel", "x.score")
 
 
-def base_features(pairs: DataFrame) -> DataFrame:
-    """pairs with the 41 features.
+def base_features(pairs: DataFrame, noise: tuple = ("рейтинг", "пользователя")) -> DataFrame:
+    """pairs as (query_id, item_id, the 41 features).
 
-    Expected columns: scores bm25, char, dense and their relatives *_rel (taken before pooling), title_bm25, params_bm25;
-    microcat_vote, supervised, supervised_rel, supervised_rank, confidence; same, prob, km; clicks, popularity; the item's
-    title, params, description, item_category, rating, reviews, price, phone_hidden, message_forbidden; the query's text,
-    filters, search_category.
+    Expected columns: scores bm25, char, dense, title_bm25 with their relatives *_rel (taken before pooling), params_bm25;
+    vote, supervised, supervised_rel, supervised_rank, confidence; same, prob, km; clicks, popularity; the item's title,
+    params, description, item_category, rating, reviews, price, phone_hidden, message_forbidden; the query's text,
+    filters, search_category. Nulls count as 0.
     """
     c = F.col
-    qt, noise = T.tokens(c("text")), F.array(*(F.lit(x) for x in ("рейтинг", "пользователя")))
-    ft = F.array_except(T.tokens(c("filters")), noise)
+    ft = F.array_except(T.tokens(c("filters")), F.array(*(F.lit(x) for x in noise)))
+    d = T.once(pairs, *(T.tokens(c(x)).alias(f"__{x}") for x in ("text", "title", "params", "description")), ft.alias("__filters"))
     geo = geo_blend(c("same"), c("prob"), c("km"))
-    ch = channel_scores(c("bm25_rel"), c("char_rel"), c("dense_rel"), geo, c("microcat_vote"), c("supervised_rel"))
+    ch = channel_scores(c("bm25_rel"), c("char_rel"), c("dense_rel"), geo, c("vote"), c("supervised_rel"))
     one = lambda x: x.cast("double")
-    values = {
-        "bm25": c("bm25"), "bm25_rel": c("bm25_rel"), "char": c("char"), "char_rel": c("char_rel"), "dense": c("dense"), "dense_rel": c("dense_rel"), "title_bm25": c("title_bm25"), "params_bm25": c("params_bm25"),
-        "microcat_vote": c("microcat_vote"), "same_location": c("same"), "location_prob": c("prob"), "geo": geo, "log_distance": F.log1p(c("km")), "near_10km": one(c("km") < 10), "near_50km": one(c("km") < 50),
-        "history_click": c("clicks"), "item_popularity": c("popularity"), "rating": F.coalesce(one(c("rating")), F.lit(0.0)), "log_reviews": log_positive(c("reviews")), "log_price": log_positive(c("price")),
-        "phone_hidden": flag(c("phone_hidden")), "message_forbidden": flag(c("message_forbidden")),
-        "title_coverage": T.coverage(qt, T.tokens(c("title"))), "description_coverage": T.coverage(qt, T.tokens(c("description"))), "params_coverage": T.coverage(qt, T.tokens(c("params"))),
-        "filter_coverage": T.coverage(ft, F.concat(T.tokens(c("params")), T.tokens(c("description")))), "literal_title": one(T.contains_literal(c("title"), c("text"))), "literal_description": one(T.contains_literal(c("description"), c("text"))),
-        "category_match": one((c("item_category") == c("search_category")) | (c("search_category") == 0)), "any_category": one(c("search_category") == 0), "query_length": one(F.size(qt)), "rule": ch["rule"],
-        "minimum_rating_ok": one(F.coalesce(one(c("rating")), F.lit(0.0)) >= T.minimum_rating(c("filters"))),
-        "geo_bm25": ch["geo_bm25"], "geo_dense": ch["geo_dense"], "microcat_bm25": ch["microcat_bm25"], "microcat_dense": ch["microcat_dense"],
-        "supervised_microcat": c("supervised"), "supervised_microcat_relative": c("supervised_rel"), "supervised_microcat_rank": c("supervised_rank"), "microcat_confidence": c("confidence"),
-    }
-    return pairs.select("query_id", "item_id", *(F.coalesce(values[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES))
+    distinct = lambda x: F.size(F.array_distinct(c(x)))
+    rating = F.coalesce(one(c("rating")), F.lit(0.0))
+    values = [
+        c("bm25"), c("bm25_rel"), c("char"), c("char_rel"), c("dense"), c("dense_rel"), c("title_bm25"), c("title_rel"), c("params_bm25"), c("vote"),
+        c("same"), c("prob"), F.log1p(c("km")), c("km") < 10, c("km") < 50, c("clicks"), c("popularity"), rating, log_positive(c("reviews")), log_positive(c("price")),
+        flag(c("phone_hidden")), flag(c("message_forbidden")), (c("item_category") == c("search_category")) | (c("search_category") == 0), distinct("__text"), distinct("__title"),
+        T.coverage(c("__text"), c("__title")), T.coverage(c("__text"), c("__description")), T.coverage(c("__text"), c("__params")), T.contains_literal(c("title"), c("text")), T.contains_literal(c("description"), c("text")),
+        T.coverage(c("__filters"), c("__params")), rating >= T.minimum_rating(c("filters")), F.length(F.btrim(F.coalesce(c("filters"), F.lit("")))) > 0, ch["geo_bm25"], ch["geo_dense"], ch["microcat_bm25"], ch["microcat_dense"],
+        c("supervised"), c("supervised_rel"), F.lit(1.0) / c("supervised_rank"), c("confidence"),
+    ]
+    return d.select("query_id", "item_id", *(F.coalesce(one(v), F.lit(0.0)).alias(n) for n, v in zip(FEATURES, values, strict=True)))
 
 
-def compatible_geography(same: str = "same_location", prob: str = "location_prob", log_km: str = "log_distance") -> Column:
+def compatible_geography(same: str = "same_location", prob: str = "location_probability", log_km: str = "log_distance") -> Column:
     return (F.col(same) > 0) | (F.col(prob) > 0.10) | (F.col(log_km) < F.log1p(F.lit(50.0)))
 
 

@@ -20,7 +20,7 @@ REGISTRY = {
 }
 
 
-def hard_negative(bm25_rel="bm25_rel", same="same_location", prob="location_prob", log_km="log_distance"):
+def hard_negative(bm25_rel="bm25_relative", same="same_location", prob="location_probability", log_km="log_distance"):
     return (F.col(bm25_rel) > 0.5) & ((F.col(same) > 0) | (F.col(prob) > 0.05) | (F.col(log_km) < 4.0))
 
 

@@ -11,7 +11,8 @@ from tessera.sources.adapters import POOL_CTE, benchmark, documents, fields, poo
 
 def cut(c, digits: int):
     """Rounds a score that was rounded before: the same double operations in every engine."""
-    return F.floor(F.col(c) * 10.0**digits + 0.5) / 10.0**digits
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
 
 
 def cut_sql(c: str, digits: int) -> str:
@@ -208,13 +209,13 @@ def candidate_union(spark, sf):
 
 @query(f"""WITH {POOL_CTE}, g AS (SELECT *, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-6) AS w, item_id % 7 / 7e0 AS geo, item_id % 5 / 5e0 AS vote, item_id % 3 / 3e0 AS sup FROM pool),
 m AS (SELECT *, greatest(vote, sup * 7e-1) AS m FROM g)
-SELECT query_id, item_id, round(w * (geo * 85e-2 + 15e-2), 5) AS geo_bm25, round(cov * (geo * 85e-2 + 15e-2), 5) AS geo_dense, round(w * (m * 8e-1 + 2e-1) * (geo * 75e-2 + 25e-2), 5) AS microcat_bm25, round(cov * (m * 8e-1 + 2e-1) * (geo * 75e-2 + 25e-2), 5) AS microcat_dense,
-  round((w * 48e-2 + cov * 18e-2 + cov * 34e-2) * (geo * 85e-2 + 15e-2) * (m * 6e-1 + 4e-1), 5) AS rule FROM m""")
+SELECT query_id, item_id, {cut_sql('(w * (geo * 85e-2 + 15e-2))', 5)} AS geo_bm25, {cut_sql('(cov * (geo * 85e-2 + 15e-2))', 5)} AS geo_dense, {cut_sql('(w * (m * 8e-1 + 2e-1) * (geo * 75e-2 + 25e-2))', 5)} AS microcat_bm25, {cut_sql('(cov * (m * 8e-1 + 2e-1) * (geo * 75e-2 + 25e-2))', 5)} AS microcat_dense,
+  {cut_sql('((w * 48e-2 + cov * 18e-2 + cov * 34e-2) * (geo * 85e-2 + 15e-2) * (m * 6e-1 + 4e-1))', 5)} AS rule FROM m""")
 def channel_scores(spark, sf):
     c = F.col
     p = pool(spark, sf).withColumn("w", ranking.relative(c("bm25")))
     ch = features.channel_scores(c("w"), c("cov"), c("cov"), (c("item_id") % 7) / 7.0, (c("item_id") % 5) / 5.0, (c("item_id") % 3) / 3.0)
-    return p.select("query_id", "item_id", *(F.round(v, 5).alias(k) for k, v in ch.items()))
+    return p.select("query_id", "item_id", *(cut(v, 5).alias(k) for k, v in ch.items()))
 
 
 _HASH = "(('0x' || substr(md5(concat(item_id, '|7')), 1, 8))::BIGINT % 100)"
@@ -224,7 +225,7 @@ _HASH = "(('0x' || substr(md5(concat(item_id, '|7')), 1, 8))::BIGINT % 100)"
 SELECT query_id, item_id, label::BIGINT AS label FROM g WHERE label OR (rel > 5e-1 AND same) OR {_HASH} < 20""")
 def hard_negatives(spark, sf):
     p = features.label(pool(spark, sf), truth(spark, sf))
-    p = p.withColumn("bm25_rel", ranking.relative(F.col("bm25"))).withColumn("same_location", (F.col("item_id") % 7 == 0).cast("double")).withColumn("location_prob", F.lit(0.0)).withColumn("log_distance", F.lit(9.0))
+    p = p.withColumn("bm25_relative", ranking.relative(F.col("bm25"))).withColumn("same_location", (F.col("item_id") % 7 == 0).cast("double")).withColumn("location_probability", F.lit(0.0)).withColumn("log_distance", F.lit(9.0))
     return learn.training_rows(p, "item_id").select("query_id", "item_id", "label")
 
 
@@ -247,6 +248,37 @@ def history_reservation(spark, sf):
     p = pool(spark, sf)
     return ranking.reserve_history(p, p.where(F.col("source").isin("src1", "src2")), p.where(F.col("source").isin("src2", "src3", "src4")))
 
+_COV = "round(len(list_intersect(list_distinct({a}), list_distinct({b})))::DOUBLE / greatest(len(list_distinct({a})), 1), 6)"
+_GEO = "(g * 85e-2 + 15e-2)"
+_M = "greatest(vote, sup * 7e-1)"
+
+
+@query(rf"""WITH {POOL_CTE}, f AS (SELECT pool.query_id, pool.item_id, bm25, bm25 / greatest(max(bm25) OVER (PARTITION BY pool.query_id), 1e-6) AS rel, cov, pool.item_id % 2 AS same, pool.item_id % 5 / 5e0 AS prob, (pool.item_id % 97)::DOUBLE AS km,
+  pool.item_id % 7 / 7e0 AS vote, pool.item_id % 3 / 3e0 AS sup, pool.n_chars, substring(x.text, 1, 80) AS title, x.lang || ' ' || x.source AS params, substring(x.text, 1, 1800) AS description, b.text, x.source AS filters
+  FROM pool JOIN documents x ON x.doc_id = pool.item_id JOIN benchmark b ON b.item_id = pool.query_id),
+g AS (SELECT *, greatest(same, prob, exp(-km / 5e1) * 35e-2) AS g, {tok('text')} AS qt, {tok('title')} AS tt, {tok('params')} AS pt, {tok('description')} AS dt, {tok('filters')} AS ft FROM f)
+SELECT query_id, item_id, round(bm25, 5) AS bm25, round(rel, 5) AS bm25_relative, cov AS "char", cov AS char_relative, cov AS dense, cov AS dense_relative, round(bm25, 5) AS title_bm25, round(rel, 5) AS title_relative, 0e0 AS params_bm25, round(vote, 5) AS microcat_probability,
+  same::DOUBLE AS same_location, round(prob, 5) AS location_probability, round(ln(1e0 + km), 5) AS log_distance, (km < 10)::INT::DOUBLE AS near_10km, (km < 50)::INT::DOUBLE AS near_50km, 0e0 AS history_click, 0e0 AS item_popularity, (item_id % 6)::DOUBLE AS rating, round(ln(1e0 + n_chars), 5) AS log_reviews, 0e0 AS log_price,
+  (item_id % 4 = 0)::INT::DOUBLE AS phone_hidden, 0e0 AS message_forbidden, (item_id % 5 = query_id % 5 OR query_id % 5 = 0)::INT::DOUBLE AS category_match, len(list_distinct(qt))::DOUBLE AS query_tokens, len(list_distinct(tt))::DOUBLE AS title_tokens,
+  {_COV.format(a='qt', b='tt')} AS title_coverage, {_COV.format(a='qt', b='dt')} AS description_coverage, {_COV.format(a='qt', b='pt')} AS params_coverage,
+  contains(trim(regexp_replace(lower(title), '\s+', ' ', 'g')), trim(regexp_replace(lower(text), '\s+', ' ', 'g')))::INT::DOUBLE AS exact_title, contains(trim(regexp_replace(lower(description), '\s+', ' ', 'g')), trim(regexp_replace(lower(text), '\s+', ' ', 'g')))::INT::DOUBLE AS exact_description,
+  {_COV.format(a='ft', b='pt')} AS filter_coverage, 1e0 AS rating_filter_satisfied, 1e0 AS has_filters, floor((rel * {_GEO}) * 1e5 + 5e-1) / 1e5 AS geo_bm25, floor((cov * {_GEO}) * 1e5 + 5e-1) / 1e5 AS geo_dense, floor((rel * ({_M} * 8e-1 + 2e-1) * (g * 75e-2 + 25e-2)) * 1e5 + 5e-1) / 1e5 AS microcat_bm25, floor((cov * ({_M} * 8e-1 + 2e-1) * (g * 75e-2 + 25e-2)) * 1e5 + 5e-1) / 1e5 AS microcat_dense,
+  round(sup, 5) AS supervised_microcat, round(sup, 5) AS supervised_microcat_relative, round(1e0 / (item_id % 9 + 1), 5) AS supervised_microcat_rank, 5e-1 AS microcat_confidence FROM g""")
+def base_features(spark, sf):
+    c, lit = F.col, F.lit
+    d, q = documents(spark, sf).select("item_id", "text", "lang", "source"), benchmark(spark, sf)
+    items = d.select("item_id", F.substring("text", 1, 80).alias("title"), F.concat_ws(" ", "lang", "source").alias("params"), F.substring("text", 1, 1800).alias("description"), c("source").alias("filters"))
+    p = pool(spark, sf).drop("source").withColumn("bm25_rel", ranking.relative(c("bm25"))).join(items, "item_id").join(q, "query_id")
+    i = c("item_id")
+    p = p.withColumns({
+        "char": c("cov"), "char_rel": c("cov"), "dense": c("cov"), "dense_rel": c("cov"), "title_bm25": c("bm25"), "title_rel": c("bm25_rel"), "params_bm25": lit(0.0), "vote": (i % 7) / 7.0, "supervised": (i % 3) / 3.0, "supervised_rel": (i % 3) / 3.0,
+        "supervised_rank": i % 9 + 1, "confidence": lit(0.5), "same": (i % 2).cast("double"), "prob": (i % 5) / 5.0, "km": (i % 97).cast("double"), "clicks": lit(0.0), "popularity": lit(0.0), "item_category": i % 5, "search_category": c("query_id") % 5,
+        "rating": i % 6, "reviews": c("n_chars"), "price": lit(None).cast("double"), "phone_hidden": i % 4 == 0, "message_forbidden": lit(None).cast("boolean"),
+    })
+    f = features.base_features(p)
+    coverages = ("char", "char_relative", "dense", "dense_relative", "title_coverage", "description_coverage", "params_coverage", "filter_coverage")
+    return f.select("query_id", "item_id", *((cut(n, 5) if n.startswith(("geo_", "microcat_b", "microcat_d")) else F.round(n, 6 if n in coverages else 5)).alias(n) for n in features.FEATURES))
+
 
 @query()
 def gbt_rank(spark, sf):
