@@ -39,7 +39,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks"]
-    d = docs.drop(*names, "__w", "__l", "__g", "__r")
+    d = docs.drop(*names, "__w", "__l", "__g", "__r", "__m")
     blank = F.lit(" \t\n\x0b\f\r")
     d = d.withColumn("__w", F.array_remove(F.split(t, SPACE + "+"), ""))
     d = d.withColumn("__l", F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, blank)) > 0))
@@ -50,8 +50,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("__r", F.sort_array(F.transform(twice, lambda x: x["i"])))
     # The words that sorted windows cover: each adds what lies beyond the window before it.
     covered = F.aggregate(F.transform("__r", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(s - F.get(F.col("__r"), k - 1), F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return d.select(
-        *docs.drop(*names).columns,
+    found = F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -60,6 +59,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length(F.regexp_replace(t, "[^!?]+", "")).cast("long").alias("n_marks"),
     )
+    # A generator of one row: filters on measurements stay above it, and the optimizer can't copy the lambdas into them.
+    d = d.withColumn("__m", F.explode(F.array(found)))
+    return d.select(*docs.drop(*names).columns, *(F.col(f"__m.{n}").alias(n) for n in names))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
