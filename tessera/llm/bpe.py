@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import NO_SPACE, materialize, parts, table
 
 #: The packed word table goes to the workers up to so many bytes; a larger one is joined by a shuffle.
-PACKED_BYTES = 256 << 20
+PACKED_BYTES = 128 << 20
 FLUSH_BYTES, MEMO_WORDS = 24 << 20, 400_000
 _loaded: dict = {}
 
@@ -90,30 +90,38 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 class _Packed:
-    """The word table as arrays: hashes in order, and the ids of word i at ids[at[i]:at[i + 1]]."""
+    """The word table as arrays: hashes in order; the ids of word i are n[i] ids from start[i] on."""
 
-    def __init__(self, hashes: np.ndarray, at: np.ndarray, ids: np.ndarray):
-        self.hashes, self.at, self.ids = hashes, at, ids
+    def __init__(self, hashes: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray):
+        self.hashes, self.start, self.n, self.ids = hashes, start, n, ids
 
 
-def _pack(words: DataFrame) -> _Packed:
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(words: DataFrame, n_words: int, n_ids: int) -> _Packed:
+    """The table in the driver, batch by batch as three byte strings into arrays of known size: never as rows."""
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1)], ["h", "ids"])
-
-    got = words.mapInArrow(hashed, "h long, ids array<int>").toArrow()
-    h = got.column("h").to_numpy().view(np.uint64)
-    lists = got.column("ids").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-    values, offsets = lists.values.to_numpy().astype(np.uint32), lists.offsets.to_numpy().astype(np.int64)
-    if len(values) == 0 or values.max() < 1 << 16:
-        values = values.astype(np.uint16)
-    order = np.argsort(h)
-    n = np.diff(offsets)[order] if len(h) else np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    return _Packed(h[order], at, _ragged(values, offsets[:-1][order], n))
+            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()), np.uint64, b.num_rows)
+            values, offsets = _flat(b.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(offsets).astype(np.uint32), values.astype(np.uint32))], ["h", "n", "ids"])
+
+    hashes, n, ids = np.empty(n_words, np.uint64), np.empty(n_words, np.uint32), np.empty(n_ids, np.uint16)
+    i = j = 0
+    for r in words.mapInArrow(blobs, "h binary, n binary, ids binary").toLocalIterator():
+        h, m, x = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.uint32), np.frombuffer(r["ids"], np.uint32)
+        if ids.dtype == np.uint16 and x.max(initial=0) >= 1 << 16:
+            ids = ids.astype(np.uint32)
+        hashes[i : i + len(h)], n[i : i + len(h)], ids[j : j + len(x)] = h, m, x
+        i, j = i + len(h), j + len(x)
+    start = (np.cumsum(n, dtype=np.uint64) - n).astype(np.uint32)
+    order = np.argsort(hashes).astype(np.uint32)
+    return _Packed(hashes[order], start[order], n[order], ids)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column without null lists."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _ragged(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -136,11 +144,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     path = path or vocabulary_path()
     spark = docs.sparkSession
     words = materialize(word_table(docs, path, text))
-    size = words.agg(F.coalesce(F.sum(16 + 4 * F.size("ids")), F.lit(0))).first()[0]
+    n_words, n_ids = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     docs = docs.drop(ids)
-    if size > packed_bytes:
+    if 16 * n_words + 2 * n_ids > packed_bytes:
         return _encode_joined(docs, words, text, ids)
-    shared = spark.sparkContext.broadcast(_pack(words))
+    shared = spark.sparkContext.broadcast(_pack(words, n_words, n_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, memo = shared.value, {}
@@ -148,18 +156,17 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 texts = [(t or b"").split() for t in _column(batch, text)]
-                for words in texts:
-                    new = [w for w in set(words) if w not in memo]
-                    if len(memo) + len(new) > MEMO_WORDS:
-                        memo.clear()
-                        new = list(set(words))
-                    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
-                    memo.update(zip(new, np.searchsorted(p.hashes, h).tolist(), strict=True))
-                    words[:] = [memo[w] for w in words]
+                flat = [w for words in texts for w in words]
+                new = list(set(flat).difference(memo))
+                if len(memo) + len(new) > MEMO_WORDS:
+                    memo.clear()
+                    new = list(set(flat))
+                h = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
+                memo.update(zip(new, np.searchsorted(p.hashes, h).tolist(), strict=True))
                 per = np.fromiter(map(len, texts), np.int64, len(texts))
-                rows = np.fromiter((w for words in texts for w in words), np.int64, int(per.sum()))
-                n = p.at[rows + 1] - p.at[rows] if len(rows) else rows
-                values = _ragged(p.ids, p.at[rows], n).astype(np.int32)
+                rows = np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat))
+                n = p.n[rows].astype(np.int64)
+                values = _ragged(p.ids, p.start[rows].astype(np.int64), n).astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
@@ -190,15 +197,16 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
         t = tokenizer(path)
         pieces = None
         if t.decoder is None:
-            pieces = [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
+            pieces = np.array([t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))], object)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                rows = [r or [] for r in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+                values, at = _flat(batch.column(batch.schema.get_field_index(ids)).fill_null([]))
                 if pieces is None:
-                    said = [t.decode(r, skip_special_tokens=False) for r in rows]
+                    said = [t.decode(values[i:j].tolist(), skip_special_tokens=False) for i, j in zip(at[:-1], at[1:], strict=True)]
                 else:
-                    said = [" ".join([pieces[i] for i in r]) for r in rows]
+                    each = pieces[values].tolist()
+                    said = [" ".join(each[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, text])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())]))
@@ -209,15 +217,16 @@ def ids_digest(docs: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> Da
     keep = [f for f in docs.drop(ids, out, "n_tokens").schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: list = []
+        said = np.zeros(0, object)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                rows = [r or [] for r in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-                most = max(map(max, filter(None, rows)), default=0)
-                said += [b"%d" % i for i in range(len(said), most + 1)]
-                digests = [hashlib.sha256(b" ".join([said[i] for i in r])).hexdigest() for r in rows]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array([len(r) for r in rows], pa.int64()), pa.array(digests, pa.string())], [*(f.name for f in keep), "n_tokens", out])
+                values, at = _flat(batch.column(batch.schema.get_field_index(ids)).fill_null([]))
+                if (most := values.max(initial=-1)) >= len(said):
+                    said = np.array([b"%d" % i for i in range(most + 1)], object)
+                each = said[values].tolist()
+                digests = [hashlib.sha256(b" ".join(each[i:j])).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array(np.diff(at)), pa.array(digests, pa.string())], [*(f.name for f in keep), "n_tokens", out])
 
     return docs.mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField(out, T.StringType())]))
 
