@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, discard, materialize, parts, table
+from tessera.llm.common import components, materialize, parts, table
 
 #: A signature has CHUNKS * WIDTH components of 16 bits. With ERRORS allowed in a chunk, pigeonhole finds every pair whose
 #: signatures differ in at most CHUNKS * (ERRORS + 1) - 1 components; of pairs with Jaccard 0.85, all but 3 in 10 million
 #: have such a chunk (0.8: all but 2 in 100,000 with 10 chunks, 3 in a million with 12).
 CHUNKS, WIDTH, ERRORS, SEED = 12, 6, 1, 1
+#: Turns of stars before the pairs that remain, and different pivots that the keys of one group can have in a turn.
+STAR_ROUNDS, PIVOTS = 2, 8
 MEMO_WORDS = 400_000
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)
@@ -121,16 +124,44 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def distance_limit(size: int, percent: int) -> int:
+    """The signature distance that pairs at the similarity threshold exceed with a probability under one in a million."""
+    p, d, tail = 1 - percent / 100, size, 0.0
+    while d > 0 and (tail := tail + math.comb(size, d) * p**d * (1 - p) ** (size - d)) < 1e-6:
+        d -= 1
+    return d
+
+
+def _apart(members: DataFrame, part: DataFrame) -> DataFrame:
+    """members with their component, of the keys whose members lie in more than one."""
+    m = members.select("key", "rep", "n").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    keys = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return m.join(keys, "key", "left_semi")
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, chunks: int, most: int) -> DataFrame:
+    """Pairs whose signatures differ in at most `most` components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, chunks * WIDTH) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= most))
+
+    one = nodes.select(F.col("rep").alias("a"), F.col("sig").alias("s"))
+    two = nodes.select(F.col("rep").alias("b"), F.col("sig").alias("t"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", chunks: int = CHUNKS, seed: int = SEED) -> DataFrame:
     """(key, n_shingles, component_id, kept), one row for each row of docs.
 
     Documents whose sets of distinct k-word shingles (A-Z lower-cased, words cut at ASCII white space) have a Jaccard
     similarity of at least percent / 100 are linked; component_id is the smallest key reachable, kept says it is the
     document's own. Equal sets are one node from the start, so exact copies cost nothing further. Nodes that agree on
-    all but one component of some chunk of their signatures are candidates. Inside a group of candidates the node with
-    the smallest key is tried against all others first, a star instead of all pairs; nodes that end in different
-    components are then tried against each other, so no link between components is lost, and every link is confirmed
-    on the full sets, which are computed again for candidates only. Null texts and texts without words link with
+    all but one component of some chunk of their signatures are candidates. Inside a group of candidates a pivot is tried
+    against all others first, a star instead of all pairs, STAR_ROUNDS times with other pivots; nodes that are then in
+    different components are tried against each other if their signatures aren't too far apart (distance_limit), so no
+    link between components is lost. Every link is confirmed on the full sets, computed again for candidates only. Null texts and texts without words link with
     nothing. Rows that repeat a key share its component. Null keys link with nothing: component null, kept true.
     An empty table gives no rows; other columns are ignored.
     """
@@ -140,26 +171,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     nodes = materialize(sig.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     keys = _keys(nodes, chunks)
     # Groups of one are nearly all; the first pass leaves only keys with company.
-    heads = materialize(keys.groupBy("key").agg(F.min("rep").alias("head"), F.min(F.struct("rep", "n"))["n"].alias("head_n"), F.max("rep").alias("last")).where("head <> last").drop("last"))
-    members = materialize(keys.join(heads, "key"))
-    near = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
-    stars = materialize(members.where(F.col("rep") != F.col("head")).where(near).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
-    wanted = members.select(F.col("rep")).distinct()
-    sets = _sets_of(docs, nodes.join(wanted, "rep", "left_semi"), k, key, text)
-    sets = materialize(sets)
-    linked = materialize(_confirm(stars.repartition(wide, "a"), sets, percent))
-    part = materialize(components(linked))
-    # Groups whose members lie in more than one component: pairs across components that weren't tried yet.
-    m = members.select("key", "rep", "n").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    m = materialize(m.join(open_keys, "key", "left_semi"))
+    shared = materialize(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"))
+    members = materialize(keys.join(shared, "key"))
+    sets = materialize(_sets_of(docs, members.select("rep").distinct(), k, key, text))
+    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    part = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct()
+    tried = linked = None
+    for turn in range(STAR_ROUNDS):
+        m = _apart(members, part)
+        # One pivot a key, the same for many keys of a group of copies; another one in each turn.
+        order = F.struct(F.xxhash64("rep", F.pmod("key", F.lit(PIVOTS)), F.lit(turn)).alias("o"), "rep", "n", "component")
+        pivot = m.groupBy("key").agg(F.min(order).alias("p"))
+        stars = m.join(pivot, "key").where((F.col("component") != F.col("p.component")) & near(F.col("n"), F.col("p.n")))
+        stars = stars.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+        stars = materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
+        tried = stars if tried is None else tried.union(stars)
+        found = materialize(_confirm(stars.repartition(wide, "a"), sets, percent))
+        linked = found if linked is None else linked.union(found)
+        part = materialize(components(linked))
+    # What is still apart: pairs across components whose signatures are close enough to be similar.
+    m = materialize(_apart(members, part))
     x, y = m.alias("x"), m.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = linked.union(_confirm(cross.repartition(wide, "a"), sets, percent))
-    final = materialize(components(links))
-    for t in (heads, members, stars, sets, part, m):
-        discard(t)
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
+    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    cross = _close(cross, nodes, chunks, distance_limit(chunks * WIDTH, percent))
+    final = components(linked.union(_confirm(cross.repartition(wide, "a"), sets, percent)))
     named = nodes.select("d1", "d2", "rep").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     # A key that several texts share lies in one component: the least.
