@@ -257,7 +257,7 @@ _M = "greatest(vote, sup * 7e-1)"
   pool.item_id % 7 / 7e0 AS vote, pool.item_id % 3 / 3e0 AS sup, pool.n_chars, substring(x.text, 1, 80) AS title, x.lang || ' ' || x.source AS params, substring(x.text, 1, 1800) AS description, b.text, x.source AS filters
   FROM pool JOIN documents x ON x.doc_id = pool.item_id JOIN benchmark b ON b.item_id = pool.query_id),
 g AS (SELECT *, greatest(same, prob, exp(-km / 5e1) * 35e-2) AS g, {tok('text')} AS qt, {tok('title')} AS tt, {tok('params')} AS pt, {tok('description')} AS dt, {tok('filters')} AS ft FROM f)
-SELECT query_id, item_id, round(bm25, 5) AS bm25, round(rel, 5) AS bm25_relative, cov AS "char", cov AS char_relative, cov AS dense, cov AS dense_relative, round(bm25, 5) AS title_bm25, round(rel, 5) AS title_relative, 0e0 AS params_bm25, round(vote, 5) AS microcat_probability,
+SELECT query_id, item_id, bm25, round(rel, 5) AS bm25_relative, cov AS "char", cov AS char_relative, cov AS dense, cov AS dense_relative, bm25 AS title_bm25, round(rel, 5) AS title_relative, 0e0 AS params_bm25, round(vote, 5) AS microcat_probability,
   same::DOUBLE AS same_location, round(prob, 5) AS location_probability, round(ln(1e0 + km), 5) AS log_distance, (km < 10)::INT::DOUBLE AS near_10km, (km < 50)::INT::DOUBLE AS near_50km, 0e0 AS history_click, 0e0 AS item_popularity, (item_id % 6)::DOUBLE AS rating, round(ln(1e0 + n_chars), 5) AS log_reviews, 0e0 AS log_price,
   (item_id % 4 = 0)::INT::DOUBLE AS phone_hidden, 0e0 AS message_forbidden, (item_id % 5 = query_id % 5 OR query_id % 5 = 0)::INT::DOUBLE AS category_match, len(list_distinct(qt))::DOUBLE AS query_tokens, len(list_distinct(tt))::DOUBLE AS title_tokens,
   {_COV.format(a='qt', b='tt')} AS title_coverage, {_COV.format(a='qt', b='dt')} AS description_coverage, {_COV.format(a='qt', b='pt')} AS params_coverage,
@@ -276,7 +276,7 @@ def base_features(spark, sf):
         "rating": i % 6, "reviews": c("n_chars"), "price": lit(None).cast("double"), "phone_hidden": i % 4 == 0, "message_forbidden": lit(None).cast("boolean"),
     })
     f = features.base_features(p)
-    coverages = ("char", "char_relative", "dense", "dense_relative", "title_coverage", "description_coverage", "params_coverage", "filter_coverage")
+    coverages = ("bm25", "title_bm25", "char", "char_relative", "dense", "dense_relative", "title_coverage", "description_coverage", "params_coverage", "filter_coverage")
     return f.select("query_id", "item_id", *((cut(n, 5) if n.startswith(("geo_", "microcat_b", "microcat_d")) else F.round(n, 6 if n in coverages else 5)).alias(n) for n in features.FEATURES))
 
 
@@ -297,7 +297,7 @@ def lambda_rank(spark, sf):
     p = features.label(pool(spark, sf), truth(spark, sf)).withColumn("n_chars", F.col("n_chars").cast("double"))
     names = ["bm25", "cov", "n_chars"]
     p = p.select("query_id", "item_id", "label", *names).persist()
-    trees = learn.train_lambda(p, names, rounds=3, depth=3)
+    trees = learn.train_lambda(p, names, rounds=2, depth=2, keep=lambda d: d.persist())
     s = learn.score_lambda(trees, p, names)
     return ranking.top_k(s.withColumn("score", F.round("score", 6)), 50, positive=False).select("query_id", "item_id", "rank", "score")
 
