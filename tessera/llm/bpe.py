@@ -17,7 +17,7 @@ from tessera.llm.common import NO_SPACE, materialize, parts, table
 
 #: The packed word table goes to the workers up to so many bytes; a larger one is joined by a shuffle.
 PACKED_BYTES = 128 << 20
-FLUSH_BYTES, MEMO_WORDS = 24 << 20, 400_000
+FLUSH_BYTES, MEMO_WORDS, BATCH_ROWS = 24 << 20, 200_000, 1000
 _loaded: dict = {}
 
 
@@ -40,6 +40,14 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts and their ids are large: ten thousand of them, the default, would be a batch of 100 MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
@@ -143,6 +151,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession
+    _small_batches(spark)
     words = materialize(word_table(docs, path, text))
     n_words, n_ids = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     docs = docs.drop(ids)
@@ -192,6 +201,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
     """
     path = path or vocabulary_path()
     docs = docs.drop(text)
+    _small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
