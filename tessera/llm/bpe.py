@@ -69,7 +69,7 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
                 before = len(seen)
                 seen.update((t or b"").split())
                 held += 80 * (len(seen) - before)
-                if held > FLUSH_BYTES * 4:
+                if held > FLUSH_BYTES:
                     yield from out()
                     seen, held = set(), 0
         yield from out()
