@@ -130,6 +130,24 @@ def test_lm_scores(docs, nothing):
     assert lm.score(nothing).count() == 0
 
 
+def test_lm_filter_grows_with_insertions_and_scores_alike_by_a_shuffle(spark, docs, nothing, monkeypatch):
+    """Thousands of pairs that only held-out documents have: a capped filter says that it knows them."""
+    monkeypatch.setattr(lm, "GROUP_BYTES", 1 << 12)
+    train = [i for i in range(400) if not lm.held_out(i)]
+    rows = [(i, " ".join(f"w{(i * 89 + j * 37) % 997} v{(i + j) % 61}" for j in range(120))) for i in train]
+    rows += [(i, " ".join(f"w{j * 7 % 997} w{j * 11 % 997}" for j in range(500))) for i in range(400) if lm.held_out(i)]
+    rows += [(None, "no key"), (500, None), (501, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = Counter(p for i, t in rows if not lm.held_out(i) for w in [lm.tokens((t or "").encode())] for p in zip(w, w[1:]))
+    n = sum(len((t or "").split()) + 1 for i, t in rows if not lm.held_out(i))
+    data, segments, bits, _ = lm.build_filter(d.select(F.col("doc_id").alias("k"), F.col("text").cast("binary").alias("t")), n, 1 << 12)
+    assert segments * bits >= lm.BITS * sum(c.bit_length() for c in seen.values()) > 1 << 12 and not isinstance(data, lm.LogBloom)
+    for table, limit in ((d, 1 << 30), (docs, 0)):
+        small, large = (sorted((tuple(map(str, r)) for r in lm.score(table, word_bytes=limit, most_bits=m).collect())) for m in (1 << 7, 1 << 31))
+        assert small == large and len(large) == table.count()
+    assert lm.score(nothing, most_bits=0).count() == 0
+
+
 def test_poisson_mix(docs, nothing):
     first, cdf = mixing.poisson_cdf(2.0)
     assert first == 0 and abs(cdf[0] - math.exp(-2)) < 1e-12 and cdf[-1] > 1 - 1e-12
