@@ -122,6 +122,14 @@ def dense_top10(spark, sf):
     return dense.retrieve_top_k(q, v, 10).select("query_id", "item_id", "rank", cut("score", 5).alias("score"))
 
 
+@query()
+def dense_top10_whole(spark, sf):
+    """Queries from all rows, those whose vec_id 20 divides; no SQL, for that of dense_top10 stops at vec_id 50."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    q = v.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    return dense.retrieve_top_k(q, v, 10).select("query_id", "item_id", "rank", cut("score", 5).alias("score"))
+
+
 @query(f"SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 5) AS score FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 7")
 def dense_pair_scores(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))

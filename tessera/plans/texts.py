@@ -98,6 +98,14 @@ def feature_coverage(spark, sf):
     return q.crossJoin(d).select("item_id", "doc_id", F.round(T.coverage(F.col("q"), F.col("d")), 6).alias("coverage"))
 
 
+@query()
+def feature_coverage_whole(spark, sf):
+    """Every passage and document that share a token; no SQL, for that of feature_coverage stops at 20 passages and 50 documents."""
+    q = T.once(benchmark(spark, sf), F.array_distinct(T.tokens(F.col("text"))).alias("q")).select(F.col("query_id").alias("item_id"), F.size("q").alias("n"), F.explode("q").alias("term"))
+    d = T.once(documents(spark, sf), F.array_distinct(T.tokens(F.col("text"))).alias("d")).select(F.col("item_id").alias("doc_id"), F.explode("d").alias("term"))
+    return q.join(d, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)).cast("double") / F.first("n"), 6).alias("coverage"))
+
+
 @query(f"""WITH {EVENTS} SELECT DISTINCT item_id, {COORDINATES} FROM ev""")
 def item_places(spark, sf):
     return coordinates(events(spark, sf)).select("item_id", "lat", "lon").distinct()
