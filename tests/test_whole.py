@@ -45,3 +45,8 @@ def test_dense_queries_come_from_all_rows(spark, sf):
     for q, rows in got.items():
         best = sorted((math.cos((i - q) * 0.7) for i in range(130)), reverse=True)[:10]
         assert all(abs(s - b) < 2e-5 for (_, s), b in zip(sorted(rows), best, strict=True))
+
+
+def test_pairs_that_share_a_term_are_all_scored(spark, sf):
+    got = {(r["query_id"], r["item_id"]): r["score"] for r in QUERIES["score_pairs_whole"](spark, sf).collect()}
+    assert {(q, i) for q, i in sharing() if i != 500} <= got.keys() and all(s > 0 for s in got.values())
