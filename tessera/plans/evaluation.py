@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import diagnostics, features, metrics, ranking, split, validate
+from tessera.plans import retrieval
 from tessera.queries import query
-from tessera.sources.adapters import EVENTS, POOL_CTE, documents, events, pool, table, truth
+from tessera.sources.adapters import EVENTS, POOL, POOL_CTE, documents, events, pool, table, truth
 
 _RECALL = """pq AS (SELECT query_id, count(*) AS n_relevant, count(p.item_id) AS n_found, count(p.item_id)::DOUBLE / count(*) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT query_id, item_id FROM pool WHERE {0}) p USING (query_id, item_id) GROUP BY query_id)"""
 
@@ -30,6 +31,13 @@ def candidate_ceiling(spark, sf):
     return metrics.ceiling(pool(spark, sf), truth(spark, sf)).agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 6).alias("ceiling"))
 
 
+@query()
+def candidate_ceiling_whole(spark, sf):
+    """Of the union of all channels; no SQL, for that of candidate_ceiling takes the pool."""
+    u = retrieval.candidate_union_whole(spark, sf)
+    return metrics.ceiling(u, truth(spark, sf)).agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 6).alias("ceiling"))
+
+
 @query(f"""WITH {POOL_CTE}, cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, item_id) AS r2 FROM pool), t AS (SELECT DISTINCT * FROM truth),
 dl AS (SELECT query_id, (count(*) FILTER (WHERE r2 <= 10) - count(*) FILTER (WHERE rank <= 10))::DOUBLE / any_value(n) AS d FROM (SELECT t.*, count(*) OVER (PARTITION BY t.query_id) AS n, rank, r2 FROM t LEFT JOIN cr USING (query_id, item_id)) GROUP BY query_id)
 SELECT count(*)::BIGINT AS n_queries, round(avg(d), 6) AS delta, round(stddev_samp(d) / sqrt(count(*)), 6) AS standard_error, count(*) FILTER (WHERE d > 1e-12) AS improved, count(*) FILTER (WHERE d < -1e-12) AS worsened FROM dl""")
@@ -144,9 +152,9 @@ tg AS (SELECT query_id, item_id, CASE WHEN rank IS NULL THEN ['candidate_miss']
   CASE WHEN lex < 2e-1 OR (cov < 25e-2 AND lex + 25e-2 < d_lex) THEN 'low_lexical' END, CASE WHEN cov < 15e-2 OR cov + 15e-2 < d_cov THEN 'low_semantic' END, CASE WHEN item_id % 3 = 0 THEN 'class_difference' END], lambda x: x IS NOT NULL) END AS tags FROM mi JOIN dis USING (query_id))"""
 
 
-def _tagged(spark, sf):
+def _tagged(spark, sf, k=POOL):
     t = truth(spark, sf).distinct()
-    rel = pool(spark, sf).withColumn("lexical", ranking.relative(F.col("bm25")))
+    rel = pool(spark, sf, k).withColumn("lexical", ranking.relative(F.col("bm25")))
     dis = diagnostics.first_distractor(rel, t).select("query_id", F.col("lexical").alias("d_lexical"), F.col("cov").alias("d_semantic"))
     m = diagnostics.missed(rel, t, 0).join(rel.select("query_id", "item_id", "lexical", "cov"), ["query_id", "item_id"], "left").join(dis, "query_id")
     m = m.withColumn("same", (F.col("item_id") % 2 != 0).cast("double")).withColumn("title_coverage", F.col("cov")).withColumn("semantic", F.col("cov")).withColumn("same_class", F.col("item_id") % 3 != 0)
@@ -163,6 +171,17 @@ def error_tag_counts(spark, sf):
     return diagnostics.tag_counts(_tagged(spark, sf))
 
 
+@query()
+def error_tags_whole(spark, sf):
+    """With the ranks of all scored documents; no SQL, for that of error_tags ends at the pool."""
+    return _tagged(spark, sf, None).select("query_id", "item_id", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query()
+def error_tag_counts_whole(spark, sf):
+    return diagnostics.tag_counts(_tagged(spark, sf, None))
+
+
 @query(f"""WITH {POOL_CTE}, t AS (SELECT DISTINCT * FROM truth), p AS (SELECT pool.* FROM pool JOIN t USING (query_id, item_id)), n AS (SELECT * FROM pool WHERE (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1)
 SELECT 'bm25' AS feature, (SELECT round(avg(bm25), 4) FROM p) AS positive, (SELECT round(avg(bm25), 4) FROM n) AS distractor UNION ALL SELECT 'cov', (SELECT round(avg(cov), 4) FROM p), (SELECT round(avg(cov), 4) FROM n)""")
 def positive_vs_distractor_means(spark, sf):

@@ -211,6 +211,18 @@ def answer_rows(spark, sf):
     return ranking.answer_rows(legal_top50(spark, sf))
 
 
+@query()
+def legal_top50_whole(spark, sf):
+    """Legality before any cut; no SQL, for that of legal_top50 takes labels inside the pool."""
+    legal = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"))
+    return ranking.legal_top(pool(spark, sf, None).drop("rank").withColumnRenamed("bm25", "score"), legal, 50).select("query_id", "item_id", "rank")
+
+
+@query()
+def answer_rows_whole(spark, sf):
+    return ranking.answer_rows(legal_top50_whole(spark, sf))
+
+
 _CH = {"word": "bm25", "coverage": "cov", "length": "n_chars"}
 _QUOTA = {"word": 20, "coverage": 10, "length": 5}
 
@@ -223,6 +235,17 @@ def candidate_union(spark, sf):
     return u.select("query_id", "item_id", F.concat_ws(" ", "channels").alias("channels"))
 
 
+@query()
+def candidate_union_whole(spark, sf):
+    """The channels of features.QUOTAS, each ranked over all scored documents, with the stand-ins of channel_scores; no SQL, for that of candidate_union takes smaller quotas of the pool."""
+    c = F.col
+    p = pool(spark, sf, None).withColumn("w", ranking.relative(c("bm25")))
+    p = p.withColumns(features.channel_scores(c("w"), c("cov"), c("cov"), (c("item_id") % 7) / 7.0, (c("item_id") % 5) / 5.0, (c("item_id") % 3) / 3.0))
+    columns = {k: {"word": "bm25", "char": "cov", "dense": "cov"}.get(k, k) for k in features.QUOTAS}
+    u = ranking.union_channels(features.long_channels(p, columns), features.QUOTAS)
+    return u.select("query_id", "item_id", F.concat_ws(" ", "channels").alias("channels"))
+
+
 @query(f"""WITH {POOL_CTE}, g AS (SELECT *, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-6) AS w, item_id % 7 / 7e0 AS geo, item_id % 5 / 5e0 AS vote, item_id % 3 / 3e0 AS sup FROM pool),
 m AS (SELECT *, greatest(vote, sup * 7e-1) AS m FROM g)
 SELECT query_id, item_id, {cut_sql('(w * (geo * 85e-2 + 15e-2))', 5)} AS geo_bm25, {cut_sql('(cov * (geo * 85e-2 + 15e-2))', 5)} AS geo_dense, {cut_sql('(w * (m * 8e-1 + 2e-1) * (geo * 75e-2 + 25e-2))', 5)} AS microcat_bm25, {cut_sql('(cov * (m * 8e-1 + 2e-1) * (geo * 75e-2 + 25e-2))', 5)} AS microcat_dense,
@@ -264,6 +287,14 @@ def history_reservation(spark, sf):
     p = pool(spark, sf)
     return ranking.reserve_history(p, p.where(F.col("source").isin("src1", "src2")), p.where(F.col("source").isin("src2", "src3", "src4")))
 
+
+@query()
+def history_reservation_whole(spark, sf):
+    """Known items from all scored documents; no SQL, for that of history_reservation looks in the pool."""
+    p = pool(spark, sf, None)
+    return ranking.reserve_history(p, p.where(F.col("source").isin("src1", "src2")), p.where(F.col("source").isin("src2", "src3", "src4")))
+
+
 _COV = "round(len(list_intersect(list_distinct({a}), list_distinct({b})))::DOUBLE / greatest(len(list_distinct({a})), 1), 6)"
 _GEO = "(g * 85e-2 + 15e-2)"
 _M = "greatest(vote, sup * 7e-1)"

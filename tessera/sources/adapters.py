@@ -72,10 +72,10 @@ def coordinates(rows: DataFrame) -> DataFrame:
 COORDINATES = "30e0 + item_location * 15e-1 + (seller % 7) * 1e-2 AS lat, 5e0 + item_location * 225e-2 + (seller % 5) * 2e-2 AS lon"
 
 
-def pool(spark: SparkSession, sf_dir: str, k: int = POOL) -> DataFrame:
-    """(query_id, item_id, bm25, cov, rank, same_source): the k best documents of each passage, with token coverage."""
+def pool(spark: SparkSession, sf_dir: str, k: int | None = POOL) -> DataFrame:
+    """(query_id, item_id, bm25, cov, rank, same_source): the k best documents of each passage, or all, with token coverage."""
     d, q = documents(spark, sf_dir), benchmark(spark, sf_dir)
-    top = ranking.top_k(search.bm25_search(d, q), k).withColumnRenamed("score", "bm25")
+    top = ranking.top_k(search.bm25_search(d, q), (1 << 62) if k is None else k).withColumnRenamed("score", "bm25")
     qt = T.once(q, F.array_distinct(T.tokens(F.col("text"))).alias("qt")).select("query_id", "qt")
     dt = T.once(d, T.tokens(F.col("text")).alias("dt")).select("item_id", "source", "n_chars", "dt")
     j = top.join(qt, "query_id").join(dt, "item_id")

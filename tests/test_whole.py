@@ -4,12 +4,14 @@ import math
 
 import pytest
 
-from tessera.plans import retrieval  # noqa: F401
+import tessera.plans  # noqa: F401
+from tessera.operators import features, metrics
 from tessera.queries import QUERIES
+from tessera.sources.adapters import pool, truth
 
 #: Planted in 70 documents, more than a pool holds; only every third document has a label.
 PASSAGE = "violet harbour lantern"
-DOCS = [(i, f"word{i % 7} {PASSAGE} word{i % 5} " + "filler " * (i % 9) if i < 70 else f"word{i % 7} apart{i}", "en", f"src{i % 5}", 10 + i) for i in range(90)]
+DOCS = [(i, f"word{i % 7} {PASSAGE} word{i % 5} " + "filler " * (i % 9) if i < 70 else f"word{i % 7} apart{i}" + " violet" * (i == 71), "en", f"src{i % 5}", 10 + i) for i in range(90)]
 DOCS.append((500, "deep " * 700 + "quartz meadow", "fr", "src9", 3600))
 BENCH = [(0, PASSAGE), (25, "quartz meadow"), (31, "apart72 word1 unknown"), (32, "absent")]
 
@@ -50,3 +52,25 @@ def test_dense_queries_come_from_all_rows(spark, sf):
 def test_pairs_that_share_a_term_are_all_scored(spark, sf):
     got = {(r["query_id"], r["item_id"]): r["score"] for r in QUERIES["score_pairs_whole"](spark, sf).collect()}
     assert {(q, i) for q, i in sharing() if i != 500} <= got.keys() and all(s > 0 for s in got.values())
+
+
+def test_operators_see_documents_beyond_the_pool(spark, sf):
+    legal = [r["item_id"] for r in QUERIES["legal_top50_whole"](spark, sf).where("query_id = 0").collect()]
+    assert sorted(legal) == list(range(0, 70, 3))
+    answers = {r["query_id"]: r["answer"].split() for r in QUERIES["answer_rows_whole"](spark, sf).collect()}
+    assert sorted(map(int, answers[0])) == sorted(legal)
+    ceiling = QUERIES["candidate_ceiling_whole"](spark, sf).first()
+    assert (ceiling["n_queries"], ceiling["ceiling"]) == (2, 1.0)
+    tags = {r["item_id"]: r["tags"].split(",") for r in QUERIES["error_tags_whole"](spark, sf).where("query_id = 0").collect()}
+    assert len(tags) == 70 and sum("close_rank" in t for t in tags.values()) == 20 and not any("candidate_miss" in t for t in tags.values())
+    counts = {r["tag"]: r["n"] for r in QUERIES["error_tag_counts_whole"](spark, sf).collect()}
+    assert counts["close_rank"] == 20 and "candidate_miss" not in counts
+    tiers = [r["tier"] for r in QUERIES["history_reservation_whole"](spark, sf).where("query_id = 0").collect()]
+    assert len(tiers) == 50 and tiers.count(0) == 25
+    union = {(r["query_id"], r["item_id"]): r["channels"].split() for r in QUERIES["candidate_union_whole"](spark, sf).collect()}
+    assert union.keys() == sharing() and {c for v in union.values() for c in v} == set(features.QUOTAS)
+
+
+def test_recall_at_50_needs_no_rank_beyond_the_pool(spark, sf):
+    got = {tuple(r) for r in QUERIES["recall_at_50"](spark, sf).collect()}
+    assert got == {(r["query_id"], r["n_relevant"], r["n_found"], round(r["recall"], 6)) for r in metrics.recall_per_query(pool(spark, sf, None), truth(spark, sf)).collect()}
