@@ -44,10 +44,12 @@ FIELDED_CTE = (
     "fsc AS (SELECT query_id, item_id, round(sum(w), 6) AS score FROM fq JOIN fw USING (term) GROUP BY ALL)"
 )
 _THREE = {"title": "title", "params": "params", "description": "description"}
+#: All features, as in the SQL, which cuts descriptions at 2,500 characters; and whole descriptions too.
+_EVERY, _WHOLE = search.SparseConfig(max_features=None), search.SparseConfig(max_features=None, description_chars=None)
 
 
-def _fielded(spark, sf):
-    return search.search(search.fit_fields(fields(spark, sf), _THREE), search.query_terms(benchmark(spark, sf)))
+def _fielded(spark, sf, cfg=_EVERY):
+    return search.search(search.fit_fields(fields(spark, sf), _THREE, cfg=cfg), search.query_terms(benchmark(spark, sf)))
 
 
 @query(f"WITH {FIELDED_CTE} SELECT query_id, item_id, rank, score FROM (SELECT query_id, item_id, {cut_sql('score', 4)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {cut_sql('score', 4)} DESC, item_id) AS rank FROM fsc WHERE score > 0) WHERE rank <= 50")
@@ -55,13 +57,19 @@ def bm25_fielded(spark, sf):
     return ranking.top_k(_fielded(spark, sf).withColumn("score", cut("score", 4)), 50).select("query_id", "item_id", "rank", "score")
 
 
+@query()
+def bm25_fielded_whole(spark, sf):
+    """Over whole texts; no SQL, for that of bm25_fielded cuts them."""
+    return ranking.top_k(_fielded(spark, sf, _WHOLE).withColumn("score", cut("score", 4)), 50).select("query_id", "item_id", "rank", "score")
+
+
 @query(f"""WITH {FIELDED_CTE}, pr AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM benchmark b, documents WHERE (b.item_id + doc_id) % 37 = 0)
 SELECT query_id, item_id, {cut_sql('coalesce(score, 0e0)', 3)} AS score FROM pr LEFT JOIN fsc USING (query_id, item_id)""")
 def score_pairs(spark, sf):
     q, d = benchmark(spark, sf).select("query_id"), documents(spark, sf).select("item_id")
     # The hashed pairs of a query set with every item stand in for a caller's list of pairs.
     pairs = q.join(d, (F.col("query_id") + F.col("item_id")) % 37 == 0)
-    index = search.fit_fields(fields(spark, sf), _THREE)
+    index = search.fit_fields(fields(spark, sf), _THREE, cfg=_EVERY)
     s = search.score_pairs(pairs, index, search.query_terms(benchmark(spark, sf)))
     return s.select("query_id", "item_id", cut("score", 3).alias("score"))
 
@@ -69,7 +77,7 @@ def score_pairs(spark, sf):
 @query()
 def score_pairs_whole(spark, sf):
     """Every pair that shares a term; no SQL, for that of score_pairs takes one of 37 pairs."""
-    index, terms = search.fit_fields(fields(spark, sf), _THREE), search.query_terms(benchmark(spark, sf))
+    index, terms = search.fit_fields(fields(spark, sf), _THREE, cfg=_WHOLE), search.query_terms(benchmark(spark, sf))
     pairs = terms.join(index, "term").select("query_id", "item_id").distinct()
     return search.score_pairs(pairs, index, terms).select("query_id", "item_id", cut("score", 3).alias("score"))
 
@@ -119,6 +127,14 @@ def bm25_hybrid(spark, sf):
     return ranking.top_k(h, 50).select("query_id", "item_id", "score")
 
 
+@query()
+def bm25_hybrid_whole(spark, sf):
+    """Over whole texts; no SQL, for that of bm25_hybrid cuts them."""
+    title = search.search(search.fit_field_channel(fields(spark, sf), "title"), search.query_terms(benchmark(spark, sf)))
+    h = search.hybrid(_fielded(spark, sf, _WHOLE), title).withColumn("score", cut("score", 4))
+    return ranking.top_k(h, 50).select("query_id", "item_id", "score")
+
+
 _DOT = "list_dot_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(d.embedding, lambda x: x::DOUBLE))"
 
 
