@@ -46,7 +46,7 @@ STAGES = [
     ("mix_sources", mix_sources),
     ("bpe_round_trip", bpe_round_trip),
 ]
-#: No SQL for BPE ids; tests/llm holds the run against brute force.
+#: No SQL for BPE ids; tests/llm compares stages with their operators and ids with the library, not the run with brute force.
 ORACLE_SQL = None
 
 
