@@ -96,6 +96,12 @@ def cold_flags(spark, sf):
     return split.cold_flags(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text")), h)
 
 
+@query()
+def cold_flags_whole(spark, sf):
+    """Against all events; no SQL, for that of cold_flags reads a part of them."""
+    return split.cold_flags(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text")), events(spark, sf))
+
+
 FIT = "held AS (SELECT DISTINCT p_partkey AS item_id, p_name AS text FROM part WHERE p_partkey % 10 = 0), ct AS (SELECT DISTINCT p_name AS text FROM part WHERE p_size = 7), fit AS (SELECT * FROM ev WHERE item_id NOT IN (SELECT item_id FROM held) AND text NOT IN (SELECT text FROM ct))"
 
 

@@ -108,8 +108,8 @@ _PRIOR = "pri AS (SELECT lang, ln((count(*) + 1e0) / (sum(count(*)) OVER () + co
 _MULTI = "mw AS (SELECT lang, term, ln(c + 1e-1) - ln(sum(c + 1e-1) OVER (PARTITION BY lang)) AS weight FROM gr)"
 
 
-def _nb_counts(spark, sf):
-    d = documents(spark, sf).where(F.col("item_id") % 5 != 0).select(F.col("item_id").cast("string").alias("text"), F.col("lang").alias("class"), T.tokens(F.col("text")).alias("tok"))
+def _nb_counts(spark, sf, fold="item_id % 5 <> 0"):
+    d = documents(spark, sf).where(fold).select(F.col("item_id").cast("string").alias("text"), F.col("lang").alias("class"), T.tokens(F.col("text")).alias("tok"))
     terms = d.select("text", F.explode("tok").alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
     return d.select("class", "text"), terms, intent.class_counts(d, terms)
 
@@ -119,6 +119,12 @@ def nb_counts(spark, sf):
     return _nb_counts(spark, sf)[2]
 
 
+@query()
+def nb_counts_whole(spark, sf):
+    """Over all documents; no SQL, for that of nb_counts leaves a fold out."""
+    return _nb_counts(spark, sf, "true")[2]
+
+
 @query(f"WITH {NB}, {_MULTI} SELECT lang AS class, term, round(weight, 5) AS weight FROM mw")
 def nb_weights_multinomial(spark, sf):
     return intent.multinomial(_nb_counts(spark, sf)[2]).withColumn("weight", F.round("weight", 5))

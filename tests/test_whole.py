@@ -1,6 +1,8 @@
 """Queries over whole tables, against plain Python on a small fixture."""
 
 import math
+from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -82,3 +84,16 @@ def test_deep_passages_and_rare_terms_stay_in_the_index(spark, sf):
     d = spark.createDataFrame([(i, f"common t{i}") for i in range(4)] + [(4, "other")], "item_id long, text string")
     few, all_ = ({r["term"] for r in search.fit_fields(d, {"description": "text"}, cfg=search.SparseConfig(max_features=n)).collect()} for n in (2, None))
     assert len(few) == 2 and {f"w:t{i}" for i in range(4)} | {"w:common", "w:other"} <= all_
+
+
+def test_class_counts_leave_no_document_out(spark, sf):
+    got = {(r["class"], r["term"]): r["c"] for r in QUERIES["nb_counts_whole"](spark, sf).collect()}
+    assert got == Counter((lang, w) for _, t, lang, *_ in DOCS for w in t.split())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_texts_with_any_event_are_not_cold(spark):
+    at = "/root/testdata/sf0.001"
+    parts, bought = spark.read.parquet(f"{at}/part.parquet").select("p_partkey", "p_name").collect(), {r[0] for r in spark.read.parquet(f"{at}/lineitem.parquet").select("l_partkey").distinct().collect()}
+    known = {name for key, name in parts if key in bought}
+    assert {(r["item_id"], r["cold"]) for r in QUERIES["cold_flags_whole"](spark, at).collect()} == {(key, name not in known) for key, name in parts}
