@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separators of words here; also what bytes.split() splits at.
 SPACE = "[\\x20\\x09-\\x0D]"
 NO_SPACE = "[^\\x20\\x09-\\x0D]"
+_own_dir: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,11 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or in a local session without one a folder of our own.
+
+    A cluster without the setting raises: its executors would each write to a disk of their own.
+    """
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
-        set_to = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        set_to = _own_dir[0]
     return set_to.rstrip("/")
 
 
@@ -32,7 +40,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage by a Parquet table in the shared folder (one computation; checkpoint() takes two)."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
     out = spark.read.schema(schema).parquet(path)
@@ -40,12 +48,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table of materialize() that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "kept_at", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that no later plan reads."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "kept_at", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name as F.col() takes it literally, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        name = f"__{w}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def parts(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, discard, materialize, parts, table
+from tessera.llm.common import discard, free_names, materialize, quoted, table
 
 K, PERCENT = 5, 80
 #: Tables of so many rows at most are broadcast; larger ones go by a shuffle.
@@ -28,7 +28,10 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def line_tokens(line, k: int = K):
     """Expressions (words, tokens of `words`): distinct hashes of the k-word shingles, or of all words where there are fewer."""
-    words = F.array_remove(F.split(F.lower(line), SPACE + "+"), "")
+    plain = F.lower(line)
+    for c in "\t\x0b\f\r":  # splitting at one character takes no regular expression
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    words = F.array_remove(F.split(plain, " "), "")
 
     def tokens(w):
         each = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
@@ -42,19 +45,20 @@ def _prefix(n, percent: int):
     return n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
 
 
-def _near(alive: DataFrame, percent: int, wide: int) -> DataFrame:
-    """(h1) of the lines in `alive` (h1, at, toks) that match an earlier one, all distinct.
+def _near(kept: DataFrame, percent: int) -> DataFrame:
+    """(id) of the lines in `kept` (id, at, toks) that match an earlier one, all distinct.
 
     Tokens go in order of rarity among these lines, ties by hash; those of the prefix that occur twice are indexed. What
-    occurs once stands first in that order and in no intersection, so it only counts: it never travels.
+    occurs once stands first in that order and in no intersection, so it only counts: it never travels. Two lines that
+    match share their first common token inside both prefixes; nothing before it is common, so the tokens after it
+    decide, and only they stand beside a posting.
     """
-    each = alive.select("h1", F.explode("toks").alias("tok"))
-    common = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1")
-    g = common.groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
-    g = g.select("h1", F.col("t.tok").alias("t")).join(alive.select("h1", "at", F.size("toks").alias("n")), "h1")
-    g = materialize(g)
-    posts = g.select("h1", "at", "n", F.size("t").alias("m"), "t", F.posexplode("t").alias("i", "tok")).withColumn("p", F.col("n") - F.col("m") + F.col("i"))
-    posts = posts.where(F.col("p") < _prefix(F.col("n"), percent)).drop("i")
+    each = kept.select("id", F.size("toks").alias("n"), "at", F.explode("toks").alias("tok"))
+    common = each.select("id", "tok").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1")
+    g = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    g = materialize(g.select("id", F.col("t.tok").alias("t")).join(kept.select("id", "at", F.size("toks").alias("n")), "id"))
+    posts = g.select("id", "at", "n", F.size("t").alias("m"), "t", F.posexplode("t").alias("i", "tok")).withColumn("p", F.col("n") - F.col("m") + F.col("i"))
+    posts = posts.where(F.col("p") < _prefix(F.col("n"), percent))
 
     def fits(x, y):
         c = lambda t, n: F.col(f"{t}.{n}")
@@ -63,22 +67,23 @@ def _near(alive: DataFrame, percent: int, wide: int) -> DataFrame:
         most = F.least(c(x, "p"), c(y, "p")) + F.least(c(x, "n") - c(x, "p"), c(y, "n") - c(y, "p"))
         return (c(x, "tok") == c(y, "tok")) & (c(y, "at") < c(x, "at")) & (F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent) & (most * (100 + percent) >= n * percent)
 
-    def similar(a, b, n):
-        return F.size(F.array_intersect(a, b)) * (100 + percent) >= n * percent
-
     # A semi join stops at the first match and returns each posting once at most: no pairs of a group of copies.
-    short = posts.where(F.col("m") <= LONG).repartition(wide, "tok")
+    short = posts.where(F.col("m") <= LONG).select("id", "at", "n", "p", "tok", F.slice("t", F.col("i") + 2, F.col("m")).alias("tail"))
     x, y = short.alias("x"), short.alias("y")
-    found = x.join(y, fits("x", "y") & similar(F.col("x.t"), F.col("y.t"), F.col("x.n") + F.col("y.n")), "left_semi").select("h1")
+    both = 1 + F.size(F.array_intersect("x.tail", "y.tail"))
+    found = x.join(y, fits("x", "y") & (both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent), "left_semi").select("id")
     # Lines with many common tokens would stand beside too many postings: their pairs meet first, then their tokens.
-    thin = posts.drop("t")
+    thin = posts.select("id", "at", "n", "m", "p", "tok")
     x, y = thin.where(F.col("m") > LONG).alias("x"), thin.alias("y")
-    one = x.join(y, fits("x", "y")).select(F.col("x.h1").alias("h1"), F.col("y.h1").alias("g1"))
+    one = x.join(y, fits("x", "y")).select(F.col("x.id").alias("id"), F.col("y.id").alias("other"))
     x, y = thin.where(F.col("m") <= LONG).alias("x"), thin.where(F.col("m") > LONG).alias("y")
-    two = x.join(y, fits("x", "y")).select(F.col("x.h1").alias("h1"), F.col("y.h1").alias("g1"))
-    full = g.select("h1", "n", "t")
-    pairs = one.union(two).distinct().join(full, "h1").join(full.toDF("g1", "gn", "gt"), "g1")
-    return found.union(pairs.where(similar(F.col("t"), F.col("gt"), F.col("n") + F.col("gn"))).select("h1")).distinct()
+    two = x.join(y, fits("x", "y")).select(F.col("x.id").alias("id"), F.col("y.id").alias("other"))
+    full = g.select("id", "n", "t")
+    pairs = one.union(two).distinct().join(full, "id").join(full.toDF("other", "on", "ot"), "other")
+    alike = F.size(F.array_intersect("t", "ot")) * (100 + percent) >= (F.col("n") + F.col("on")) * percent
+    out = materialize(found.union(pairs.where(alike).select("id")).distinct())
+    discard(g)
+    return out
 
 
 def removed_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str = "doc_id", text: str = "text", small_rows: int = SMALL_ROWS) -> DataFrame:
@@ -89,29 +94,31 @@ def removed_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str
     (lower case), or all of its words as one token where there are fewer than k; lines without a word are neither
     removed nor compared.
 
-    Equal lines become one line first. Screening: every line's prefix under an order by hash is counted; lines that
-    share no prefix token with another can't match and drop out, without loss. The join by rarity runs on the rest.
+    Equal lines become one line first. Screening: every line's prefix under an order by hash goes by token and size;
+    sizes of lines that share a token stand in order, so a line whose neighbours there are too short or too long can't
+    match through it. Lines left with no token drop out, without loss. The join by rarity runs on the rest.
     """
-    spark = docs.sparkSession
-    wide = 2 * parts(spark)
     at = F.struct("doc", "row", "pos")
     lines = _lines(docs, key, text)
-    copies = materialize(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    once = lines.withColumn("at", at).join(_sized(copies, small_rows), ["h1", "h2"], "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(F.col("at")))
-    # Rows that repeat a key and its text have the same place: one of them is enough.
+    twice = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    copies = lines.join(_sized(twice, small_rows), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct(at.alias("first"), "line")).alias("m"))
+    copies = materialize(copies.select("h1", "h2", "m.first", "m.line"))
+    # Rows that repeat a key and its text repeat their lines: what is left here stands once.
+    alone = lines.join(_sized(twice, small_rows), ["h1", "h2"], "left_anti").select("h1", "h2", at.alias("at"), "line")
+    once = alone.union(copies.select("h1", "h2", F.col("first").alias("at"), "line"))
     words, tokens = line_tokens(F.col("line"), k)
-    made = once.withColumn("w", words).withColumn("toks", tokens(F.col("w")))
-    heads = made.select("h1", F.explode(F.slice(F.sort_array("toks"), F.lit(1), _prefix(F.size("toks"), percent))).alias("tok"))
-    shared = heads.withColumn("lo", F.min("h1").over(Window.partitionBy("tok"))).withColumn("hi", F.max("h1").over(Window.partitionBy("tok"))).where("lo <> hi")
-    alive = materialize(shared.select("h1").distinct())
-    kept = once.join(_sized(alive, small_rows), "h1", "left_semi").withColumn("w", words).withColumn("toks", tokens(F.col("w")))
-    kept = materialize(kept.select("h1", "h2", "at", "toks").dropDuplicates(["h1"]))
-    near = materialize(_near(kept, percent, wide).withColumn("near", F.lit(True)))
-    near = near.join(kept.select("h1", "h2"), "h1")
-    gone = materialize(copies.join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    for t in (copies, alive, kept):
-        discard(t)
-    out = lines.withColumn("at", at).join(_sized(gone, small_rows), ["h1", "h2"]).where(F.col("near") | ~F.col("first").eqNullSafe(F.col("at")))
+    made = once.select("h1", words.alias("w")).select("h1", tokens(F.col("w")).alias("toks"))
+    heads = made.select("h1", F.size("toks").alias("n"), F.explode(F.slice(F.sort_array("toks"), F.lit(1), _prefix(F.size("toks"), percent))).alias("tok"))
+    by = Window.partitionBy("tok").orderBy("n")
+    heads = heads.withColumn("shorter", F.lag("n").over(by)).withColumn("longer", F.lead("n").over(by))
+    alive = materialize(heads.where((F.col("shorter") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("longer") * percent)).select("h1").distinct())
+    kept = once.join(_sized(alive, small_rows), "h1", "left_semi").select("h1", "h2", "at", words.alias("w")).select("h1", "h2", "at", tokens(F.col("w")).alias("toks"))
+    kept = materialize(kept.withColumn("id", F.monotonically_increasing_id()))
+    near = _near(kept, percent)
+    near = kept.select("id", "h1", "h2").join(_sized(near, small_rows), "id", "left_semi").select("h1", "h2", F.lit(True).alias("near"))
+    gone = materialize(copies.select("h1", "h2", "first").join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    discard(twice, copies, alive, kept)
+    out = lines.drop("line").withColumn("at", at).join(_sized(gone, small_rows), ["h1", "h2"]).where(F.col("near") | ~F.col("first").eqNullSafe(F.col("at")))
     return out.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
@@ -119,19 +126,20 @@ def dedup_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str =
     """docs with `text` cut to the lines kept, and n_lines (with a word) and n_removed (long), as removed_lines() says.
 
     Null texts stay null with no lines; lines without a word stay; a text all of whose lines go becomes empty. Rows
-    that repeat key and text lose the same lines. Other columns pass through; columns n_lines and n_removed are
-    replaced. An empty table stays empty.
+    that repeat key and text lose the same lines. Other columns pass through, whatever their names; only columns
+    n_lines and n_removed are replaced. An empty table stays empty.
     """
-    gone = materialize(removed_lines(docs, k, percent, key, text, small_rows))
+    gone = materialize(removed_lines(docs.select(key, text), k, percent, key, text, small_rows))
     d = docs.drop("n_lines", "n_removed")
-    g = _sized(gone.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("positions").alias("__gone")), small_rows)
-    j = d.join(g, F.col(key).eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(text)) == F.col("__row")), "left")
+    doc, row, cuts = free_names(d, "doc", "row", "cuts")
+    g = _sized(gone.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("positions").alias(cuts)), small_rows)
+    j = d.join(g, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(row)), "left")
     every = F.split(F.col(text), "\n")
-    cut = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    cut = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(cuts, i)), "\n")
     n = F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0))
     lines = F.when(F.col(text).isNull(), 0).otherwise(n).cast("long")
-    changed = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut)
-    return j.select(*(changed.alias(c) if c == text else F.col(c) for c in d.columns), lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    changed = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(cut)
+    return j.select(*(changed.alias(c) if c == text else F.col(quoted(c)) for c in d.columns), lines.alias("n_lines"), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
