@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separators of words here; also what bytes.split() splits at.
 SPACE = "[\\x20\\x09-\\x0D]"
 NO_SPACE = "[^\\x20\\x09-\\x0D]"
+#: What a broadcast side of a join may have; larger ones go by a shuffle.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
 _own_dir: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,6 +59,17 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sized(right: DataFrame, limit: int | None = None) -> DataFrame:
+    """A side of a join, marked for broadcast if it was counted to have at most limit rows (SMALL_ROWS, if None) and, as
+    a table of materialize(), takes at most SMALL_BYTES of files."""
+    path, spark = getattr(right, "kept_at", None), right.sparkSession
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() > SMALL_BYTES:
+            return right
+    return F.broadcast(right) if right.count() <= (SMALL_ROWS if limit is None else limit) else right
+
+
 def quoted(name: str) -> str:
     """A column's name as F.col() takes it literally, dots and all."""
     return "`" + name.replace("`", "``") + "`"
@@ -103,19 +116,21 @@ def _union_find(frames):
     yield pd.DataFrame({"id": ids, "component": [root(x) for x in ids]}, dtype="int64")
 
 
-def components(edges: DataFrame, max_rounds: int = 40, small_edges: int = SMALL_EDGES) -> DataFrame:
+def components(edges: DataFrame, small_edges: int = SMALL_EDGES, loops: bool = False) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (id, component), the component being its smallest id.
 
     A counted set of at most small_edges edges is joined in one task. More take alternating large-star and small-star
-    steps, each one aggregation over the edges; every round is written to the shared folder. Ids without an edge don't appear. Edges may repeat, loop, and stand in either direction. No edges
-    give no rows.
+    steps, each one aggregation over the edges, until one changes nothing; every round is written to the shared folder.
+    Ids without an edge don't appear, but with `loops` those that have an edge to themselves do. Edges may repeat, loop,
+    and stand in either direction. No edges give no rows.
     """
-    spark = edges.sparkSession
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialize(e if loops else e.where("u <> v"))
     if e.count() <= small_edges:
         return e.coalesce(1).mapInPandas(_union_find, "id long, component long")
-    mark = None
-    for _ in range(max_rounds):
+    alone = e.where("u = v").select(F.col("u").alias("id"), F.col("v").alias("component"))
+    every, e, mark = e, e.where("u <> v"), None
+    while True:
         # Large star: every neighbour above u hangs on the least of u and its neighbours.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -130,4 +145,8 @@ def components(edges: DataFrame, max_rounds: int = 40, small_edges: int = SMALL_
         if now == mark:
             break
         mark = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    if not loops:
+        discard(every)
+        return out
+    return out.union(alone.join(out, "id", "left_anti"))

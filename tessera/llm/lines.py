@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, free_names, materialize, quoted, table
+from tessera.llm.common import SMALL_ROWS, discard, free_names, materialize, quoted, sized, table
 
 K, PERCENT = 5, 80
-#: Tables of so many rows at most are broadcast; larger ones go by a shuffle.
-SMALL_ROWS = 1_000_000
 #: Lines with more tokens than this are verified by a join of pairs instead of with their tokens beside each posting.
 LONG = 512
 
 
-def _sized(right: DataFrame, limit: int) -> DataFrame:
-    """The written table, marked for broadcast if it was counted to be small."""
-    return F.broadcast(right) if right.count() <= limit else right
-
-
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, row, pos, line, h1, h2): lines with a word; row tells texts of one key apart, h1 and h2 are the line's identity."""
     d = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
@@ -46,17 +39,17 @@ def _prefix(n, percent: int):
 
 
 def _near(kept: DataFrame, percent: int) -> DataFrame:
-    """(id) of the lines in `kept` (id, at, toks) that match an earlier one, all distinct.
+    """(h1, h2) of the lines in `kept` (id, h1, h2, at, toks), all distinct, that match an earlier one; deletes `kept`.
 
     Tokens go in order of rarity among these lines, ties by hash; those of the prefix that occur twice are indexed. What
     occurs once stands first in that order and in no intersection, so it only counts: it never travels. Two lines that
     match share their first common token inside both prefixes; nothing before it is common, so the tokens after it
     decide, and only they stand beside a posting.
     """
-    each = kept.select("id", F.size("toks").alias("n"), "at", F.explode("toks").alias("tok"))
-    common = each.select("id", "tok").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1")
+    common = kept.select("id", F.explode("toks").alias("tok")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1")
     g = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
-    g = materialize(g.select("id", F.col("t.tok").alias("t")).join(kept.select("id", "at", F.size("toks").alias("n")), "id"))
+    g = materialize(g.select("id", F.col("t.tok").alias("t")).join(kept.select("id", "h1", "h2", "at", F.size("toks").alias("n")), "id"))
+    discard(kept)
     posts = g.select("id", "at", "n", F.size("t").alias("m"), "t", F.posexplode("t").alias("i", "tok")).withColumn("p", F.col("n") - F.col("m") + F.col("i"))
     posts = posts.where(F.col("p") < _prefix(F.col("n"), percent))
 
@@ -71,7 +64,8 @@ def _near(kept: DataFrame, percent: int) -> DataFrame:
     short = posts.where(F.col("m") <= LONG).select("id", "at", "n", "p", "tok", F.slice("t", F.col("i") + 2, F.col("m")).alias("tail"))
     x, y = short.alias("x"), short.alias("y")
     both = 1 + F.size(F.array_intersect("x.tail", "y.tail"))
-    found = x.join(y, fits("x", "y") & (both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent), "left_semi").select("id")
+    # The ids say nothing new, but with them both sides need the same columns, and so one shuffle.
+    found = x.join(y, fits("x", "y") & (F.col("x.id") != F.col("y.id")) & (both * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent), "left_semi").select("id")
     # Lines with many common tokens would stand beside too many postings: their pairs meet first, then their tokens.
     thin = posts.select("id", "at", "n", "m", "p", "tok")
     x, y = thin.where(F.col("m") > LONG).alias("x"), thin.alias("y")
@@ -81,7 +75,7 @@ def _near(kept: DataFrame, percent: int) -> DataFrame:
     full = g.select("id", "n", "t")
     pairs = one.union(two).distinct().join(full, "id").join(full.toDF("other", "on", "ot"), "other")
     alike = F.size(F.array_intersect("t", "ot")) * (100 + percent) >= (F.col("n") + F.col("on")) * percent
-    out = materialize(found.union(pairs.where(alike).select("id")).distinct())
+    out = materialize(g.select("id", "h1", "h2").join(found.union(pairs.where(alike).select("id")).distinct(), "id", "left_semi").select("h1", "h2").distinct())
     discard(g)
     return out
 
@@ -100,25 +94,23 @@ def removed_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str
     """
     at = F.struct("doc", "row", "pos")
     lines = _lines(docs, key, text)
-    twice = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    copies = lines.join(_sized(twice, small_rows), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct(at.alias("first"), "line")).alias("m"))
-    copies = materialize(copies.select("h1", "h2", "m.first", "m.line"))
-    # Rows that repeat a key and its text repeat their lines: what is left here stands once.
-    alone = lines.join(_sized(twice, small_rows), ["h1", "h2"], "left_anti").select("h1", "h2", at.alias("at"), "line")
-    once = alone.union(copies.select("h1", "h2", F.col("first").alias("at"), "line"))
+    places = materialize(lines.drop("line"))
+    twice = materialize(places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    copies = materialize(places.join(sized(twice, small_rows), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(at).alias("first")))
+    # Rows that repeat a key and its text repeat their lines at the same places, and no place comes before itself.
+    once = lines.withColumn("at", at).join(sized(copies, small_rows), ["h1", "h2"], "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(F.col("at")))
     words, tokens = line_tokens(F.col("line"), k)
     made = once.select("h1", words.alias("w")).select("h1", tokens(F.col("w")).alias("toks"))
     heads = made.select("h1", F.size("toks").alias("n"), F.explode(F.slice(F.sort_array("toks"), F.lit(1), _prefix(F.size("toks"), percent))).alias("tok"))
     by = Window.partitionBy("tok").orderBy("n")
     heads = heads.withColumn("shorter", F.lag("n").over(by)).withColumn("longer", F.lead("n").over(by))
     alive = materialize(heads.where((F.col("shorter") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("longer") * percent)).select("h1").distinct())
-    kept = once.join(_sized(alive, small_rows), "h1", "left_semi").select("h1", "h2", "at", words.alias("w")).select("h1", "h2", "at", tokens(F.col("w")).alias("toks"))
+    kept = once.join(sized(alive, small_rows), "h1", "left_semi").select("h1", "h2", "at", words.alias("w")).select("h1", "h2", "at", tokens(F.col("w")).alias("toks"))
     kept = materialize(kept.withColumn("id", F.monotonically_increasing_id()))
-    near = _near(kept, percent)
-    near = kept.select("id", "h1", "h2").join(_sized(near, small_rows), "id", "left_semi").select("h1", "h2", F.lit(True).alias("near"))
-    gone = materialize(copies.select("h1", "h2", "first").join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    discard(twice, copies, alive, kept)
-    out = lines.drop("line").withColumn("at", at).join(_sized(gone, small_rows), ["h1", "h2"]).where(F.col("near") | ~F.col("first").eqNullSafe(F.col("at")))
+    near = _near(kept, percent).withColumn("near", F.lit(True))
+    gone = materialize(copies.join(near, ["h1", "h2"], "full").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    discard(twice, copies, alive)
+    out = places.withColumn("at", at).join(sized(gone, small_rows), ["h1", "h2"]).where(F.col("near") | ~F.col("first").eqNullSafe(F.col("at")))
     return out.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
@@ -132,7 +124,7 @@ def dedup_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str =
     gone = materialize(removed_lines(docs.select(key, text), k, percent, key, text, small_rows))
     d = docs.drop("n_lines", "n_removed")
     doc, row, cuts = free_names(d, "doc", "row", "cuts")
-    g = _sized(gone.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("positions").alias(cuts)), small_rows)
+    g = sized(gone, small_rows).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("positions").alias(cuts))
     j = d.join(g, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(row)), "left")
     every = F.split(F.col(text), "\n")
     cut = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(cuts, i)), "\n")
