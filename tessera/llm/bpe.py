@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Iterator
 
@@ -13,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import NO_SPACE, materialize, parts, table
+from tessera.llm.common import NO_SPACE, free_names, materialize, parts, quoted, table
 
 #: The packed word table goes to the workers up to so many bytes; a larger one is joined by a shuffle.
 PACKED_BYTES = 128 << 20
-FLUSH_BYTES, MEMO_WORDS, BATCH_ROWS = 24 << 20, 200_000, 1000
+FLUSH_BYTES, MEMO_WORDS, BATCH_ROWS = 24 << 20, 100_000, 1000
 _loaded: dict = {}
 
 
@@ -52,17 +51,30 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word binary): every distinct run of characters other than ASCII white space; null texts have none."""
+_TABLE = "words binary, h binary, n binary, ids binary, n_words long, n_ids long"
+
+
+def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The distinct words (runs of characters other than ASCII white space) of all texts, each encoded once.
+
+    A row holds those of one bucket of hashes, packed: the words joined by spaces, their 64-bit hashes, how many ids each
+    has (uint32), and the ids (uint32). Null texts have none. White space never reaches an id under a vocabulary whose
+    pre-tokenizer drops it, so the ids of a text are those of its words, one after the other; special tokens inside a
+    word are found as the library finds them.
+    """
+    buckets = 4 * parts(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         held = 0
 
         def out():
-            words = sorted(seen)
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary())], ["word"])
+            words = list(seen)
+            where = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(where, kind="stable")
+            values, starts = np.unique(where[order], return_index=True)
+            blobs = [b" ".join([words[i] for i in part]) for part in np.split(order, starts[1:])] if words else []
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(blobs, pa.binary())], ["bucket", "words"])
 
         for batch in batches:
             for t in _column(batch, "t"):
@@ -74,27 +86,34 @@ def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
                     seen, held = set(), 0
         yield from out()
 
-    found = docs.select(F.col(text).alias("t")).mapInArrow(split, "word binary")
-    return found.repartition(4 * parts(docs.sparkSession), "word").distinct()  # a fixed number: few bytes here are much work later
+    def encode(bucket: pa.Table) -> pa.Table:
+        t, seen = tokenizer(path), set()
+        for blob in bucket.column("words").to_pylist():
+            seen.update(blob.split(b" "))
+        words, n, ids = sorted(seen), [], []
+        for i in range(0, len(words), 2000):
+            for e in t.encode_batch_fast([w.decode() for w in words[i : i + 2000]], add_special_tokens=False):
+                n.append(len(e.ids))
+                ids += e.ids
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        blobs = [b" ".join(words), h.tobytes(), np.array(n, np.uint32).tobytes(), np.array(ids, np.uint32).tobytes()]
+        return pa.table({**{c: pa.array([x], pa.binary()) for c, x in zip(("words", "h", "n", "ids"), blobs, strict=True)}, "n_words": pa.array([len(words)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
 
+    found = docs.select(F.col(quoted(text)).alias("t")).mapInArrow(split, "bucket long, words binary")
+    return found.groupBy("bucket").applyInArrow(encode, _TABLE)
 
-def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(word binary, ids array<int>): each distinct word, encoded once.
 
-    White space never reaches an id under a vocabulary whose pre-tokenizer drops it, so the ids of a text are those of
-    its words, one after the other; special tokens inside a word are found as the library finds them.
-    """
+def _unpacked(words: DataFrame) -> DataFrame:
+    """(word binary, ids array<int>) of a word table, row by row."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids: list = []
-            for i in range(0, len(words), 2000):
-                ids += [e.ids for e in t.encode_batch_fast([w.decode() for w in words[i : i + 2000]], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob, n, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(n, np.uint32))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.uint32).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(blob.split(b" "), pa.binary()), lists], ["word", "ids"])
 
-    return distinct_words(docs, text).mapInArrow(encode, "word binary, ids array<int>")
+    return words.select("words", "n", "ids").mapInArrow(run, "word binary, ids array<int>")
 
 
 class _Packed:
@@ -105,17 +124,10 @@ class _Packed:
 
 
 def _pack(words: DataFrame, n_words: int, n_ids: int) -> _Packed:
-    """The table in the driver, batch by batch as three byte strings into arrays of known size: never as rows."""
-
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()), np.uint64, b.num_rows)
-            values, offsets = _flat(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(offsets).astype(np.uint32), values.astype(np.uint32))], ["h", "n", "ids"])
-
+    """The table in the driver, bucket by bucket into arrays of known size."""
     hashes, n, ids = np.empty(n_words, np.uint64), np.empty(n_words, np.uint32), np.empty(n_ids, np.uint16)
     i = j = 0
-    for r in words.mapInArrow(blobs, "h binary, n binary, ids binary").toLocalIterator():
+    for r in words.select("h", "n", "ids").toLocalIterator():
         h, m, x = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.uint32), np.frombuffer(r["ids"], np.uint32)
         if ids.dtype == np.uint16 and x.max(initial=0) >= 1 << 16:
             ids = ids.astype(np.uint32)
@@ -123,7 +135,7 @@ def _pack(words: DataFrame, n_words: int, n_ids: int) -> _Packed:
         i, j = i + len(h), j + len(x)
     start = (np.cumsum(n, dtype=np.uint64) - n).astype(np.uint32)
     order = np.argsort(hashes).astype(np.uint32)
-    return _Packed(hashes[order], start[order], n[order], ids)
+    return _Packed(hashes[order], start[order], (n.astype(np.uint16) if n.max(initial=0) < 1 << 16 else n)[order], ids)
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +165,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     spark = docs.sparkSession
     _small_batches(spark)
     words = materialize(word_table(docs, path, text))
-    n_words, n_ids = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    n_words, n_ids = words.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
     docs = docs.drop(ids)
     if 16 * n_words + 2 * n_ids > packed_bytes:
         return _encode_joined(docs, words, text, ids)
@@ -184,39 +196,41 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
 
 def _encode_joined(docs: DataFrame, words: DataFrame, text: str, ids: str) -> DataFrame:
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    texts = docs.select(key.alias("__key"), F.col(text).alias("__text")).groupBy("__key").agg(F.first("__text").alias("__text"))
-    at = texts.select("__key", F.posexplode(F.regexp_extract_all("__text", F.lit(f"({NO_SPACE}+)"), F.lit(1))).alias("__pos", "__word"))
-    named = words.select(F.col("word").alias("__w"), F.col("ids").alias("__ids"))
-    got = at.join(named, F.encode("__word", "UTF-8") == F.col("__w")).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("__pos", "__ids"))).alias("__all"))
-    got = got.select("__key", F.flatten(F.col("__all.__ids")).alias(ids))
-    return docs.withColumn("__key", key).join(got, "__key", "left").withColumn(ids, F.coalesce(ids, F.array().cast("array<int>"))).drop("__key")
+    (key,) = free_names(docs, "key")
+    sha = F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256)
+    texts = docs.select(sha.alias("key"), F.col(quoted(text)).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    at = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(f"({NO_SPACE}+)"), F.lit(1))).alias("pos", "word"))
+    named = _unpacked(words).select(F.col("word").alias("w"), F.col("ids").alias("piece_ids"))
+    got = at.join(named, F.encode("word", "UTF-8") == F.col("w")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "piece_ids"))).alias("every"))
+    got = got.select(F.col("key").alias(key), F.flatten(F.col("every.piece_ids")).alias(ids))
+    done = docs.withColumn(key, sha).join(got, key, "left").withColumn(ids, F.coalesce(F.col(quoted(ids)), F.array().cast("array<int>")))
+    return done.select(*(F.col(quoted(c)) for c in docs.columns), F.col(quoted(ids)))
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the column `text`: what the library's decode(ids, skip_special_tokens=False) gives; null ids: empty.
 
-    Ids meet their pieces through the vocabulary's own table, whose size the vocabulary bounds. Without a decoder the
-    library joins pieces by spaces; with one, its decoder runs.
+    Each id meets its piece by its place in the table of pieces, one row of the plan whose size the vocabulary bounds. A
+    vocabulary without a decoder has its pieces joined by spaces, as the library does; with one, the library's own
+    decoder runs on the ids. A column named like `text` is replaced, others pass through.
     """
     path = path or vocabulary_path()
+    t = tokenizer(path)
     docs = docs.drop(text)
-    _small_batches(docs.sparkSession)
+    if t.decoder is None:
+        pieces = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
+        cut = next(c for c in map(chr, range(1, 32)) if not any(c in p for p in pieces))
+        table_of = F.split(F.lit(cut.join(pieces)), cut)  # folded to one array when the plan is made
+        said = F.array_join(F.transform(F.col(quoted(ids)), lambda i: F.get(table_of, i)), " ")
+        return docs.withColumn(text, F.coalesce(said, F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        pieces = None
-        if t.decoder is None:
-            pieces = np.array([t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))], object)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 values, at = _flat(batch.column(batch.schema.get_field_index(ids)).fill_null([]))
-                if pieces is None:
-                    said = [t.decode(values[i:j].tolist(), skip_special_tokens=False) for i, j in zip(at[:-1], at[1:], strict=True)]
-                else:
-                    each = pieces[values].tolist()
-                    said = [" ".join(each[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                said = [t.decode(values[i:j].tolist(), skip_special_tokens=False) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, text])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())]))
@@ -224,21 +238,9 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str
 
 def ids_digest(docs: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> DataFrame:
     """docs without `ids`, with the hex SHA-256 of the decimal ids joined by one space, and n_tokens."""
-    keep = [f for f in docs.drop(ids, out, "n_tokens").schema.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said = np.zeros(0, object)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                values, at = _flat(batch.column(batch.schema.get_field_index(ids)).fill_null([]))
-                if (most := values.max(initial=-1)) >= len(said):
-                    said = np.array([b"%d" % i for i in range(most + 1)], object)
-                each = said[values].tolist()
-                digests = [hashlib.sha256(b" ".join(each[i:j])).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array(np.diff(at)), pa.array(digests, pa.string())], [*(f.name for f in keep), "n_tokens", out])
-
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField(out, T.StringType())]))
+    have = F.coalesce(F.col(quoted(ids)), F.array().cast("array<int>"))
+    done = docs.withColumns({"n_tokens": F.size(have).cast("long"), out: F.sha2(F.array_join(have.cast("array<string>"), " "), 256)})
+    return done.drop(ids)
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
