@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize, parts, table
+from tessera.llm.common import components, discard, materialize, parts, sized, table
 
 #: A signature has CHUNKS * WIDTH components of 16 bits. With ERRORS allowed in a chunk, pigeonhole finds every pair whose
 #: signatures differ in at most CHUNKS * (ERRORS + 1) - 1 components; of pairs with Jaccard 0.85, all but 3 in 10 million
 #: have such a chunk (0.8: all but 2 in 100,000 with 10 chunks, 3 in a million with 12).
 CHUNKS, WIDTH, ERRORS, SEED = 12, 6, 1, 1
-#: Turns of stars before the pairs that remain, and different pivots that the keys of one group can have in a turn.
-STAR_ROUNDS, PIVOTS = 2, 8
+#: Different pivots that the keys of one group can have in the stars that come before the remaining pairs.
+PIVOTS = 8
+#: Bytes of a block of nodes whose pairs are tested in place: their sets, and NODE_BYTES for each node besides.
+BLOCK_BYTES, NODE_BYTES = 2 << 20, 2048
 MEMO_WORDS = 400_000
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)
@@ -124,14 +125,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def distance_limit(size: int, percent: int) -> int:
-    """The signature distance that pairs at the similarity threshold exceed with a probability under one in a million."""
-    p, d, tail = 1 - percent / 100, size, 0.0
-    while d > 0 and (tail := tail + math.comb(size, d) * p**d * (1 - p) ** (size - d)) < 1e-6:
-        d -= 1
-    return d
-
-
 def _apart(members: DataFrame, part: DataFrame) -> DataFrame:
     """members with their component, of the keys whose members lie in more than one."""
     m = members.select("key", "rep", "n").join(part.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -139,17 +132,108 @@ def _apart(members: DataFrame, part: DataFrame) -> DataFrame:
     return m.join(keys, "key", "left_semi")
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, chunks: int, most: int) -> DataFrame:
-    """Pairs whose signatures differ in at most `most` components."""
+_BLOCK = ["block", "reps", "families", "parts", "sigs", "sizes", "sets"]
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """(rep, family, component, block): nodes (rep, family, component, n) dealt to blocks of BLOCK_BYTES in order of family.
+
+    Sorted by ranges; only the sizes of the ranges meet.
+    """
+    spark = nodes.sparkSession
+    d = nodes.repartitionByRange(parts(spark), "family", "rep").sortWithinPartitions("family", "rep")
+    d = materialize(d.select("rep", "family", "component", (8 * F.col("n") + NODE_BYTES).alias("w"), F.spark_partition_id().alias("p")))
+    before, total = [F.lit(-1), F.lit(0).cast("long")], 0
+    for r in sorted(d.groupBy("p").agg(F.sum("w").alias("w")).collect(), key=lambda r: r["p"]):
+        before += [F.lit(r["p"]), F.lit(total).cast("long")]
+        total += r["w"]
+    upto = F.sum("w").over(Window.partitionBy("p").orderBy("family", "rep")) + F.create_map(*before)[F.col("p")]
+    out = materialize(d.select("rep", "family", "component", F.floor((upto - 1) / BLOCK_BYTES).alias("block")))
+    discard(d)
+    return out
+
+
+def _packed(nodes: DataFrame) -> DataFrame:
+    """One row of packed columns for each block of nodes (block, family, rep, component, sig, set)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids = [t.column(c).to_numpy().tobytes() for c in ("rep", "family", "component")]
+        sets = t.column("set").to_pylist()
+        sizes = np.array([len(x) // 8 for x in sets], np.int64).tobytes()
+        columns = [*ids, b"".join(t.column("sig").to_pylist()), sizes, b"".join(sets)]
+        return pa.table({"block": t.column("block").slice(0, 1), **{c: pa.array([x], pa.binary()) for c, x in zip(_BLOCK[1:], columns, strict=True)}})
+
+    return nodes.groupBy("block").applyInArrow(run, "block long, " + ", ".join(f"{c} binary" for c in _BLOCK[1:]))
+
+
+class _Block:
+    def __init__(self, reps: bytes, families: bytes, parts: bytes, sigs: bytes, sizes: bytes, sets: bytes):
+        self.reps, self.families, self.parts, self.sizes = (np.frombuffer(x, np.int64) for x in (reps, families, parts, sizes))
+        self.sigs = np.frombuffer(sigs, np.uint16).reshape(len(self.reps), -1, WIDTH)
+        self.values = np.frombuffer(sets, _U)
+        self.start = np.cumsum(self.sizes) - self.sizes
+
+
+def _links_between(x: _Block, y: _Block, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links of nodes of x to nodes of y in other components: as many as join these, so fewer than there are nodes.
+
+    A node's set is marked in the table of y's elements, and all sets of y read their intersections off it.
+    """
+    known = np.unique(y.values)
+    at = np.searchsorted(known, y.values)
+    marks = np.zeros(len(known), np.int32)
+    px, py, links = x.parts.copy(), y.parts.copy(), []
+    for i in range(len(x.reps)):
+        n = x.sizes[i]
+        open_ = (y.families == x.families[i]) & (py != px[i]) & (100 * np.minimum(y.sizes, n) >= percent * np.maximum(y.sizes, n))
+        if same:
+            open_[: i + 1] = False
+        js = np.flatnonzero(open_)
+        if not len(js):
+            continue
+        mine = x.values[x.start[i] : x.start[i] + n]
+        k = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        k = k[known[k] == mine]
+        marks[k] = 1
+        if 4 * len(js) > len(y.reps):
+            both = np.add.reduceat(marks[at], y.start)[js]
+        else:
+            both = np.array([marks[at[y.start[j] : y.start[j] + y.sizes[j]]].sum() for j in js])
+        marks[k] = 0
+        for j in js[100 * both >= percent * (n + y.sizes[js] - both)]:
+            if px[i] != py[j] and ((x.sigs[i] != y.sigs[j]).sum(axis=1) <= ERRORS).any():
+                links.append((int(x.reps[i]), int(y.reps[j])))
+                old, new = py[j], px[i]
+                px[px == old], py[py == old] = new, new
+    return links
+
+
+def _remaining_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links across components among members (key, rep, component) that share a key.
+
+    Nodes stand in blocks, by families: what keys hold together. Blocks that share a key are tested in place, each pair
+    of blocks by itself, and only links come back, fewer than nodes for each pair of blocks: rows follow the links found,
+    not the pairs refuted. A family larger than a block is cut, so no task holds it whole.
+    """
+    least = members.groupBy("key").agg(F.min("rep").alias("b"))
+    family = components(members.join(least, "key").select(F.col("rep").alias("a"), "b").distinct(), loops=True)
+    who = members.groupBy("rep").agg(F.first("component").alias("component"), F.first("n").alias("n"))
+    who = _placed(who.join(family.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep"))
+    packed = materialize(_packed(who.join(nodes.select("rep", "sig"), "rep").join(sets, "rep")))
+    together = members.select("key", "rep").join(who.select("rep", "block"), "rep").groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("s")).select("s").distinct()
+    pairs = together.select("s", F.explode("s").alias("i")).select("i", F.explode(F.filter("s", lambda j: j >= F.col("i"))).alias("j")).distinct()
+    columns = _BLOCK[1:]
+    x = packed.select(F.col("block").alias("i"), *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = packed.select(F.col("block").alias("j"), *(F.col(c).alias(f"y_{c}") for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, chunks * WIDTH) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= most))
+            for k in range(batch.num_rows):
+                row = [c[k].as_py() for c in batch.columns]
+                found = _links_between(_Block(*row[2:8]), _Block(*row[8:]), row[0] == row[1], percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[s] for f in found], pa.int64()) for s in (0, 1)], ["a", "b"])
 
-    one = nodes.select(F.col("rep").alias("a"), F.col("sig").alias("s"))
-    two = nodes.select(F.col("rep").alias("b"), F.col("sig").alias("t"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "i").join(y, "j").select("i", "j", *x.columns[1:], *y.columns[1:]).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", chunks: int = CHUNKS, seed: int = SEED) -> DataFrame:
@@ -159,11 +243,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     similarity of at least percent / 100 are linked; component_id is the smallest key reachable, kept says it is the
     document's own. Equal sets are one node from the start, so exact copies cost nothing further. Nodes that agree on
     all but one component of some chunk of their signatures are candidates. Inside a group of candidates a pivot is tried
-    against all others first, a star instead of all pairs, STAR_ROUNDS times with other pivots; nodes that are then in
-    different components are tried against each other if their signatures aren't too far apart (distance_limit), so no
-    link between components is lost. Every link is confirmed on the full sets, computed again for candidates only. Null texts and texts without words link with
-    nothing. Rows that repeat a key share its component. Null keys link with nothing: component null, kept true.
-    An empty table gives no rows; other columns are ignored.
+    against all others first, a star instead of all pairs; nodes that are then in different components are tried against
+    each other in blocks (_remaining_links), so no link between components is lost. Every link is confirmed on the full
+    sets, computed again for candidates only. Null texts and texts without words link with nothing. Rows that repeat a key share
+    its component. Null keys link with nothing: component null, kept true. An empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
     spark = docs.sparkSession
     sig = materialize(signatures(docs, k, key, text, chunks, seed))
@@ -173,29 +257,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     # Groups of one are nearly all; the first pass leaves only keys with company.
     shared = materialize(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"))
     members = materialize(keys.join(shared, "key"))
-    sets = materialize(_sets_of(docs, members.select("rep").distinct(), k, key, text))
+    sets = materialize(_sets_of(docs, members, k, key, text))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    part = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct()
-    tried = linked = None
-    for turn in range(STAR_ROUNDS):
-        m = _apart(members, part)
-        # One pivot a key, the same for many keys of a group of copies; another one in each turn.
-        order = F.struct(F.xxhash64("rep", F.pmod("key", F.lit(PIVOTS)), F.lit(turn)).alias("o"), "rep", "n", "component")
-        pivot = m.groupBy("key").agg(F.min(order).alias("p"))
-        stars = m.join(pivot, "key").where((F.col("component") != F.col("p.component")) & near(F.col("n"), F.col("p.n")))
-        stars = stars.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        stars = materialize(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
-        tried = stars if tried is None else tried.union(stars)
-        found = materialize(_confirm(stars.repartition(wide, "a"), sets, percent))
-        linked = found if linked is None else linked.union(found)
-        part = materialize(components(linked))
-    # What is still apart: pairs across components whose signatures are close enough to be similar.
-    m = materialize(_apart(members, part))
-    x, y = m.alias("x"), m.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    cross = _close(cross, nodes, chunks, distance_limit(chunks * WIDTH, percent))
-    final = components(linked.union(_confirm(cross.repartition(wide, "a"), sets, percent)))
+    # One pivot a key, the same for many keys of a group of copies.
+    order = F.struct(F.xxhash64("rep", F.pmod("key", F.lit(PIVOTS))).alias("o"), "rep", "n")
+    pivot = members.groupBy("key").agg(F.min(order).alias("p"))
+    stars = members.join(pivot, "key").where((F.col("rep") != F.col("p.rep")) & near(F.col("n"), F.col("p.n")))
+    stars = stars.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    linked = materialize(_confirm(stars.repartition(wide, "a"), sets, percent))
+    rest = materialize(_apart(members, materialize(components(linked))))
+    final = materialize(components(linked.union(_remaining_links(rest, nodes, sets, percent))))
+    discard(members, sets, rest)
     named = nodes.select("d1", "d2", "rep").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     # A key that several texts share lies in one component: the least.
@@ -213,7 +285,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, k: int, key: str, text: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["rep", "set"])
 
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("binary").alias("t")).where("t IS NOT NULL")
-    return texts.join(nodes.select("rep").distinct(), "rep", "left_semi").distinct().mapInArrow(run, "rep long, set binary")
+    return texts.join(sized(materialize(nodes.select("rep").distinct())), "rep", "left_semi").distinct().mapInArrow(run, "rep long, set binary")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
