@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import parts, table
+from tessera.llm.common import free_names, parts, quoted, table
 
 #: Shares of the mixture's characters; sources not named, and null ones, share OTHER.
 WEIGHTS = {"src0": 2.0} | {f"src{i}": 1.0 for i in range(1, 20)}
 OTHER = 1.0
 SEED = 17
+#: Copies that one task makes of a row.
+SPLIT = 4096
 
 
 def poisson_cdf(rate: float) -> tuple[int, list[float]]:
@@ -50,22 +52,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
     in every run and on every retry. Added columns: copy (from 1) and shuffle_key, a hash of key, copy and seed; rows
     go to partitions by that hash and are sorted by it inside. Rows with the same key get the same count. Null keys
     hash as the empty string, null sources count as not named, null texts have size 0. Columns copy and shuffle_key of
-    the input are replaced. An empty table stays empty.
+    the input are replaced, all others pass through, whatever their names. An empty table stays empty.
     """
     spark, weights = docs.sparkSession, WEIGHTS if weights is None else weights
     docs = docs.drop("copy", "shuffle_key")
     rates = repetition_rates(docs, weights, other, source)
-    rows = [(b or "", b is None, *poisson_cdf(r)) for b, r in rates.items()]
-    cdf = spark.createDataFrame(rows, "__b string, __rest boolean, __first int, __cdf array<double>")
-    rest = ~F.coalesce(F.col(source).isin(list(weights)), F.lit(False))
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    u = F.conv(F.substring(F.md5(F.concat(name, F.lit(f"|{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    n = F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    rest, bucket, u, first, cdf, n, start = free_names(docs, "rest", "bucket", "u", "first", "cdf", "n", "start")
+    table_of = spark.createDataFrame([(b or "", b is None, *poisson_cdf(r)) for b, r in rates.items()], f"{bucket} string, {rest} boolean, {first} int, {cdf} array<double>")
+    other_source = ~F.coalesce(F.col(quoted(source)).isin(list(weights)), F.lit(False))
+    name = F.coalesce(F.col(quoted(key)).cast("string"), F.lit(""))
+    at = F.conv(F.substring(F.md5(F.concat(name, F.lit(f"|{seed}"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     # At most len(weights) + 1 rows are broadcast.
-    out = docs.withColumns({"__rest": rest, "__b": F.when(rest, F.lit("")).otherwise(F.col(source)), "__u": u}).join(F.broadcast(cdf), ["__rest", "__b"])
-    out = out.withColumn("__n", n).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    out = out.withColumn("shuffle_key", F.md5(F.concat(name, F.lit("|"), F.col("copy").cast("string"), F.lit(f"|{seed}"))))
-    return out.select(*docs.columns, "copy", "shuffle_key").repartition(parts(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    out = docs.withColumns({rest: other_source, bucket: F.when(other_source, F.lit("")).otherwise(F.col(quoted(source))), u: at}).join(F.broadcast(table_of), [rest, bucket])
+    out = out.withColumn(n, F.col(first) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(n) > 0).drop(rest, bucket, u, first, cdf)
+    few = out.where(F.col(n) <= SPLIT).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
+    # A row of a tiny source can have very many copies: several tasks make them.
+    many = out.where(F.col(n) > SPLIT).withColumn(start, F.explode(F.sequence(F.lit(0), F.col(n) - 1, F.lit(SPLIT)))).repartition(parts(spark), start, quoted(key))
+    many = many.withColumn("copy", F.explode(F.sequence(F.col(start) + 1, F.least(F.col(start) + SPLIT, F.col(n))))).drop(start)
+    out = few.union(many).withColumn("shuffle_key", F.md5(F.concat(name, F.lit("|"), F.col("copy").cast("string"), F.lit(f"|{seed}"))))
+    return out.select(*(F.col(quoted(c)) for c in docs.columns), "copy", "shuffle_key").repartition(parts(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

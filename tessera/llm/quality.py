@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, table
+from tessera.llm.common import SPACE, free_names, quoted, table
 
 #: Name -> SQL condition of failure over the measurements; a rule's bit is its place. Rules are only ever appended.
 RULES = {
@@ -35,43 +35,45 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_words, word_chars, n_symbols (of `#*$%&|<>`), n_lines and n_dup_lines (lines with a word; equal to an earlier
     one), n_repeat_words (words in windows of WINDOW words that occur twice or more), n_marks (`!` and `?`). A null
-    text measures as an empty one. All stays inside the row: nothing is shuffled. Columns of these names are replaced.
+    text measures as an empty one. All stays inside the row: nothing is shuffled, and rows that repeat are measured each.
+    Columns of these names are replaced, all others pass through, whatever their names. An empty table stays empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks"]
-    d = docs.drop(*names, "__w", "__l", "__g", "__r", "__m")
+    kept = docs.drop(*names)
+    w, lines, grams, twice, m = free_names(kept, "words", "lines", "grams", "twice", "measured")
     blank = F.lit(" \t\n\x0b\f\r")
-    d = d.withColumn("__w", F.array_remove(F.split(t, SPACE + "+"), ""))
-    d = d.withColumn("__l", F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, blank)) > 0))
+    d = kept.withColumn(w, F.array_remove(F.split(t, SPACE + "+"), ""))
+    d = d.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, blank)) > 0))
     # Windows by 64-bit hash with their places, sorted, so that equal ones are neighbours.
-    each = F.transform(F.sequence(F.lit(0), F.size("__w") - WINDOW), lambda i: F.struct(F.xxhash64(*(F.get(F.col("__w"), i + k) for k in range(WINDOW))).alias("h"), i.alias("i")))
-    d = d.withColumn("__g", F.when(F.size("__w") > WINDOW, F.sort_array(each)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    twice = F.filter("__g", lambda x, k: F.coalesce(x["h"] == F.get(F.col("__g"), k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(F.col("__g"), k + 1)["h"], F.lit(False)))
-    d = d.withColumn("__r", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    each = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(F.xxhash64(*(F.get(F.col(w), i + k) for k in range(WINDOW))).alias("h"), i.alias("i")))
+    d = d.withColumn(grams, F.when(F.size(w) > WINDOW, F.sort_array(each)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    same = lambda x, k: F.coalesce(x["h"] == F.get(F.col(grams), k)["h"], F.lit(False))
+    d = d.withColumn(twice, F.sort_array(F.transform(F.filter(grams, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     # The words that sorted windows cover: each adds what lies beyond the window before it.
-    covered = F.aggregate(F.transform("__r", lambda s, k: F.least(F.lit(WINDOW), F.coalesce(s - F.get(F.col("__r"), k - 1), F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    covered = F.aggregate(F.transform(twice, lambda s, k: F.least(F.lit(WINDOW), F.coalesce(s - F.get(F.col(twice), k - 1), F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
     found = F.struct(
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.size("__l").cast("long").alias("n_lines"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length(F.regexp_replace(t, "[^!?]+", "")).cast("long").alias("n_marks"),
     )
     # A generator of one row: filters on measurements stay above it, and the optimizer can't copy the lambdas into them.
-    d = d.withColumn("__m", F.explode(F.array(found)))
-    return d.select(*docs.drop(*names).columns, *(F.col(f"__m.{n}").alias(n) for n in names))
+    d = d.withColumn(m, F.explode(F.array(found)))
+    return d.select(*(F.col(quoted(c)) for c in kept.columns), *(F.col(f"{m}.{n}").alias(n) for n in names))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with measurements and `failed` (long): bit k is set where rule k of RULES fails."""
+    """docs with measurements and `failed` (long): bit k is set where rule k of RULES fails. A column `failed` is replaced."""
     bits = [F.when(F.expr(cond), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, cond in enumerate(RULES.values())]
     return measured(docs, text).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
 def apply_policy(led: DataFrame, policy: str = CURRENT, out: str = "kept") -> DataFrame:
-    """The ledger with a boolean: no rule of the policy fails. Rules aren't evaluated again."""
+    """The ledger with a boolean `out` (replaced, if there): no rule of the policy fails. Rules aren't evaluated again."""
     return led.withColumn(out, F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import materialize, table
 
 #: Lengths that one window of the suffix sums covers.
 SPAN = 1024
@@ -52,10 +52,12 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
 
     truncated_total: tokens left when every document is cut at n_tokens. Sums run inside spans of SPAN lengths and over
     the totals of the spans, so no task ever holds more than a span, whatever the longest document is. Null lengths
-    count as 0. An empty table gives no rows.
+    count as 0, rows that repeat count each, other columns don't matter. An empty table gives no rows. The counts are written
+    once, so that no text is encoded twice.
     """
     n = F.coalesce(F.col(length), F.lit(0)).cast("long")
     h = lengths.groupBy(n.alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
+    h = materialize(h)
     spans = h.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     up = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
