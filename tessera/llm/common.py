@@ -44,7 +44,8 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
+    for _ in range(2):  # lets Spark delete the shuffle files that nothing reads any more; the last job's go the second time
+        spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.kept_at = path
     return out
