@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"([\p{L}\p{N}]+)"
-#: What marks an offer as remote or nationwide, case aside.
-ONLINE = r"\b(онлайн|удал[её]нно|дистанционно|online|remote)\b"
-REMOTE = r"\b(удал[её]нн\w*|дистанционн\w*|remote\w*|zoom|skype)\b"
-NATIONWIDE = r"\b(по всей россии|вся россия|любой регион|nationwide|worldwide)\b"
+#: Wording of online, remote and nationwide services, in lower case with е for ё.
+ONLINE = r"\b(?:он[\s-]?лайн|online)\b"
+REMOTE = r"\b(?:удаленн[а-я]*|удаленк[а-я]*|дистанцион[а-я]*)\b|\b(?:по|через|в)\s+интернет[а-я]*\b"
+NATIONWIDE = r"\b(?:по\s+всей|во\s+всей|вся|всей|по)\s+росси[а-я]*\b|\b(?:люб[а-я]*\s+(?:точк[а-я]*|город[а-я]*)|все\s+город[а-я]*)\s+(?:в\s+)?росси[а-я]*\b"
+#: Words of the filters' captions, which say nothing about a service.
+FILTER_NOISE = ("вид", "услуги", "тип", "рейтинг", "пользователя", "звезды", "и", "выше")
 
 
 def _nn(c: Column) -> Column:
@@ -126,8 +128,9 @@ def coverage(q: Column, t: Column) -> Column:
 
 
 def flags(c: Column) -> list[Column]:
-    t = _nn(c)
-    return [t.rlike("(?iU)" + p).alias(n) for n, p in (("online", ONLINE), ("remote", REMOTE), ("nationwide", NATIONWIDE))]
+    """online, remote, nationwide: whether the text has such wording. Words of removal ("удаление") don't count as remote."""
+    t = clean_text(c)
+    return [t.rlike("(?U)" + p).alias(n) for n, p in (("online", ONLINE), ("remote", REMOTE), ("nationwide", NATIONWIDE))]
 
 
 # Russian Snowball stemming, after the published description of the algorithm.
@@ -188,6 +191,24 @@ def stem_russian(word: str) -> str:
     return word[:-1] if word.endswith("ь") and len(word) - 1 >= rv else word
 
 
+def stemmed(tok: Column) -> Column:
+    """Tokens with their stems, order and repetitions kept. Batched by Arrow; a worker stems each token once."""
+    memo: dict = {}
+
+    @F.pandas_udf("array<string>")
+    def stems(s: pd.Series) -> pd.Series:
+        def one(x: str) -> str:
+            if x not in memo:
+                if len(memo) > 300_000:
+                    memo.clear()
+                memo[x] = stem_russian(x)
+            return memo[x]
+
+        return s.map(lambda t: [one(x) for x in t], na_action="ignore")
+
+    return stems(tok)
+
+
 def stem_terms(terms: DataFrame, term: str = "term", out: str = "stem") -> DataFrame:
     """terms with each token's stem: every distinct token is stemmed once, and joined back."""
 

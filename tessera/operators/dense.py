@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators.ranking import top_k
 
 #: Queries of one block; blocks, not the whole query set, go to the workers.
 BLOCK = 4096
+#: Items of a shard that meets one block of queries.
+SHARD = 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,6 +31,34 @@ def unit_vector(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
+def hashed_vector(text: Column, dim: int = 64) -> Column:
+    """A unit vector of the text without any model: each word counts up or down, by its hash, in a component of its hash.
+    Texts without words give zeros."""
+    slots = F.transform(T.tokens(text), lambda w: F.xxhash64(w))
+    at = lambda h, i: F.when(F.pmod(h, F.lit(dim)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.lit(0.0))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda t, h: t + at(h, i)))
+    return F.transform(sums, lambda x: x / F.greatest(F.sqrt(F.aggregate(sums, F.lit(0.0), lambda t, y: t + y * y)), F.lit(1e-12)))
+
+
+def all_scores(queries: DataFrame, items: DataFrame, q: str = "query_id", item: str = "item_id", vector: str = "vector", block: int = 256, shard: int = 4096) -> DataFrame:
+    """(query, item, score) of a stated query set with every item, for channels that rank the whole corpus. Blocks of
+    queries meet shards of items; both stay small, whatever the tables' sizes."""
+    kind, kind_q = items.schema[item].dataType.simpleString(), queries.schema[q].dataType.simpleString()
+    blocks, shards = max(1, -(-queries.count() // block)), max(1, -(-items.count() // shard))
+    at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    qs = queries.select(F.col(q).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", at("q", blocks)).withColumn("s", every(shards))
+    its = items.select(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("s", at("i", shards)).withColumn("b", every(blocks))
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({q: [], item: [], "score": []})
+        s = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        return pd.DataFrame({q: np.repeat(left["q"].to_numpy(), len(right)), item: np.tile(right["i"].to_numpy(), len(left)), "score": np.round(s.ravel(), 6)})
+
+    return qs.groupBy("b", "s").cogroup(its.groupBy("b", "s")).applyInPandas(both, f"{q} {kind_q}, {item} {kind}, score double")
+
+
 def pair_scores(pairs: DataFrame, queries: DataFrame, items: DataFrame, q: str = "query_id", item: str = "item_id", vector: str = "vector") -> DataFrame:
     """The given pairs with the inner product of their vectors: two equi-joins."""
     a = queries.select(q, F.col(vector).alias("__a"))
@@ -55,7 +86,7 @@ def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int, q: str = "query
             m = min(k, s.shape[1])
             names = f["i"].to_numpy()
             cut = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-            a, b = np.nonzero(s >= cut - 1e-9)  # ties at the edge stay for the window
+            a, b = np.nonzero(s >= cut - 2e-6)  # what rounds to the edge's score stays for the window, which rounds first
             yield pd.DataFrame({q: ids[a], item: names[b], "score": s[a, b]})
 
     flat = items.select(F.col(item).alias("i"), F.col(vector).alias("v"))
@@ -66,8 +97,9 @@ def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int, q: str = "query
         got = flat.mapInPandas(lambda frames: against(*shared.value, frames), schema)
     else:
         qs = queries.select(F.pmod(F.xxhash64(q), F.lit(blocks)).alias("b"), F.col(q).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-        its = flat.withColumn("s", F.pmod(F.xxhash64("i", F.lit(3)), F.lit(64))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        each = qs.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        shards = max(1, -(-items.count() // SHARD))  # as many as keep a shard small, however many items there are
+        its = flat.withColumn("s", F.pmod(F.xxhash64("i", F.lit(3)), F.lit(shards))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        each = qs.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
         def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = list(against(left["q"].to_numpy(), np.stack(left["v"].to_numpy()) if len(left) else None, iter([right])))
@@ -88,7 +120,13 @@ def audit(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def contrastive_mask(batch: DataFrame, q: str = "query_id", item: str = "item_id", group: str = "batch") -> DataFrame:
-    """(batch, a, b): pairs of rows of one batch that are no negatives of each other: same query or same item."""
-    x, y = batch.alias("x"), batch.alias("y")
-    same = (F.col(f"x.{q}") == F.col(f"y.{q}")) | (F.col(f"x.{item}") == F.col(f"y.{item}"))
-    return x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col("x.pos") != F.col("y.pos")) & same).select(F.col(f"x.{group}").alias(group), F.col("x.pos").alias("a"), F.col("y.pos").alias("b"))
+    """(batch, a, b): pairs of rows of one batch that are no negatives of each other: same query or same item.
+
+    One equi-join by query and one by item, so rows meet only those they match.
+    """
+
+    def same(key: str) -> DataFrame:
+        x, y = batch.select(group, key, F.col("pos").alias("a")), batch.select(group, key, F.col("pos").alias("b"))
+        return x.join(y, [group, key]).where("a <> b").select(group, "a", "b")
+
+    return same(q).union(same(item)).distinct()

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 
 def error_tags() -> Column:
-    """Tags of a missed item from rank, same, lexical, title_coverage, semantic, same_class and the distractor's
-    d_lexical and d_semantic. Outside the pool (null rank) only that is said."""
+    """Tags of a missed item against the query's first distractor: rank, location, same, lexical, title_coverage, semantic
+    and class of the item; d_location, d_same, d_lexical, d_semantic and d_class of the distractor (without one, null
+    counts as 0, and classes aren't compared). Outside the pool (null rank) only that is said."""
     c = F.col
+    zero = lambda n: F.coalesce(c(n).cast("double"), F.lit(0.0))
     tags = F.array(
         F.when((c("rank") > 50) & (c("rank") <= 100), F.lit("close_rank")),
-        F.when(c("same") == 0, F.lit("location_difference")),
-        F.when((c("lexical") < 0.20) | ((c("title_coverage") < 0.25) & (c("lexical") + 0.25 < c("d_lexical"))), F.lit("low_lexical")),
-        F.when((c("semantic") < 0.15) | (c("semantic") + 0.15 < c("d_semantic")), F.lit("low_semantic")),
-        F.when(~c("same_class"), F.lit("class_difference")),
+        F.when(~c("location").eqNullSafe(c("d_location")) | (zero("same") != zero("d_same")), F.lit("location_difference")),
+        F.when((c("lexical") < 0.20) | ((c("title_coverage") < 0.25) & (c("lexical") + 0.25 < zero("d_lexical"))), F.lit("low_lexical")),
+        F.when((c("semantic") < 0.15) | (c("semantic") + 0.15 < zero("d_semantic")), F.lit("low_semantic")),
+        F.when(c("class") != c("d_class"), F.lit("class_difference")),
     )
     found = F.filter(tags, lambda x: x.isNotNull())
     return F.when(c("rank").isNull(), F.array(F.lit("candidate_miss"))).when(F.size(found) == 0, F.array(F.lit("other_ranking"))).otherwise(found)
@@ -27,6 +29,12 @@ def missed(ranked: DataFrame, truth: DataFrame, k: int = 50, q: str = "query_id"
     return j.where(F.col("rank").isNull() | (F.col("rank") > k))
 
 
+def missed_in_order(ranked: DataFrame, truth: DataFrame, k: int = 50, q: str = "query_id", item: str = "item_id") -> DataFrame:
+    """missed() with `place`: from 1 in each query, by rank, those outside the pool last, ties by id."""
+    w = Window.partitionBy(q).orderBy(F.coalesce("rank", F.lit(10**9)), item)
+    return missed(ranked, truth, k, q, item).withColumn("place", F.row_number().over(w).cast("long"))
+
+
 def first_distractor(ranked: DataFrame, truth: DataFrame, q: str = "query_id", item: str = "item_id") -> DataFrame:
     """The best ranked item of each query that isn't relevant."""
     w = Window.partitionBy(q).orderBy("rank")

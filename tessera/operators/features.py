@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.numeric import flag, geo_blend, log_positive
+from tessera.operators.ranking import augment
 
 #: The order of the features is a contract with trained models.
 FEATURES = [
@@ -16,8 +17,9 @@ FEATURES = [
     "filter_coverage", "rating_filter_satisfied", "has_filters", "geo_bm25", "geo_dense", "microcat_bm25", "microcat_dense",
     "supervised_microcat", "supervised_microcat_relative", "supervised_microcat_rank", "microcat_confidence",
 ]
-#: The sources of the pool windows.
-WINDOW_SOURCES = ["bm25", "char", "dense", "geo_bm25", "geo_dense", "microcat_bm25", "supervised_microcat"]
+#: The sources of the pool windows, in the order of the columns after the 41 features.
+WINDOW_SOURCES = ["bm25", "geo_bm25", "title_bm25", "char", "dense", "microcat_probability", "supervised_microcat"]
+#: Candidates of each channel.
 QUOTAS = {"word": 250, "char": 150, "dense": 250, "geo_bm25": 300, "geo_dense": 250, "microcat_bm25": 200, "microcat_dense": 150, "rule": 150}
 TINY_QUOTAS = {"tiny": 200, "tiny_geo": 450, "tiny_microcat": 250, "tiny_rule": 150}
 
@@ -34,13 +36,19 @@ def channel_scores(w: Column, c: Column, d: Column, geo: Column, vote: Column, s
     }
 
 
+def all_features(base: DataFrame) -> DataFrame:
+    """The 41 base features and, after them, the three pool windows of each of the seven sources: 62 columns in order."""
+    names = [f"pool_{k}_{s}" for s in WINDOW_SOURCES for k in ("percentile", "gap_best", "gap_50")]
+    return augment(base, WINDOW_SOURCES).select("query_id", "item_id", *FEATURES, *names)
+
+
 def long_channels(pool: DataFrame, columns: dict[str, str], q: str = "query_id", item: str = "item_id") -> DataFrame:
     """(query, item, channel, score) of the named columns: one explode instead of a union of scans."""
     each = F.array(*(F.struct(F.lit(ch).alias("channel"), F.col(c).cast("double").alias("score")) for ch, c in columns.items()))
     return pool.select(q, item, F.explode(each).alias("x")).select(q, item, "x.channel", "x.score")
 
 
-def base_features(pairs: DataFrame, noise: tuple = ("рейтинг", "пользователя")) -> DataFrame:
+def base_features(pairs: DataFrame, noise: tuple = T.FILTER_NOISE) -> DataFrame:
     """pairs as (query_id, item_id, the 41 features).
 
     Expected columns: scores bm25, char, dense, title_bm25 with their relatives *_rel (taken before pooling), params_bm25;
@@ -71,6 +79,21 @@ def compatible_geography(same: str = "same_location", prob: str = "location_prob
     return (F.col(same) > 0) | (F.col(prob) > 0.10) | (F.col(log_km) < F.log1p(F.lit(50.0)))
 
 
+def positives_per_pool(pool: DataFrame, q: str = "query_id", label: str = "label") -> DataFrame:
+    """(query, positives, size): relevant rows of each pool, and its rows, as a ranker takes its groups."""
+    return pool.groupBy(q).agg(F.sum(label).cast("long").alias("positives"), F.count(F.lit(1)).alias("size"))
+
+
+def bounded_positives(rows: DataFrame, q: str = "query_id", item: str = "item_id", least: int = 1, most: int = 15) -> DataFrame:
+    """(query, n): queries with at least `least` and at most `most` different relevant items."""
+    return rows.groupBy(q).agg(F.count_distinct(item).alias("n")).where(F.col("n").between(least, most))
+
+
+def class_index(items: DataFrame, classes: DataFrame, cls: str = "class", item: str = "item_id") -> DataFrame:
+    """(item, index) of classes (class, index): -1 for items of no class or an unknown one."""
+    return items.select(item, cls).join(classes.select(cls, "index"), cls, "left").select(item, F.coalesce("index", F.lit(-1)).cast("long").alias("index"))
+
+
 def label(pool: DataFrame, truth: DataFrame, q: str = "query_id", item: str = "item_id") -> DataFrame:
     """pool with `label` (1 where the pair is in the truth), every row kept."""
     t = truth.select(q, item).distinct().withColumn("__t", F.lit(1))

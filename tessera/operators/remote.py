@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions.numeric import clip01
 
 
@@ -16,6 +17,27 @@ def smoothed_rate(rows: DataFrame, group: str, value: str, strength: float = 50.
     return g.crossJoin(F.broadcast(prior)).select(group, "n", ((F.col("s") + strength * F.col("prior")) / (F.col("n") + strength)).alias("rate"))
 
 
+def city_rows(events: DataFrame, items: DataFrame, search: str = "search_location", place: str = "item_location", cls: str = "class") -> DataFrame:
+    """Events fit to learn from: their search place is one that an item has, in the corpus or the events (a city, not a
+    region), and none of search place, item place and class is null. With `nonlocal`: the item is elsewhere."""
+    cities = items.select(F.col(place).alias(search)).union(events.select(F.col(place).alias(search))).where(F.col(search).isNotNull()).distinct()
+    ok = events.where(F.col(search).isNotNull() & F.col(place).isNotNull() & F.col(cls).isNotNull())
+    return ok.join(cities, search, "left_semi").withColumn("nonlocal", (F.col(search) != F.col(place)).cast("double"))
+
+
+def query_flags(queries: DataFrame, text: str = "text", params: str | None = None, chars: int = 1000) -> DataFrame:
+    """queries with online, remote and nationwide wording of the text and the first `chars` of the filters."""
+    c = F.col(text) if params is None else F.concat_ws(" ", F.coalesce(text, F.lit("")), F.substring(F.coalesce(params, F.lit("")), 1, chars))
+    return queries.select("*", *T.flags(c))
+
+
+def item_flags(items: DataFrame, title: str = "title", params: str = "params", description: str = "description", params_chars: int = 1000, chars: int = 1000) -> DataFrame:
+    """items with item_remote (online or remote wording) and item_nationwide, over title and the cut other fields."""
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    online, remote, nationwide = T.flags(F.concat_ws(" ", F.coalesce(title, F.lit("")), cut(params, params_chars), cut(description, chars)))
+    return items.select("*", (online | remote).alias("item_remote"), nationwide.alias("item_nationwide"))
+
+
 def text_mean(rows: DataFrame, text: str, rate: str = "rate") -> DataFrame:
     return rows.groupBy(text).agg(F.avg(rate).alias("text_rate"))
 

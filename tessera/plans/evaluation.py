@@ -151,19 +151,24 @@ def validate_answer(spark, sf):
     return validate.error_counts(errors).select("code", "n")
 
 
-TAGS = f"""{POOL_CTE}, t AS (SELECT DISTINCT * FROM truth), rel AS (SELECT *, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-6) AS lex FROM pool),
-dis AS (SELECT query_id, lex AS d_lex, cov AS d_cov FROM rel WHERE (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1),
-mi AS (SELECT t.query_id, t.item_id, rank, lex, cov FROM t LEFT JOIN rel USING (query_id, item_id) WHERE rank IS NULL OR rank > 0),
-tg AS (SELECT query_id, item_id, CASE WHEN rank IS NULL THEN ['candidate_miss'] ELSE list_filter([CASE WHEN rank > 50 AND rank <= 100 THEN 'close_rank' END, CASE WHEN item_id % 2 = 0 THEN 'location_difference' END,
-  CASE WHEN lex < 2e-1 OR (cov < 25e-2 AND lex + 25e-2 < d_lex) THEN 'low_lexical' END, CASE WHEN cov < 15e-2 OR cov + 15e-2 < d_cov THEN 'low_semantic' END, CASE WHEN item_id % 3 = 0 THEN 'class_difference' END], lambda x: x IS NOT NULL) END AS tags FROM mi JOIN dis USING (query_id))"""
+TAGS = f"""{POOL_CTE}, t AS (SELECT DISTINCT * FROM truth),
+rel AS (SELECT pool.*, lang, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-6) AS lex, (pool.source = 'src' || (query_id % 5))::INT::DOUBLE AS same FROM pool JOIN (SELECT doc_id AS item_id, lang FROM documents) USING (item_id)),
+dis AS (SELECT query_id, lex AS d_lex, cov AS d_cov, source AS d_source, same AS d_same, lang AS d_lang FROM rel WHERE (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1),
+mi AS (SELECT t.query_id, t.item_id, rank, lex, cov, source, same, lang FROM t LEFT JOIN rel USING (query_id, item_id) WHERE rank IS NULL OR rank > 0),
+tg AS (SELECT query_id, item_id, CASE WHEN rank IS NULL THEN ['candidate_miss'] ELSE list_filter([CASE WHEN rank > 50 AND rank <= 100 THEN 'close_rank' END,
+  CASE WHEN source IS DISTINCT FROM d_source OR coalesce(same, 0e0) <> coalesce(d_same, 0e0) THEN 'location_difference' END,
+  CASE WHEN lex < 2e-1 OR (cov < 25e-2 AND lex + 25e-2 < coalesce(d_lex, 0e0)) THEN 'low_lexical' END, CASE WHEN cov < 15e-2 OR cov + 15e-2 < coalesce(d_cov, 0e0) THEN 'low_semantic' END,
+  CASE WHEN lang <> d_lang THEN 'class_difference' END], lambda x: x IS NOT NULL) END AS tags FROM mi LEFT JOIN dis USING (query_id))"""
 
 
 def _tagged(spark, sf, k=POOL):
+    c = F.col
     t = truth(spark, sf).distinct()
-    rel = pool(spark, sf, k).withColumn("lexical", ranking.relative(F.col("bm25")))
-    dis = diagnostics.first_distractor(rel, t).select("query_id", F.col("lexical").alias("d_lexical"), F.col("cov").alias("d_semantic"))
-    m = diagnostics.missed(rel, t, 0).join(rel.select("query_id", "item_id", "lexical", "cov"), ["query_id", "item_id"], "left").join(dis, "query_id")
-    m = m.withColumn("same", (F.col("item_id") % 2 != 0).cast("double")).withColumn("title_coverage", F.col("cov")).withColumn("semantic", F.col("cov")).withColumn("same_class", F.col("item_id") % 3 != 0)
+    rel = pool(spark, sf, k).withColumn("lexical", ranking.relative(c("bm25"))).join(documents(spark, sf).select("item_id", c("lang").alias("class")), "item_id")
+    rel = rel.withColumns({"location": c("source"), "same": (c("source") == F.concat(F.lit("src"), (c("query_id") % 5).cast("string"))).cast("double"), "title_coverage": c("cov"), "semantic": c("cov")})
+    names = ("location", "same", "lexical", "title_coverage", "semantic", "class")
+    dis = diagnostics.first_distractor(rel, t).select("query_id", *(c(n).alias(f"d_{n}") for n in names))
+    m = diagnostics.missed(rel, t, 0).join(rel.select("query_id", "item_id", *names), ["query_id", "item_id"], "left").join(dis, "query_id", "left")
     return m.withColumn("tags", diagnostics.error_tags())
 
 

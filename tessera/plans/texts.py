@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
 from tessera.functions import text as T
-from tessera.operators import ranking, search, split, validate
+from tessera.operators import ranking, remote, search, split, validate
 from tessera.queries import query
 from tessera.sources.adapters import COORDINATES, EVENTS, benchmark, coordinates, documents, events, fields, table, tok
 
@@ -55,10 +55,30 @@ def compact_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.compact(F.col("html")).alias("compact"), T.prefix_then_lower(F.col("html"), 1000).alias("cut"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_matches(text, '(?i)\b(онлайн|удал[её]нно|дистанционно|online|remote)\b') AS online, regexp_matches(lower(text), '\b(a|the|in)\b') AS has_article FROM conversations""")
+#: Wording that the generated tables lack, and wording close to it that must not count.
+WORDING = (
+    "Урок он-лайн", "онлайн урок", "он лайн", "Онлайнер", "English online, daily", "удалённо", "Работаю УДАЛЕННО", "на удалёнке", "удаление зубов", "удаленный доступ", "дистанционное обучение", "дистанция",
+    "помощь через интернет", "в интернете", "интернет провели", "По всей России", "во всей  России", "вся россия", "по России", "россия", "из любой точки России", "любой город россии", "все города в России", "все города", "remote zoom skype", "",
+)
+
+
+def _has(words: str) -> str:
+    """Whole words, for an engine whose word boundaries know Latin letters only."""
+    return rf"regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])')"
+
+
+_RU = r"росси[а-я]*"
+_WORDING_SQL = ", ".join(f"({-1 - i}, '{w}')" for i, w in enumerate(WORDING))
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn::BIGINT AS turn, text FROM conversations UNION ALL SELECT id, 0, text FROM (VALUES {_WORDING_SQL}) v(id, text)),
+x AS (SELECT conv_id, turn, replace(lower(coalesce(text, '')), 'ё', 'е') AS t FROM c)
+SELECT conv_id, turn, {_has(r"он[\s-]?лайн|online")} AS online, {_has(r"удаленн[а-я]*|удаленк[а-я]*|дистанцион[а-я]*|(?:по|через|в)\s+интернет[а-я]*")} AS remote,
+  {_has(rf"(?:по\s+всей|во\s+всей|вся|всей|по)\s+{_RU}|(?:люб[а-я]*\s+(?:точк[а-я]*|город[а-я]*)|все\s+город[а-я]*)\s+(?:в\s+)?{_RU}")} AS nationwide FROM x""")
 def remote_flags(spark, sf):
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", T.flags(F.col("text"))[0], F.lower("text").rlike(r"\b(a|the|in)\b").alias("has_article"))
+    rows = spark.createDataFrame([(-1 - i, 0, w) for i, w in enumerate(WORDING)], "conv_id long, turn long, text string")
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text").union(rows)
+    return remote.query_flags(c).drop("text")
 
 
 @query("""SELECT event_id, user_id, event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, ln(1e0 + greatest(coalesce(value, 0e0), 0e0)) > 1e0 AS large FROM events""")
