@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,30 +23,61 @@ def priors(events: DataFrame, cls: str = "class") -> DataFrame:
     return c.crossJoin(F.broadcast(t)).select(cls, "n", F.log((F.col("n") + 1.0) / (F.col("all_n") + F.col("k"))).alias("prior"))
 
 
-def _grid(counts: DataFrame, vocabulary: DataFrame | None, cls: str) -> DataFrame:
-    classes, terms = counts.select(cls).distinct(), (counts if vocabulary is None else vocabulary).select("term").distinct()
-    return classes.crossJoin(terms).join(counts, [cls, "term"], "left").withColumn("c", F.coalesce(F.col("c").cast("double"), F.lit(0.0)))
+@dataclass(frozen=True)
+class Weights:
+    """Weights of classes and terms as sums of three parts, so that a class that never saw a term takes no row.
+
+    classes (class, part), terms (term, part) for each term of the vocabulary, extra (class, term, part) where counts are.
+    """
+
+    classes: DataFrame
+    terms: DataFrame
+    extra: DataFrame
+    cls: str = "class"
+
+    def table(self) -> DataFrame:
+        """(class, term, weight) of every class and term: for reports, as large as that."""
+        c, t, e = (d.withColumnRenamed("part", n) for d, n in ((self.classes, "a"), (self.terms, "b"), (self.extra, "c")))
+        return c.crossJoin(t).join(e, [self.cls, "term"], "left").select(self.cls, "term", (F.col("a") + F.col("b") + F.coalesce("c", F.lit(0.0))).alias("weight"))
+
+
+def _counted(counts: DataFrame, vocabulary: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positive counts of the vocabulary's terms, those terms, and their number (one row)."""
+    terms = (counts if vocabulary is None else vocabulary).select("term").distinct()
+    c = counts if vocabulary is None else counts.join(terms, "term", "left_semi")
+    return c.withColumn("c", F.col("c").cast("double")).where("c > 0"), terms, terms.agg(F.count(F.lit(1)).alias("v"))
 
 
-def multinomial(counts: DataFrame, alpha: float = 0.1, vocabulary: DataFrame | None = None, cls: str = "class") -> DataFrame:
-    """(class, term, weight) = ln((c + alpha) / sum(c + alpha)) over a fixed vocabulary."""
-    g = _grid(counts, vocabulary, cls)
-    total = F.sum(F.col("c") + alpha).over(Window.partitionBy(cls))
-    return g.select(cls, "term", (F.log(F.col("c") + alpha) - F.log(total)).alias("weight"))
+def multinomial(counts: DataFrame, alpha: float = 0.1, vocabulary: DataFrame | None = None, cls: str = "class") -> Weights:
+    """Weights ln((c + alpha) / sum(c + alpha)) over a fixed vocabulary."""
+    c, terms, size = _counted(counts, vocabulary)
+    total = counts.select(cls).distinct().join(c.groupBy(cls).agg(F.sum("c").alias("s")), cls, "left").crossJoin(F.broadcast(size))
+    classes = total.select(cls, (F.log(F.lit(alpha)) - F.log(F.coalesce("s", F.lit(0.0)) + F.col("v") * alpha)).alias("part"))
+    return Weights(classes, terms.withColumn("part", F.lit(0.0)), c.select(cls, "term", (F.log(F.col("c") + alpha) - F.log(F.lit(alpha))).alias("part")), cls)
 
 
-def complement(counts: DataFrame, alpha: float = 0.1, vocabulary: DataFrame | None = None, cls: str = "class") -> DataFrame:
-    """(class, term, weight) = -ln(rest + alpha) + ln sum(rest + alpha), rest being the other classes' count."""
-    g = _grid(counts, vocabulary, cls).withColumn("rest", F.sum("c").over(Window.partitionBy("term")) - F.col("c"))
-    total = F.sum(F.col("rest") + alpha).over(Window.partitionBy(cls))
-    return g.select(cls, "term", (F.log(total) - F.log(F.col("rest") + alpha)).alias("weight"))
+def complement(counts: DataFrame, alpha: float = 0.1, vocabulary: DataFrame | None = None, cls: str = "class") -> Weights:
+    """Weights -ln(rest + alpha) + ln sum(rest + alpha), rest being the other classes' count."""
+    c, terms, size = _counted(counts, vocabulary)
+    one = size.crossJoin(c.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("all")))
+    total = counts.select(cls).distinct().join(c.groupBy(cls).agg(F.sum("c").alias("s")), cls, "left").crossJoin(F.broadcast(one))
+    classes = total.select(cls, F.log(F.col("all") - F.coalesce("s", F.lit(0.0)) + F.col("v") * alpha).alias("part"))
+    t = c.groupBy("term").agg(F.sum("c").alias("t"))
+    parts = terms.join(t, "term", "left").select("term", (-F.log(F.coalesce("t", F.lit(0.0)) + alpha)).alias("part"))
+    extra = c.join(t, "term").select(cls, "term", (F.log(F.col("t") + alpha) - F.log(F.col("t") - F.col("c") + alpha)).alias("part"))
+    return Weights(classes, parts, extra, cls)
 
 
-def predict(terms: DataFrame, weights: DataFrame, intercept: DataFrame, q: str = "query_id", cls: str = "class", temperature: float = 1.0) -> DataFrame:
+def predict(terms: DataFrame, weights: Weights, intercept: DataFrame, q: str = "query_id", temperature: float = 1.0) -> DataFrame:
     """(query, class, score, prob): terms (query, term, w) outside the vocabulary add nothing."""
-    queries = terms.select(q).distinct()
-    s = terms.join(weights, "term").groupBy(q, cls).agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
-    s = queries.crossJoin(intercept.select(cls, "prior")).join(s, [q, cls], "left").withColumn("score", F.col("prior") + F.coalesce("s", F.lit(0.0)))
+    cls = weights.cls
+    known = terms.join(weights.terms.withColumnRenamed("part", "b"), "term")
+    per = known.groupBy(q).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("b")).alias("tb"))
+    extra = known.join(weights.extra, "term").groupBy(q, cls).agg(F.sum(F.col("w") * F.col("part")).alias("e"))
+    classes = intercept.select(cls, "prior").join(weights.classes.withColumnRenamed("part", "a"), cls, "left")
+    s = terms.select(q).distinct().crossJoin(classes).join(per, q, "left").join(extra, [q, cls], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    s = s.withColumn("score", F.col("prior") + zero("a") * zero("n") + zero("tb") + zero("e"))
     return s.select(q, cls, "score", softmax(F.col("score"), temperature, q).alias("prob"))
 
 

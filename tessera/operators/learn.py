@@ -68,21 +68,23 @@ def train_lambda(pool: DataFrame, features: list[str], rounds: int = 10, depth:
     """A small LambdaMART: each round fits a tree to the lambdas, then sets its leaves to sum lambda / sum hessian.
 
     Not the numbers of any boosting library. keep: cuts the lineage of the scores after each round, e.g. by a written table.
-    Returns the list of (tree model, {leaf prediction: value}).
+    Returns the list of (tree model, {leaf number: value}).
     """
     data, trees = _assembled(pool, features).withColumn("__score", F.lit(0.0)), []
     for _ in range(rounds):
         data = keep(data)
-        g = lambdas(data, "__score", label, q, item)
-        tree = DecisionTreeRegressor(featuresCol="__x", labelCol="lambda", predictionCol="__leaf", maxDepth=depth, seed=7).fit(g)
+        g = keep(lambdas(data, "__score", label, q, item))  # read in every pass of the tree
+        tree = DecisionTreeRegressor(featuresCol="__x", labelCol="lambda", predictionCol="__mean", leafCol="__leaf", maxDepth=depth, seed=7).fit(g)
         leaves = tree.transform(g).groupBy("__leaf").agg((F.sum("lambda") / (F.sum("hessian") + 1.0)).alias("v"))
         values = {r["__leaf"]: r["v"] for r in leaves.collect()}  # at most 2^depth rows
         trees.append((tree, values))
-        data = tree.transform(data).withColumn("__score", F.col("__score") + _leaf_value(values) * rate).drop("__leaf")
+        data = tree.transform(data).withColumn("__score", F.col("__score") + _leaf_value(values) * rate).drop("__leaf", "__mean")
     return trees
 
 
 def _leaf_value(values: dict):
+    if not values:
+        return F.lit(0.0)
     m = F.create_map(*(F.lit(float(x)) for kv in values.items() for x in kv))
     return F.coalesce(m[F.col("__leaf")], F.lit(0.0))
 
@@ -90,7 +92,7 @@ def _leaf_value(values: dict):
 def score_lambda(trees, pool: DataFrame, features: list[str], rate: float = 0.1, out: str = "score") -> DataFrame:
     data = _assembled(pool, features).withColumn(out, F.lit(0.0))
     for tree, values in trees:
-        data = tree.transform(data).withColumn(out, F.col(out) + _leaf_value(values) * rate).drop("__leaf")
+        data = tree.transform(data).withColumn(out, F.col(out) + _leaf_value(values) * rate).drop("__leaf", "__mean")
     return data.drop("__x")
 
 

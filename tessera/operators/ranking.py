@@ -56,11 +56,23 @@ def max_normalize(s: Column, q: str = Q) -> Column:
     return F.when(m > 0, s / m).otherwise(F.lit(0.0))
 
 
+def min_rank(s: Column, q: str = Q) -> Column:
+    """1 for the best score; equal scores share the least rank."""
+    return F.rank().over(_w(q).orderBy(s.desc())).cast("long")
+
+
 def softmax(s: Column, temperature: float = 1.0, q: str = Q) -> Column:
     e = F.exp((s - F.max(s).over(_w(q))) / temperature)
     return e / F.sum(e).over(_w(q))
 
 
+def against_best(scores: DataFrame, out: str = "score", q: str = Q, score: str = "score") -> DataFrame:
+    """scores with `out`: the share of the query's best score, 0 where that isn't positive. The best comes by an aggregate,
+    so a query's whole list of matches never stands in one window."""
+    best = scores.groupBy(q).agg(F.max(score).alias("__best"))
+    return scores.join(best, q).withColumn(out, F.when(F.col("__best") > 0, F.col(score) / F.col("__best")).otherwise(F.lit(0.0))).drop("__best")
+
+
 def top_k(scores: DataFrame, k: int, score: str = "score", q: str = Q, tie: str = I, positive: bool = True) -> DataFrame:
     """The k best rows of each query with `rank` (long): ties to smaller ids; Spark limits before the shuffle."""
     s = scores.where(F.col(score) > 0) if positive else scores

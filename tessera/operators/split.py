@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,11 +64,24 @@ def cold_flags(queries: DataFrame, history: DataFrame, text: str = "text") -> Da
 
 
 def cold_quota(queries: DataFrame, share: float, seed: int, key: str) -> DataFrame:
-    """queries with `forced`: cold ones, and by hash as many of the others as the share still asks for."""
-    n = queries.agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("cold").cast("long")).alias("__c"))
-    w = Window.partitionBy("cold").orderBy(hash_order(F.col(key), seed), key)
-    need = F.greatest(F.ceil(F.col("__n") * share) - F.col("__c"), F.lit(0))
-    return queries.withColumn("__r", F.row_number().over(w)).crossJoin(F.broadcast(n)).withColumn("forced", F.col("cold") | (F.col("__r") <= need)).drop("__r", "__n", "__c")
+    """queries with `forced`: cold ones, and by hash as many of the others as the share still asks for. Keys are unique."""
+    n, cold = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("cold").cast("long")), F.lit(0))).first()
+    more = queries.where(~F.col("cold")).select(key).orderBy(hash_order(F.col(key), seed), key).limit(max(math.ceil(n * share) - cold, 0))
+    return queries.join(more.withColumn("__more", F.lit(True)), key, "left").withColumn("forced", F.col("cold") | F.col("__more").isNotNull()).drop("__more")
+
+
+def dense_codes(rows: DataFrame, column: str, out: str = "code") -> DataFrame:
+    """rows with a number from 0 for each value of the column (a class or a label: few values), in their order."""
+    codes = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    codes = codes.withColumn(out, F.dense_rank().over(Window.orderBy(column)).cast("long") - 1)
+    return rows.join(codes, column, "left")
+
+
+def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right, whose keys must not repeat: else a ValueError, before anything is joined."""
+    if right.groupBy(key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{key} repeats on the side that must be unique")
+    return left.join(right, key, "left")
 
 
 def fit_rows(events: DataFrame, held: DataFrame, cold_texts: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +53,11 @@ def answer_errors(answers: DataFrame, expected: DataFrame, corpus: DataFrame, k:
 
 
 def error_counts(errors: DataFrame, examples: int = 30) -> DataFrame:
-    """(code, n, examples): counts, and the first examples by value."""
-    e = errors.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("example")))
-    return e.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= examples, F.col("example")))).alias("examples"))
+    """(code, n, examples): counts, and the first examples by value. The window stops at the examples in each task, before
+    the shuffle, so no task sorts all errors of a code."""
+    n = errors.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    first = errors.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("example"))).where(F.col("r") <= examples)
+    return n.join(first.groupBy("code").agg(F.sort_array(F.collect_list("example")).alias("examples")), "code", "left")
 
 
 def candidate_stats(answers: DataFrame) -> DataFrame:
@@ -90,6 +94,18 @@ def id_fingerprint(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_distinct"), F.sum(h).cast("string").alias("fingerprint"))
 
 
+def ordered_fingerprint(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row (n, fingerprint): SHA-256 of the ids joined by newlines, in the order of a column: row order matters.
+
+    The ids are sorted by ranges and pass through the driver one partition at a time; it holds none but the digest.
+    """
+    digest, n = hashlib.sha256(), 0
+    for r in rows.select(F.col(key).cast("string").alias("k"), order).orderBy(order, "k").select("k").toLocalIterator():
+        digest.update(("\n" if n else "").encode() + (r["k"] or "").encode())
+        n += 1
+    return rows.sparkSession.createDataFrame([(n, digest.hexdigest())], "n long, fingerprint string")
+
+
 def finite_check(rows: DataFrame, columns: list[str]) -> DataFrame:
     bad = [F.sum(F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 1).otherwise(0)).cast("long").alias(f"bad_{c}") for c in columns]
     return rows.agg(F.count(F.lit(1)).alias("n"), *bad)

@@ -127,12 +127,12 @@ def nb_counts_whole(spark, sf):
 
 @query(f"WITH {NB}, {_MULTI} SELECT lang AS class, term, round(weight, 5) AS weight FROM mw")
 def nb_weights_multinomial(spark, sf):
-    return intent.multinomial(_nb_counts(spark, sf)[2]).withColumn("weight", F.round("weight", 5))
+    return intent.multinomial(_nb_counts(spark, sf)[2]).table().withColumn("weight", F.round("weight", 5))
 
 
 @query(f"WITH {NB}, rs AS (SELECT lang, term, sum(c) OVER (PARTITION BY term) - c AS rest FROM gr) SELECT lang AS class, term, round(ln(sum(rest + 1e-1) OVER (PARTITION BY lang)) - ln(rest + 1e-1), 5) AS weight FROM rs")
 def nb_weights_complement(spark, sf):
-    return intent.complement(_nb_counts(spark, sf)[2]).withColumn("weight", F.round("weight", 5))
+    return intent.complement(_nb_counts(spark, sf)[2]).table().withColumn("weight", F.round("weight", 5))
 
 
 PREDICT = rf"""{NB}, {_PRIOR}, {_MULTI}, qt AS (SELECT doc_id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents WHERE doc_id % 5 = 0) GROUP BY ALL),

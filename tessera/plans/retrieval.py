@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import dense, features, learn, ranking, search
 from tessera.queries import query
+from tessera.sources.io import kept
 from tessera.sources.adapters import POOL_CTE, benchmark, documents, fields, pool, table, tok, truth
 
 
@@ -359,8 +360,8 @@ def lambda_rank(spark, sf):
     """A small LambdaMART over pool features; no SQL."""
     p = features.label(pool(spark, sf), truth(spark, sf)).withColumn("n_chars", F.col("n_chars").cast("double"))
     names = ["bm25", "cov", "n_chars"]
-    p = p.select("query_id", "item_id", "label", *names).persist()
-    trees = learn.train_lambda(p, names, rounds=2, depth=2, keep=lambda d: d.persist())
+    p = kept(p.select("query_id", "item_id", "label", *names))
+    trees = learn.train_lambda(p, names, rounds=2, depth=2, keep=kept)
     s = learn.score_lambda(trees, p, names)
     return ranking.top_k(s.withColumn("score", F.round("score", 6)), 50, positive=False).select("query_id", "item_id", "rank", "score")
 

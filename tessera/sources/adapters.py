@@ -73,13 +73,15 @@ COORDINATES = "30e0 + item_location * 15e-1 + (seller % 7) * 1e-2 AS lat, 5e0 +
 
 
 def pool(spark: SparkSession, sf_dir: str, k: int | None = POOL) -> DataFrame:
-    """(query_id, item_id, bm25, cov, rank, same_source): the k best documents of each passage, or all, with token coverage."""
+    """(query_id, item_id, bm25, cov, rank, source, n_chars): the k best documents of each passage, or all, with token coverage.
+
+    The terms that matched were counted with the score, so no document is tokenised again.
+    """
     d, q = documents(spark, sf_dir), benchmark(spark, sf_dir)
     top = ranking.top_k(search.bm25_search(d, q), (1 << 62) if k is None else k).withColumnRenamed("score", "bm25")
-    qt = T.once(q, F.array_distinct(T.tokens(F.col("text"))).alias("qt")).select("query_id", "qt")
-    dt = T.once(d, T.tokens(F.col("text")).alias("dt")).select("item_id", "source", "n_chars", "dt")
-    j = top.join(qt, "query_id").join(dt, "item_id")
-    return j.select("query_id", "item_id", "bm25", F.round(F.size(F.array_intersect("qt", "dt")).cast("double") / F.greatest(F.size("qt"), F.lit(1)), 6).alias("cov"), "rank", "source", "n_chars")
+    qt = q.select("query_id", F.size(F.array_distinct(T.tokens(F.col("text")))).alias("asked"))
+    j = top.join(qt, "query_id").join(d.select("item_id", "source", "n_chars"), "item_id")
+    return j.select("query_id", "item_id", "bm25", F.round(F.col("matched").cast("double") / F.greatest("asked", F.lit(1)), 6).alias("cov"), "rank", "source", "n_chars")
 
 
 POOL_CTE = rf"""d AS (SELECT doc_id AS item_id, source, n_chars, {tok('text')} AS tok FROM documents),

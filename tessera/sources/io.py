@@ -6,6 +6,8 @@ import hashlib
 import json
 import logging
 import os
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -36,6 +38,20 @@ def validate_schema(df: DataFrame, expected: T.StructType | list[str]) -> DataFr
     return df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a written table: its lineage is cut, and a lost executor loses none of it. The folder is the one that all
+    executors share (spark.checkpoint.dir), or in a local session without one a folder of this machine."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"file://{tempfile.gettempdir()}/tessera-kept"
+    path = f"{at.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
