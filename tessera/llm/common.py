@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import pandas as pd
@@ -44,8 +45,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    for _ in range(2):  # lets Spark delete the shuffle files that nothing reads any more; the last job's go the second time
-        spark._jvm.System.gc()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files that nothing reads any more
+    time.sleep(0.3)  # what the last job held goes through finalizers first
+    spark._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.kept_at = path
     return out
