@@ -195,3 +195,46 @@ def test_features_of_real_candidates(spark):
         best[q] = max(best.get(q, 0.0), r["bm25_relative"])
         assert r["history_click"] > 0 or part[i]["p_name"] != part[q]["p_name"]
     assert set(best.values()) == {1.0}
+
+
+def test_scans_cut_texts_and_keep_nulls_if_asked(spark, tmp_path):
+    from tessera.sources import io
+
+    spark.createDataFrame([(1, "abcdef", None), (2, None, "x")], "id long, text string, other string").write.parquet(str(tmp_path / "t"))
+    rows = lambda **k: sorted(tuple(r) for r in io.load_items(spark, str(tmp_path / "t"), ["text", "id"], ("text",), 3, **k).collect() if r["id"])
+    assert rows() == [("", 2), ("abc", 1)]
+    kept = io.load_items(spark, str(tmp_path / "t"), ["text", "id"], ("text",), 1000, keep_null=True)
+    assert {r["id"]: r["text"] for r in kept.collect()} == {1: "abcdef", 2: None} and kept.columns == ["text", "id"]
+    assert io.validate_schema(kept, ["text", "id"]) is kept
+    for wrong in (["id", "text"], ["text"], ["text", "id", "more"]):
+        with pytest.raises(ValueError):
+            io.validate_schema(kept, wrong)
+
+
+def test_checks_of_pools_and_answers(spark):
+    pool = spark.createDataFrame([(1, 1, 0.5), (1, 1, float("nan")), (2, 9, None)], "query_id long, item_id long, s double")
+    assert tuple(validate.finite_check(pool, ["s"]).first()) == (3, 2)
+    known = spark.createDataFrame([(1,)], "query_id long"), spark.createDataFrame([(1,)], "item_id long")
+    assert tuple(validate.bounds_check(pool, *known).first()) == (1, 1, 1)
+    answers = spark.createDataFrame([("a b c",), ("",), (None,), ("d",)], "answer string")
+    assert tuple(validate.candidate_stats(answers).first()) == (0, 3, 1.0, 2)
+
+
+def test_samples_fill_up_from_other_strata(spark):
+    rows = spark.createDataFrame([(i, "big" if i < 30 else "small") for i in range(32)], "k long, stratum string")
+    quotas = spark.createDataFrame([("big", 5), ("small", 5)], "stratum string, quota long")
+    sample, log = split.sample_with_fallback(rows, quotas, 1, "k", 10)
+    assert sample.count() == sample.select("k").distinct().count() == 10
+    assert {r["stratum"]: r["short"] for r in log.collect()} == {"big": 0, "small": 3}
+
+
+def test_windows_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    from tessera.streaming.counts import windowed_counts
+
+    d = spark.createDataFrame([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 01:10:00")], "event_type string, t string").select("event_type", F.to_timestamp("t").alias("ts"))
+    d.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    q = windowed_counts(s).writeStream.outputMode("complete").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(spark.table("windows").collect()) == sorted(windowed_counts(d).collect()) and windowed_counts(d).count() == 2
