@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import NO_SPACE, free_names, materialize, parts, quoted, table
+from tessera.llm.common import free_names, materialize, parts, quoted, sized, table
 
-#: The packed word table goes to the workers up to so many bytes; a larger one is joined by a shuffle.
+#: The packed word table goes to the workers up to so many bytes, its most spread words first; the others are joined.
 PACKED_BYTES = 128 << 20
 FLUSH_BYTES, MEMO_WORDS, BATCH_ROWS = 24 << 20, 100_000, 1000
 _loaded: dict = {}
@@ -51,14 +52,14 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-_TABLE = "words binary, h binary, n binary, ids binary, n_words long, n_ids long"
+_TABLE = "words binary, h binary, n binary, ids binary, spread binary, n_words long, n_ids long"
 
 
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The distinct words (runs of characters other than ASCII white space) of all texts, each encoded once.
 
     A row holds those of one bucket of hashes, packed: the words joined by spaces, their 64-bit hashes, how many ids each
-    has (uint32), and the ids (uint32). Null texts have none. White space never reaches an id under a vocabulary whose
+    has (uint32), the ids (uint32), and in how many parts of the corpus each was found (uint32). Null texts have none. White space never reaches an id under a vocabulary whose
     pre-tokenizer drops it, so the ids of a text are those of its words, one after the other; special tokens inside a
     word are found as the library finds them.
     """
@@ -87,7 +88,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         yield from out()
 
     def encode(bucket: pa.Table) -> pa.Table:
-        t, seen = tokenizer(path), set()
+        t, seen = tokenizer(path), Counter()
         for blob in bucket.column("words").to_pylist():
             seen.update(blob.split(b" "))
         words, n, ids = sorted(seen), [], []
@@ -96,31 +97,75 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 n.append(len(e.ids))
                 ids += e.ids
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        blobs = [b" ".join(words), h.tobytes(), np.array(n, np.uint32).tobytes(), np.array(ids, np.uint32).tobytes()]
-        return pa.table({**{c: pa.array([x], pa.binary()) for c, x in zip(("words", "h", "n", "ids"), blobs, strict=True)}, "n_words": pa.array([len(words)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
+        spread = np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))
+        blobs = [b" ".join(words), h.tobytes(), np.array(n, np.uint32).tobytes(), np.array(ids, np.uint32).tobytes(), spread.tobytes()]
+        return pa.table({**{c: pa.array([x], pa.binary()) for c, x in zip(("words", "h", "n", "ids", "spread"), blobs, strict=True)}, "n_words": pa.array([len(words)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
 
     found = docs.select(F.col(quoted(text)).alias("t")).mapInArrow(split, "bucket long, words binary")
     return found.groupBy("bucket").applyInArrow(encode, _TABLE)
 
 
-def _unpacked(words: DataFrame) -> DataFrame:
-    """(word binary, ids array<int>) of a word table, row by row."""
+def _rare(words: DataFrame, spread: int) -> DataFrame:
+    """(word binary, ids array<int>) of the words of a table that fewer than `spread` parts have, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob, n, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for blob, n, ids, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 ends = np.concatenate([[0], np.cumsum(np.frombuffer(n, np.uint32))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.uint32).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(blob.split(b" "), pa.binary()), lists], ["word", "ids"])
+                rare = pa.array(np.frombuffer(found, np.uint32) < spread)
+                yield pa.RecordBatch.from_arrays([pa.array(blob.split(b" "), pa.binary()).filter(rare), lists.filter(rare)], ["word", "ids"])
 
-    return words.select("words", "n", "ids").mapInArrow(run, "word binary, ids array<int>")
+    return words.select("words", "n", "ids", "spread").mapInArrow(run, "word binary, ids array<int>")
+
+
+def _common(words: DataFrame, spread: int) -> DataFrame:
+    """(h, n, ids) of the words of a table that at least `spread` parts have, bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                h, n, ids, found = (np.frombuffer(b.column(i)[k].as_py(), t) for i, t in enumerate((np.uint64, np.uint32, np.uint32, np.uint32)))
+                common = found >= spread
+                out = (h[common], n[common], ids[np.repeat(common, n)])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], ["h", "n", "ids"])
+
+    return words.select("h", "n", "ids", "spread").mapInArrow(run, "h binary, n binary, ids binary")
+
+
+def _spread(words: DataFrame, most: int) -> tuple[int, int, int]:
+    """(spread, words, ids): the least spread from which on the words of a table pack into `most` bytes, and how many
+    words and ids those are. A row for each spread comes here, of which there are no more than parts of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, found in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+                values, group = np.unique(np.frombuffer(found, np.uint32), return_inverse=True)
+                sums = (values, np.bincount(group), np.bincount(group, np.frombuffer(n, np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in sums], ["spread", "n_words", "n_ids"])
+
+    rows = words.select("n", "spread").mapInArrow(run, "spread long, n_words long, n_ids long").groupBy("spread").agg(F.sum("n_words"), F.sum("n_ids")).collect()
+    least, n_words, n_ids = max((r[0] for r in rows), default=0) + 1, 0, 0
+    for spread, more, more_ids in sorted(rows, reverse=True):
+        if 16 * (n_words + more) + 2 * (n_ids + more_ids) > most:
+            break
+        least, n_words, n_ids = spread, n_words + more, n_ids + more_ids
+    return least, n_words, n_ids
 
 
 class _Packed:
-    """The word table as arrays: hashes in order; the ids of word i are n[i] ids from start[i] on."""
+    """The word table as arrays: hashes in order; the ids of word i are n[i] ids from start[i] on. Word -1 has none."""
 
     def __init__(self, hashes: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray):
-        self.hashes, self.start, self.n, self.ids = hashes, start, n, ids
+        self.hashes, self.start, self.n, self.ids = hashes, np.append(start, start.dtype.type(0)), np.append(n, n.dtype.type(0)), ids
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers; -1 for those that aren't there."""
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
 
 
 def _pack(words: DataFrame, n_words: int, n_ids: int) -> _Packed:
@@ -158,8 +203,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
 
     Null and empty texts have no ids; repeated rows stay repeated; other columns pass through untouched (a column named
     like `ids` is replaced). The word table is written to the shared folder and measured: up to `packed_bytes` every
-    worker holds it as flat arrays and looks words up by 64-bit hash; beyond, words go to the table by a shuffle join
-    and come back in the order of their positions.
+    worker holds it as flat arrays and looks words up by 64-bit hash; of a larger one it holds the words that most parts
+    of the corpus have, and the others are joined: each once for a text that has it, by a shuffle, never by position.
     """
     path = path or vocabulary_path()
     spark = docs.sparkSession
@@ -167,9 +212,20 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     words = materialize(word_table(docs, path, text))
     n_words, n_ids = words.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
     docs = docs.drop(ids)
-    if 16 * n_words + 2 * n_ids > packed_bytes:
-        return _encode_joined(docs, words, text, ids)
-    shared = spark.sparkContext.broadcast(_pack(words, n_words, n_ids))
+    fields = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    own = None
+    if 16 * n_words + 2 * n_ids <= packed_bytes:
+        shared = spark.sparkContext.broadcast(_pack(words, n_words, n_ids))
+    else:
+        spread, n_words, n_ids = _spread(words, packed_bytes)
+        shared = spark.sparkContext.broadcast(_pack(_common(words, spread), n_words, n_ids))
+        key, own = free_names(docs, "key", "own")
+        # 128 bits of SHA-256 tell texts apart.
+        sha = F.unhex(F.substring(F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256), 1, 32))
+        at = _unknown(docs.select(sha.alias("key"), F.col(quoted(text)).alias("text")), shared)
+        got = at.join(_rare(words, spread), "word").groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias(own))
+        got = materialize(got.withColumnRenamed("key", key))
+        docs = docs.withColumn(key, sha).join(sized(got), key, "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, memo = shared.value, {}
@@ -182,29 +238,53 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
                 if len(memo) + len(new) > MEMO_WORDS:
                     memo.clear()
                     new = list(set(flat))
-                h = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
-                memo.update(zip(new, np.searchsorted(p.hashes, h).tolist(), strict=True))
+                memo.update(zip(new, p.places(new).tolist(), strict=True))
                 per = np.fromiter(map(len, texts), np.int64, len(texts))
                 rows = np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat))
                 n = p.n[rows].astype(np.int64)
                 values = _ragged(p.ids, p.start[rows].astype(np.int64), n).astype(np.int32)
+                if own:
+                    joined = {x["word"]: x["ids"] for pairs in batch.column(batch.schema.get_field_index(own)).to_pylist() for x in pairs or ()}
+                    n, values = _filled(rows, n, values, [joined[flat[i]] for i in np.flatnonzero(rows < 0).tolist()])
                 ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
+                kept = [c for c in batch.schema.names if c != own]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), lists], [*kept, ids])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, fields)
 
 
-def _encode_joined(docs: DataFrame, words: DataFrame, text: str, ids: str) -> DataFrame:
-    (key,) = free_names(docs, "key")
-    sha = F.sha2(F.coalesce(F.col(quoted(text)), F.lit("")), 256)
-    texts = docs.select(sha.alias("key"), F.col(quoted(text)).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    at = texts.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(f"({NO_SPACE}+)"), F.lit(1))).alias("pos", "word"))
-    named = _unpacked(words).select(F.col("word").alias("w"), F.col("ids").alias("piece_ids"))
-    got = at.join(named, F.encode("word", "UTF-8") == F.col("w")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "piece_ids"))).alias("every"))
-    got = got.select(F.col("key").alias(key), F.flatten(F.col("every.piece_ids")).alias(ids))
-    done = docs.withColumn(key, sha).join(got, key, "left").withColumn(ids, F.coalesce(F.col(quoted(ids)), F.array().cast("array<int>")))
-    return done.select(*(F.col(quoted(c)) for c in docs.columns), F.col(quoted(ids)))
+def _unknown(texts: DataFrame, shared) -> DataFrame:
+    """(key, word): the distinct words of each text (key, text) that the packed table does not have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, memo = shared.value, {}
+        for b in batches:
+            keys, found = [], []
+            for key, t in zip(_column(b, "key"), _column(b, "text"), strict=True):
+                mine = set((t or b"").split())
+                new = list(mine.difference(memo))
+                if len(memo) + len(new) > MEMO_WORDS:
+                    memo.clear()
+                    new = list(mine)
+                memo.update(zip(new, p.places(new).tolist(), strict=True))
+                mine = [w for w in mine if memo[w] < 0]
+                keys += [key] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["key", "word"])
+
+    return texts.mapInArrow(run, "key binary, word binary")
+
+
+def _filled(rows: np.ndarray, n: np.ndarray, values: np.ndarray, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """n and values with the lists in the places where rows are -1."""
+    n, gap = n.copy(), rows < 0
+    n[gap] = np.fromiter(map(len, lists), np.int64, len(lists))
+    gap = np.repeat(gap, n)
+    out = np.empty(len(gap), np.int32)
+    out[~gap] = values
+    out[gap] = np.fromiter((i for x in lists for i in x), np.int32, int(gap.sum()))
+    return n, out
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
