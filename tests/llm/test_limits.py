@@ -1,10 +1,11 @@
 """What the operators write and hold, on tables made for it."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, common, suffix
 
 
 def _shuffled(spark) -> int:
@@ -34,3 +35,44 @@ def test_a_large_word_table_sends_rare_words_only(spark):
     words = bpe.word_table(docs, bpe.vocabulary_path())
     spread, n, ids = bpe._spread(words, 9000)
     assert n >= 300 and 16 * n + 2 * ids <= 9000 and spread > 1 and bpe._rare(words, spread).count() + n == words.agg(F.sum("n_words")).first()[0]
+
+
+def test_suffix_passes_hold_little_at_a_time(spark, monkeypatch):
+    r = random.Random(6)
+    passages = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=900)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(r.sample(passages, 4)) + str(i)) for i in range(300)], "doc_id long, text string")
+    size, held, most, packed = {}, [_shuffled(spark)], [0], []
+
+    def kept(df):
+        out = common.materialize(df)
+        path = Path(out.kept_at.removeprefix("file://"))
+        size[out.kept_at] = sum(p.stat().st_size for p in path.glob("*.parquet"))
+        now = _shuffled(spark)
+        most[0] = max(most[0], sum(size.values()) + now - held[0])
+        held[0] = now
+        if "phases" in out.columns:
+            packed.append(size[out.kept_at])
+        return out
+
+    def gone(*tables):
+        for df in tables:
+            size.pop(getattr(df, "kept_at", None), None)
+        common.discard(*tables)
+
+    monkeypatch.setattr(suffix, "materialize", kept)
+    monkeypatch.setattr(suffix, "discard", gone)
+    monkeypatch.setattr(suffix, "CHUNK", 1 << 17)
+    monkeypatch.setattr(suffix, "BUCKET_KEYS", 100_000)
+    out = suffix.remove_repeats(docs).collect()
+    seen, texts = {}, {x["doc_id"]: x["text"].encode() for x in docs.collect()}
+    for i in sorted(texts):
+        for a in range(len(texts[i]) - 49):
+            seen.setdefault(texts[i][a : a + 50], i)
+    for x in out:
+        t, cut = texts[x["doc_id"]], set()
+        for a in range(len(t) - 49):
+            if seen[t[a : a + 50]] < x["doc_id"]:
+                cut.update(range(a, a + 50))
+        assert cut == {b for a, z in zip(x["spans"][::2], x["spans"][1::2], strict=True) for b in range(a, z)}
+    # Replies that were dealt out again in each pass, and all suffixes at once, took 15.8 MB.
+    assert packed and most[0] < 12_500_000
