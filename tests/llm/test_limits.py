@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, common, suffix
@@ -76,3 +77,43 @@ def test_suffix_passes_hold_little_at_a_time(spark, monkeypatch):
         assert cut == {b for a, z in zip(x["spans"][::2], x["spans"][1::2], strict=True) for b in range(a, z)}
     # Replies that were dealt out again in each pass, and all suffixes at once, took 15.8 MB.
     assert packed and most[0] < 12_500_000
+
+
+def test_suffix_passes_name_a_chunk_once(spark, monkeypatch):
+    """The replies of the first sort end with the pass that names a chunk; passes after it read the numbers it left."""
+    r = random.Random(8)
+    passages = ["".join(r.choices("abcdefgh  ", k=200)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(r.sample(passages, 3)) + str(i)) for i in range(24)], "doc_id long, text string")
+    beside = []
+
+    def kept(df):
+        out = common.materialize(df)
+        beside.extend([set(out.columns)] if "r2" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(suffix, "materialize", kept)
+    assert any(x["spans"] for x in suffix.remove_repeats(docs).collect())
+    assert beside and all("r1" not in x and "no" in x for x in beside)
+
+
+def test_anchors_of_many_pieces_are_those_of_each():
+    r = random.Random(9)
+    pieces = ["".join(r.choices("ab ", k=k)).encode() for k in (0, 49, 50, 51, 7, 300, 49, 2000, 50, 3)] + [b"x" * 120, b"x" * 120]
+    lens, want, at = np.array([len(x) for x in pieces]), [], 0
+    for x in pieces:
+        places, hashes = suffix._anchors(x, np.array([len(x)]))
+        want += zip((places + at).tolist(), hashes.tolist(), strict=True)
+        at += len(x)
+    places, hashes = suffix._anchors(b"".join(pieces), lens)
+    assert list(zip(places.tolist(), hashes.tolist(), strict=True)) == want and len(want) > 100
+    shared, ends = np.unique(hashes & ~np.uint64(1)), np.cumsum(lens)
+    # Every window holds an anchor, so with all of them shared a piece is one stretch, unless it is too short.
+    assert [(k, i, j) for k, i, j, _, _ in suffix._stretches(b"".join(pieces), lens, shared)] == [(k, e - n, e) for k, (e, n) in enumerate(zip(ends.tolist(), lens.tolist(), strict=True)) if n >= 50]
+
+
+def test_order_is_lexicographic():
+    r = np.random.default_rng(0)
+    for n, most in ((0, 2), (1, 2), (2, 1), (500, 1), (500, 3), (500, 2**63)):
+        c = [r.integers(0, most, n).astype(np.uint64) for _ in range(3)]
+        got, want = suffix._order(*c), np.lexsort(c[::-1])
+        assert sorted(got.tolist()) == list(range(n)) and all(np.array_equal(x[got], x[want]) for x in c)
