@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SMALL_ROWS, discard, free_names, materialize, quoted, sized, table
@@ -10,21 +12,30 @@ from tessera.llm.common import SMALL_ROWS, discard, free_names, materialize, quo
 K, PERCENT = 5, 80
 #: Lines with more tokens than this are verified by a join of pairs instead of with their tokens beside each posting.
 LONG = 512
+#: White space inside a line that isn't a blank.
+OTHER_SPACE = "\t\x0b\f\r"
+
+
+def _has_word(line):
+    """Trimming the left side alone stops at the first character of a word."""
+    return F.ltrim(line, F.lit(" \n" + OTHER_SPACE)) != ""
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, row, pos, line, h1, h2): lines with a word; row tells texts of one key apart, h1 and h2 are the line's identity."""
-    d = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    d = d.where(F.length(F.btrim("line", F.lit(" \t\n\x0b\f\r"))) > 0)
+    """(doc, row, pos, line, h1, h2): lines with a word, with blanks for their white space (lines that are equal then
+    have the same tokens); row tells texts of one key apart, h1 and h2 are the line's identity."""
+    # Replacing goes through every byte once for each character; few texts have one of them.
+    odd = reduce(Column.__or__, (F.contains(F.col(text), F.lit(c)) for c in OTHER_SPACE))
+    plain = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), OTHER_SPACE, F.col(text))
+    d = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.posexplode(F.split(F.when(odd, plain).otherwise(F.col(text)), "\n")).alias("pos", "line"))
+    d = d.where(F.ltrim("line") != "")
     return d.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
 def line_tokens(line, k: int = K):
-    """Expressions (words, tokens of `words`): distinct hashes of the k-word shingles, or of all words where there are fewer."""
-    plain = F.lower(line)
-    for c in "\t\x0b\f\r":  # splitting at one character takes no regular expression
-        plain = F.replace(plain, F.lit(c), F.lit(" "))
-    words = F.array_remove(F.split(plain, " "), "")
+    """Expressions (words, tokens of `words`) of a line whose white space is blanks: distinct hashes of the k-word
+    shingles, or of all words where there are fewer."""
+    words = F.array_remove(F.split(F.lower(line), " "), "")  # splitting at one character takes no regular expression
 
     def tokens(w):
         each = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
@@ -128,7 +139,7 @@ def dedup_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str =
     j = d.join(g, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(row)), "left")
     every = F.split(F.col(text), "\n")
     cut = F.array_join(F.filter(every, lambda x, i: ~F.array_contains(cuts, i)), "\n")
-    n = F.size(F.filter(every, lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0))
+    n = F.size(F.filter(every, _has_word))
     lines = F.when(F.col(text).isNull(), 0).otherwise(n).cast("long")
     changed = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(cut)
     return j.select(*(changed.alias(c) if c == text else F.col(quoted(c)) for c in d.columns), lines.alias("n_lines"), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_removed"))

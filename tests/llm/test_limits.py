@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, suffix
+from tessera.llm import bpe, common, lines, suffix
 
 
 def _shuffled(spark) -> int:
@@ -117,3 +117,12 @@ def test_order_is_lexicographic():
         c = [r.integers(0, most, n).astype(np.uint64) for _ in range(3)]
         got, want = suffix._order(*c), np.lexsort(c[::-1])
         assert sorted(got.tolist()) == list(range(n)) and all(np.array_equal(x[got], x[want]) for x in c)
+
+
+def test_lines_that_differ_in_white_space_are_one(spark):
+    """Such lines have the same tokens, so they are equal before the join, and no line is searched for white space."""
+    rows = [(1, "one two three\none\ttwo\x0bthree\n\t \x0b\n\x0c\r\n x"), (2, "one two\rthree\nOne Two Three four five six"), (3, "one\ttwo three four five six\n\xa0\n"), (4, None), (5, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines._lines(d, "doc_id", "text").where("line like 'one two three'").select("h1", "h2").distinct().count() == 1
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(d).collect()}
+    assert got == {1: ("one two three\n\t \x0b\n\x0c\r\n x", 3, 1), 2: ("One Two Three four five six", 2, 1), 3: ("\xa0\n", 2, 1), 4: (None, 0, 0), 5: ("", 0, 0)}
