@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, lines, lm, minhash, mixing, quality, suffix, token_counts, topk
+from tessera.llm import bpe, chat, codes, lines, lm, minhash, mixing, pages, quality, repair, suffix, token_counts, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         bpe.op8_bpe_encode_decode,
         mixing.op9_poisson_mixing,
         minhash.op10_minhash_near_dedup,
+        repair.op11_tight_arc_repair,
+        codes.op12_elkan_codes,
+        pages.op13_line_block_text,
     )
 }
 SQL = {
@@ -26,4 +29,7 @@ SQL = {
     "op6_line_dedup": lines.SQL,
     "op9_poisson_mixing": mixing.SQL,
     "op10_minhash_near_dedup": minhash.SQL,
+    "op11_tight_arc_repair": repair.SQL,
+    "op12_elkan_codes": codes.SQL,
+    "op13_line_block_text": pages.SQL,
 }
