@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.operators import diagnostics, features, metrics, ranking, split, validate
 from tessera.plans import retrieval
 from tessera.queries import query
-from tessera.sources.adapters import EVENTS, POOL, POOL_CTE, documents, events, pool, table, truth
+from tessera.sources.adapters import EVENTS, POOL_CTE, documents, events, pool, table, truth
 
 _RECALL = """pq AS (SELECT query_id, count(*) AS n_relevant, count(p.item_id) AS n_found, count(p.item_id)::DOUBLE / count(*) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT query_id, item_id FROM pool WHERE {0}) p USING (query_id, item_id) GROUP BY query_id)"""
 
@@ -26,15 +26,11 @@ def recall_summary(spark, sf):
     return m.select("n_queries", *(F.round(c, 6).alias(c) for c in ("recall", "recall_cold", "recall_warm")))
 
 
-@query(f"""WITH {POOL_CTE}, {_RECALL.format('TRUE')} SELECT count(*)::BIGINT AS n_queries, round(avg(recall), 6) AS ceiling FROM pq""")
+@query(f"""WITH {POOL_CTE}, {retrieval.UNION_CTE}, pq AS (SELECT query_id, count(u.item_id)::DOUBLE / count(*) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN un u USING (query_id, item_id) GROUP BY query_id)
+SELECT count(*)::BIGINT AS n_queries, round(avg(recall), 6) AS ceiling FROM pq""")
 def candidate_ceiling(spark, sf):
-    return metrics.ceiling(pool(spark, sf), truth(spark, sf)).agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 6).alias("ceiling"))
-
-
-@query()
-def candidate_ceiling_whole(spark, sf):
-    """Of the union of all channels; no SQL, for that of candidate_ceiling takes the pool."""
-    u = retrieval.candidate_union_whole(spark, sf)
+    """Of the union of all channels."""
+    u = retrieval.candidate_union(spark, sf)
     return metrics.ceiling(u, truth(spark, sf)).agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("recall"), 6).alias("ceiling"))
 
 
@@ -87,18 +83,8 @@ def cap_per_query(spark, sf):
     return split.cap_per_group(table(spark, sf, "events").select("event_type", "user_id", "event_id"), "user_id", "event_id", 5, 5)
 
 
-_HIST = "hist AS (SELECT * FROM ev WHERE category <> 'ECONOMY' AND item_location < 20)"
-
-
-@query(f"WITH {EVENTS}, {_HIST} SELECT p_partkey AS item_id, p_name AS text, p_name NOT IN (SELECT text FROM hist WHERE search_location < 3 AND item_id % 50 = 0) AS cold FROM part")
+@query(f"WITH {EVENTS} SELECT p_partkey AS item_id, p_name AS text, p_name NOT IN (SELECT text FROM ev) AS cold FROM part")
 def cold_flags(spark, sf):
-    h = events(spark, sf).where("category <> 'ECONOMY' AND item_location < 20 AND search_location < 3 AND item_id % 50 = 0")
-    return split.cold_flags(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text")), h)
-
-
-@query()
-def cold_flags_whole(spark, sf):
-    """Against all events; no SQL, for that of cold_flags reads a part of them."""
     return split.cold_flags(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text")), events(spark, sf))
 
 
@@ -161,10 +147,10 @@ tg AS (SELECT query_id, item_id, CASE WHEN rank IS NULL THEN ['candidate_miss']
   CASE WHEN lang <> d_lang THEN 'class_difference' END], lambda x: x IS NOT NULL) END AS tags FROM mi LEFT JOIN dis USING (query_id))"""
 
 
-def _tagged(spark, sf, k=POOL):
+def _tagged(spark, sf):
     c = F.col
     t = truth(spark, sf).distinct()
-    rel = pool(spark, sf, k).withColumn("lexical", ranking.relative(c("bm25"))).join(documents(spark, sf).select("item_id", c("lang").alias("class")), "item_id")
+    rel = pool(spark, sf).withColumn("lexical", ranking.relative(c("bm25"))).join(documents(spark, sf).select("item_id", c("lang").alias("class")), "item_id")
     rel = rel.withColumns({"location": c("source"), "same": (c("source") == F.concat(F.lit("src"), (c("query_id") % 5).cast("string"))).cast("double"), "title_coverage": c("cov"), "semantic": c("cov")})
     names = ("location", "same", "lexical", "title_coverage", "semantic", "class")
     dis = diagnostics.first_distractor(rel, t).select("query_id", *(c(n).alias(f"d_{n}") for n in names))
@@ -182,16 +168,6 @@ def error_tag_counts(spark, sf):
     return diagnostics.tag_counts(_tagged(spark, sf))
 
 
-@query()
-def error_tags_whole(spark, sf):
-    """With the ranks of all scored documents; no SQL, for that of error_tags ends at the pool."""
-    return _tagged(spark, sf, None).select("query_id", "item_id", F.concat_ws(",", "tags").alias("tags"))
-
-
-@query()
-def error_tag_counts_whole(spark, sf):
-    return diagnostics.tag_counts(_tagged(spark, sf, None))
-
 
 @query(f"""WITH {POOL_CTE}, t AS (SELECT DISTINCT * FROM truth), p AS (SELECT pool.* FROM pool JOIN t USING (query_id, item_id)), n AS (SELECT * FROM pool WHERE (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1)
 SELECT 'bm25' AS feature, (SELECT round(avg(bm25), 4) FROM p) AS positive, (SELECT round(avg(bm25), 4) FROM n) AS distractor UNION ALL SELECT 'cov', (SELECT round(avg(cov), 4) FROM p), (SELECT round(avg(cov), 4) FROM n)""")

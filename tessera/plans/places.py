@@ -14,10 +14,10 @@ def click_counts(spark, sf):
     return history.click_counts(events(spark, sf))
 
 
-@query(f"WITH {EVENTS}, c AS (SELECT item_id, ln(1e0 + count(*)) AS p FROM ev WHERE category <> 'PROMO' GROUP BY item_id) SELECT p_partkey AS item_id, round(coalesce(p, 0e0), 6) AS popularity FROM part LEFT JOIN c ON item_id = p_partkey")
+@query(f"WITH {EVENTS}, c AS (SELECT item_id, ln(1e0 + count(*)) AS p FROM ev GROUP BY item_id) SELECT p_partkey AS item_id, round(coalesce(p, 0e0), 6) AS popularity FROM part LEFT JOIN c ON item_id = p_partkey")
 def popularity(spark, sf):
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"))
-    return history.popularity(events(spark, sf).where("category <> 'PROMO'"), items).withColumn("popularity", F.round("popularity", 6))
+    return history.popularity(events(spark, sf), items).withColumn("popularity", F.round("popularity", 6))
 
 
 @query(f"WITH {EVENTS} SELECT search_location, item_location, count(*)::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY search_location), 6) AS prob FROM ev GROUP BY search_location, item_location")
@@ -87,11 +87,11 @@ def _near(spark, sf):
     return history.neighbours(v, 25)
 
 
-@query(f"""WITH {EVENTS}, {NEAR}, vo AS (SELECT text, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text) AS vote FROM ev WHERE class <> 'Brand#11' GROUP BY text, class),
+@query(f"""WITH {EVENTS}, {NEAR}, vo AS (SELECT text, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text) AS vote FROM ev GROUP BY text, class),
 s AS (SELECT nb.text, class, sum(pow(sim, 5e0) * vote) AS s FROM nb JOIN vo ON vo.text = neighbour GROUP BY ALL), p AS (SELECT text, class, s / sum(s) OVER (PARTITION BY text) AS p FROM s)
 SELECT text, class, round(coalesce(vote, 0e0) * 75e-2 + coalesce(p, 0e0) * 25e-2, 4) AS vote FROM p FULL JOIN vo USING (text, class)""")
 def knn_text_votes(spark, sf):
-    votes = history.class_votes(events(spark, sf).where("class <> 'Brand#11'"))
+    votes = history.class_votes(events(spark, sf))
     return history.vote_features(_near(spark, sf), votes).withColumn("vote", F.round("vote", 4))
 
 
@@ -102,13 +102,18 @@ def click_evidence(spark, sf):
     return history.click_evidence(_near(spark, sf), history.click_counts(e)).withColumn("evidence", F.round("evidence", 3))
 
 
-NB = rf"""dt AS (SELECT doc_id, lang, unnest({tok('text')}) AS term FROM documents WHERE doc_id % 5 <> 0), nc AS (SELECT lang, term, count(*)::DOUBLE AS c FROM dt GROUP BY ALL), voc AS (SELECT DISTINCT term FROM nc),
+def _nb(fold: str) -> str:
+    return rf"""dt AS (SELECT doc_id, lang, unnest({tok('text')}) AS term FROM documents WHERE {fold}), nc AS (SELECT lang, term, count(*)::DOUBLE AS c FROM dt GROUP BY ALL), voc AS (SELECT DISTINCT term FROM nc),
 gr AS (SELECT lang, term, coalesce(c, 0e0) AS c FROM (SELECT DISTINCT lang FROM nc) CROSS JOIN voc LEFT JOIN nc USING (lang, term))"""
+
+
+#: Of all documents; and of those that predictions are not tried on.
+NB, NB_FIT = _nb("TRUE"), _nb("doc_id % 5 <> 0")
 _PRIOR = "pri AS (SELECT lang, ln((count(*) + 1e0) / (sum(count(*)) OVER () + count(*) OVER ())) AS prior FROM documents WHERE doc_id % 5 <> 0 GROUP BY lang)"
 _MULTI = "mw AS (SELECT lang, term, ln(c + 1e-1) - ln(sum(c + 1e-1) OVER (PARTITION BY lang)) AS weight FROM gr)"
 
 
-def _nb_counts(spark, sf, fold="item_id % 5 <> 0"):
+def _nb_counts(spark, sf, fold="true"):
     d = documents(spark, sf).where(fold).select(F.col("item_id").cast("string").alias("text"), F.col("lang").alias("class"), T.tokens(F.col("text")).alias("tok"))
     terms = d.select("text", F.explode("tok").alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
     return d.select("class", "text"), terms, intent.class_counts(d, terms)
@@ -119,11 +124,6 @@ def nb_counts(spark, sf):
     return _nb_counts(spark, sf)[2]
 
 
-@query()
-def nb_counts_whole(spark, sf):
-    """Over all documents; no SQL, for that of nb_counts leaves a fold out."""
-    return _nb_counts(spark, sf, "true")[2]
-
 
 @query(f"WITH {NB}, {_MULTI} SELECT lang AS class, term, round(weight, 5) AS weight FROM mw")
 def nb_weights_multinomial(spark, sf):
@@ -135,12 +135,12 @@ def nb_weights_complement(spark, sf):
     return intent.complement(_nb_counts(spark, sf)[2]).table().withColumn("weight", F.round("weight", 5))
 
 
-PREDICT = rf"""{NB}, {_PRIOR}, {_MULTI}, qt AS (SELECT doc_id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents WHERE doc_id % 5 = 0) GROUP BY ALL),
+PREDICT = rf"""{NB_FIT}, {_PRIOR}, {_MULTI}, qt AS (SELECT doc_id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents WHERE doc_id % 5 = 0) GROUP BY ALL),
 sc AS (SELECT doc_id, lang, sum(w * weight) AS s FROM qt JOIN mw USING (term) GROUP BY ALL), ps AS (SELECT doc_id, pri.lang, prior + coalesce(s, 0e0) AS score FROM (SELECT DISTINCT doc_id FROM qt) CROSS JOIN pri LEFT JOIN sc USING (doc_id, lang))"""
 
 
 def _predict(spark, sf):
-    rows, _, counts = _nb_counts(spark, sf)
+    rows, _, counts = _nb_counts(spark, sf, "item_id % 5 <> 0")
     q = documents(spark, sf).where(F.col("item_id") % 5 == 0).select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
     return intent.predict(q, intent.multinomial(counts), intent.priors(rows))
 
@@ -168,13 +168,13 @@ def smoothed_rate(spark, sf):
 
 
 @query(f"""WITH {EVENTS}, {RATE}, vo AS (SELECT text, class, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY text) AS prob FROM ev GROUP BY text, class), ex AS (SELECT text, sum(prob * rate) / sum(prob) AS expected FROM vo JOIN ra USING (class) GROUP BY text),
-tm AS (SELECT text, avg(rate) AS text_rate FROM (SELECT text, class FROM ev WHERE search_location = 3) JOIN ra USING (class) GROUP BY text)
+tm AS (SELECT text, avg(rate) AS text_rate FROM ev JOIN ra USING (class) GROUP BY text)
 SELECT text AS query_id, round(expected, 6) AS expected, round(coalesce(text_rate, expected), 6) AS prior FROM ex LEFT JOIN tm USING (text)""")
 def expected_rate(spark, sf):
     e = events(spark, sf).withColumn("open", (F.col("price") > 1500).cast("double"))
     rates = remote.smoothed_rate(e, "class", "open")
     probs = history.class_votes(e).select(F.col("text").alias("query_id"), "class", F.col("vote").alias("prob"))
     expected = remote.expected_rate(probs, rates)
-    means = remote.text_mean(e.where("search_location = 3").select("text", "class").join(rates, "class"), "text")
+    means = remote.text_mean(e.select("text", "class").join(rates, "class"), "text")
     prior = remote.openness(expected.select("query_id", F.col("query_id").alias("text")), means, expected)
     return expected.join(prior, "query_id").select("query_id", F.round("expected", 6).alias("expected"), F.round("prior", 6).alias("prior"))

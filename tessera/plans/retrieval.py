@@ -30,7 +30,7 @@ def _feats(t: str) -> str:
     return f"list_concat(list_transform({t}, lambda x: 'w:' || x), list_transform(range(1, len({t})), lambda i: 'b:' || {t}[i] || '_' || {t}[i + 1]))"
 
 
-_FIELDS = {"title": ("substring(text, 1, 80)", 3.0, 0.35), "params": ("lang || ' ' || source", 1.0, 0.40), "description": ("substring(text, 1, 2500)", 0.8, 0.75)}
+_FIELDS = {"title": ("substring(text, 1, 80)", 3.0, 0.35), "params": ("lang || ' ' || source", 1.0, 0.40), "description": ("text", 0.8, 0.75)}
 FIELDED_CTE = (
     f"i AS (SELECT doc_id AS item_id, {', '.join(f'{tok(e)} AS {f}' for f, (e, _, _) in _FIELDS.items())} FROM documents),\n"
     "g AS (SELECT item_id, list_concat(list_concat(title, params), description) AS a, title, params, description FROM i),\n"
@@ -45,11 +45,11 @@ FIELDED_CTE = (
     "fsc AS (SELECT query_id, item_id, round(sum(w), 6) AS score FROM fq JOIN fw USING (term) GROUP BY ALL)"
 )
 _THREE = {"title": "title", "params": "params", "description": "description"}
-#: All features, as in the SQL, which cuts descriptions at 2,500 characters; and whole descriptions too.
-_EVERY, _WHOLE = search.SparseConfig(max_features=None), search.SparseConfig(max_features=None, description_chars=None)
+#: All features of whole texts.
+_WHOLE = search.SparseConfig(max_features=None, description_chars=None)
 
 
-def _fielded(spark, sf, cfg=_EVERY):
+def _fielded(spark, sf, cfg=_WHOLE):
     return search.search(search.fit_fields(fields(spark, sf), _THREE, cfg=cfg), search.query_terms(benchmark(spark, sf)))
 
 
@@ -58,31 +58,15 @@ def bm25_fielded(spark, sf):
     return ranking.top_k(_fielded(spark, sf).withColumn("score", cut("score", 4)), 50).select("query_id", "item_id", "rank", "score")
 
 
-@query()
-def bm25_fielded_whole(spark, sf):
-    """Over whole texts; no SQL, for that of bm25_fielded cuts them."""
-    return ranking.top_k(_fielded(spark, sf, _WHOLE).withColumn("score", cut("score", 4)), 50).select("query_id", "item_id", "rank", "score")
-
 
-@query(f"""WITH {FIELDED_CTE}, pr AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM benchmark b, documents WHERE (b.item_id + doc_id) % 37 = 0)
-SELECT query_id, item_id, {cut_sql('coalesce(score, 0e0)', 3)} AS score FROM pr LEFT JOIN fsc USING (query_id, item_id)""")
+@query(f"WITH {POOL_CTE}, {FIELDED_CTE} SELECT query_id, item_id, {cut_sql('coalesce(score, 0e0)', 3)} AS score FROM pool LEFT JOIN fsc USING (query_id, item_id)")
 def score_pairs(spark, sf):
-    q, d = benchmark(spark, sf).select("query_id"), documents(spark, sf).select("item_id")
-    # The hashed pairs of a query set with every item stand in for a caller's list of pairs.
-    pairs = q.join(d, (F.col("query_id") + F.col("item_id")) % 37 == 0)
-    index = search.fit_fields(fields(spark, sf), _THREE, cfg=_EVERY)
-    s = search.score_pairs(pairs, index, search.query_terms(benchmark(spark, sf)))
+    """The pool's pairs by the fielded index: those that share only terms left out of it count 0."""
+    terms = search.query_terms(benchmark(spark, sf))
+    s = search.score_pairs(pool(spark, sf).select("query_id", "item_id"), search.fit_fields(fields(spark, sf), _THREE, cfg=_WHOLE), terms)
     return s.select("query_id", "item_id", cut("score", 3).alias("score"))
 
 
-@query()
-def score_pairs_whole(spark, sf):
-    """Every pair that shares a term; no SQL, for that of score_pairs takes one of 37 pairs."""
-    index, terms = search.fit_fields(fields(spark, sf), _THREE, cfg=_WHOLE), search.query_terms(benchmark(spark, sf))
-    pairs = terms.join(index, "term").select("query_id", "item_id").distinct()
-    return search.score_pairs(pairs, index, terms).select("query_id", "item_id", cut("score", 3).alias("score"))
-
-
 TITLE_CTE = f"""ti AS (SELECT doc_id AS item_id, {tok('substring(text, 1, 80)')} AS t FROM documents), tf1 AS (SELECT item_id, {_feats('t')} AS f FROM ti),
 ts AS (SELECT count(*) AS n, avg(len(f)) AS m FROM tf1), tp AS (SELECT term, item_id, any_value(l) AS l, count(*) AS tf FROM (SELECT item_id, len(f) AS l, unnest(f) AS term FROM tf1) GROUP BY ALL),
 tdf AS (SELECT term, count(*) AS df FROM tp GROUP BY term), tw AS (SELECT term, item_id, ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 22e-1 / (tf + 12e-1 * ((1e0 - 35e-2) + 35e-2 * l / m))) AS w FROM tp JOIN tdf USING (term), ts),
@@ -128,32 +112,18 @@ def bm25_hybrid(spark, sf):
     return ranking.top_k(h, 50).select("query_id", "item_id", "score")
 
 
-@query()
-def bm25_hybrid_whole(spark, sf):
-    """Over whole texts; no SQL, for that of bm25_hybrid cuts them."""
-    title = search.search(search.fit_field_channel(fields(spark, sf), "title"), search.query_terms(benchmark(spark, sf)))
-    h = search.hybrid(_fielded(spark, sf, _WHOLE), title).withColumn("score", cut("score", 4))
-    return ranking.top_k(h, 50).select("query_id", "item_id", "score")
-
 
 _DOT = "list_dot_product(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(d.embedding, lambda x: x::DOUBLE))"
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 50)
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0)
 SELECT query_id, item_id, rank, {cut_sql('score', 5)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 10""")
 def dense_top10(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    q = v.where("item_id < 50").withColumnRenamed("item_id", "query_id")  # the query set of this report
+    q = v.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")  # a stated query set, from all rows
     return dense.retrieve_top_k(q, v, 10).select("query_id", "item_id", "rank", cut("score", 5).alias("score"))
 
 
-@query()
-def dense_top10_whole(spark, sf):
-    """Queries from all rows, those whose vec_id 20 divides; no SQL, for that of dense_top10 stops at vec_id 50."""
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    q = v.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
-    return dense.retrieve_top_k(q, v, 10).select("query_id", "item_id", "rank", cut("score", 5).alias("score"))
-
 
 @query(f"SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 5) AS score FROM embeddings q JOIN embeddings d ON d.vec_id = q.vec_id + 7")
 def dense_pair_scores(spark, sf):
@@ -228,40 +198,20 @@ def answer_rows(spark, sf):
     return ranking.answer_rows(legal_top50(spark, sf))
 
 
-@query()
-def legal_top50_whole(spark, sf):
-    """Legality before any cut; no SQL, for that of legal_top50 takes labels inside the pool."""
-    legal = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"))
-    return ranking.legal_top(pool(spark, sf, None).drop("rank").withColumnRenamed("bm25", "score"), legal, 50).select("query_id", "item_id", "rank")
-
-
-@query()
-def answer_rows_whole(spark, sf):
-    return ranking.answer_rows(legal_top50_whole(spark, sf))
-
 
 _CH = {"word": "bm25", "coverage": "cov", "length": "n_chars"}
-_QUOTA = {"word": 20, "coverage": 10, "length": 5}
+_QUOTA = dict(zip(_CH, (features.QUOTAS[k] for k in ("word", "char", "dense")), strict=True))
+UNION_CTE = f"""ch AS ({' UNION ALL '.join(f"SELECT query_id, item_id, '{k}' AS channel, {c}::DOUBLE AS score FROM pool" for k, c in _CH.items())}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, item_id) AS r FROM ch WHERE score > 0),
+un AS (SELECT query_id, item_id, array_to_string(list_sort(list(channel)), ' ') AS channels FROM r WHERE r <= CASE channel {' '.join(f"WHEN '{k}' THEN {n}" for k, n in _QUOTA.items())} END GROUP BY ALL)"""
 
 
-@query(f"""WITH {POOL_CTE}, ch AS ({' UNION ALL '.join(f"SELECT query_id, item_id, '{k}' AS channel, {c}::DOUBLE AS score FROM pool" for k, c in _CH.items())}),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, item_id) AS r FROM ch WHERE score > 0)
-SELECT query_id, item_id, array_to_string(list_sort(list(channel)), ' ') AS channels FROM r WHERE r <= CASE channel WHEN 'word' THEN 20 WHEN 'coverage' THEN 10 ELSE 5 END GROUP BY ALL""")
+@query(f"WITH {POOL_CTE}, {UNION_CTE} SELECT query_id, item_id, channels FROM un")
 def candidate_union(spark, sf):
     u = ranking.union_channels(features.long_channels(pool(spark, sf), _CH), _QUOTA)
     return u.select("query_id", "item_id", F.concat_ws(" ", "channels").alias("channels"))
 
 
-@query()
-def candidate_union_whole(spark, sf):
-    """The channels of features.QUOTAS, each ranked over all scored documents, with the stand-ins of channel_scores; no SQL, for that of candidate_union takes smaller quotas of the pool."""
-    c = F.col
-    p = pool(spark, sf, None).withColumn("w", ranking.relative(c("bm25")))
-    p = p.withColumns(features.channel_scores(c("w"), c("cov"), c("cov"), (c("item_id") % 7) / 7.0, (c("item_id") % 5) / 5.0, (c("item_id") % 3) / 3.0))
-    columns = {k: {"word": "bm25", "char": "cov", "dense": "cov"}.get(k, k) for k in features.QUOTAS}
-    u = ranking.union_channels(features.long_channels(p, columns), features.QUOTAS)
-    return u.select("query_id", "item_id", F.concat_ws(" ", "channels").alias("channels"))
-
 
 @query(f"""WITH {POOL_CTE}, g AS (SELECT *, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1e-6) AS w, item_id % 7 / 7e0 AS geo, item_id % 5 / 5e0 AS vote, item_id % 3 / 3e0 AS sup FROM pool),
 m AS (SELECT *, greatest(vote, sup * 7e-1) AS m FROM g)
@@ -305,12 +255,6 @@ def history_reservation(spark, sf):
     return ranking.reserve_history(p, p.where(F.col("source").isin("src1", "src2")), p.where(F.col("source").isin("src2", "src3", "src4")))
 
 
-@query()
-def history_reservation_whole(spark, sf):
-    """Known items from all scored documents; no SQL, for that of history_reservation looks in the pool."""
-    p = pool(spark, sf, None)
-    return ranking.reserve_history(p, p.where(F.col("source").isin("src1", "src2")), p.where(F.col("source").isin("src2", "src3", "src4")))
-
 
 _COV = "round(len(list_intersect(list_distinct({a}), list_distinct({b})))::DOUBLE / greatest(len(list_distinct({a})), 1), 6)"
 _GEO = "(g * 85e-2 + 15e-2)"
@@ -318,7 +262,7 @@ _M = "greatest(vote, sup * 7e-1)"
 
 
 @query(rf"""WITH {POOL_CTE}, f AS (SELECT pool.query_id, pool.item_id, bm25, bm25 / greatest(max(bm25) OVER (PARTITION BY pool.query_id), 1e-6) AS rel, cov, pool.item_id % 2 AS same, pool.item_id % 5 / 5e0 AS prob, (pool.item_id % 97)::DOUBLE AS km,
-  pool.item_id % 7 / 7e0 AS vote, pool.item_id % 3 / 3e0 AS sup, pool.n_chars, substring(x.text, 1, 80) AS title, x.lang || ' ' || x.source AS params, substring(x.text, 1, 1800) AS description, b.text, x.source AS filters
+  pool.item_id % 7 / 7e0 AS vote, pool.item_id % 3 / 3e0 AS sup, pool.n_chars, substring(x.text, 1, 80) AS title, x.lang || ' ' || x.source AS params, x.text AS description, b.text, x.source AS filters
   FROM pool JOIN documents x ON x.doc_id = pool.item_id JOIN benchmark b ON b.item_id = pool.query_id),
 g AS (SELECT *, greatest(same, prob, exp(-km / 5e1) * 35e-2) AS g, {tok('text')} AS qt, {tok('title')} AS tt, {tok('params')} AS pt, {tok('description')} AS dt, {tok('filters')} AS ft FROM f)
 SELECT query_id, item_id, bm25, round(rel, 5) AS bm25_relative, cov AS "char", cov AS char_relative, cov AS dense, cov AS dense_relative, bm25 AS title_bm25, round(rel, 5) AS title_relative, 0e0 AS params_bm25, round(vote, 5) AS microcat_probability,
@@ -331,7 +275,7 @@ SELECT query_id, item_id, bm25, round(rel, 5) AS bm25_relative, cov AS "char", c
 def base_features(spark, sf):
     c, lit = F.col, F.lit
     d, q = documents(spark, sf).select("item_id", "text", "lang", "source"), benchmark(spark, sf)
-    items = d.select("item_id", F.substring("text", 1, 80).alias("title"), F.concat_ws(" ", "lang", "source").alias("params"), F.substring("text", 1, 1800).alias("description"), c("source").alias("filters"))
+    items = d.select("item_id", F.substring("text", 1, 80).alias("title"), F.concat_ws(" ", "lang", "source").alias("params"), c("text").alias("description"), c("source").alias("filters"))
     p = pool(spark, sf).drop("source").withColumn("bm25_rel", ranking.relative(c("bm25"))).join(items, "item_id").join(q, "query_id")
     i = c("item_id")
     p = p.withColumns({

@@ -11,11 +11,11 @@ from tessera.sources.adapters import COORDINATES, EVENTS, benchmark, coordinates
 _SP = r"'\s+'"
 
 
-@query(rf"""SELECT doc_id, substring(replace(lower(text), 'ё', 'е'), 1, 1800) AS cleaned, array_to_string({tok('text')}, ' ') AS normalized, trim(regexp_replace(text, {_SP}, ' ', 'g')) AS collapsed,
+@query(rf"""SELECT doc_id, substring(replace(lower(text), 'ё', 'е'), 1, 1800) AS cleaned, replace(lower(text), 'ё', 'е') AS cleaned_whole, array_to_string({tok('text')}, ' ') AS normalized, trim(regexp_replace(text, {_SP}, ' ', 'g')) AS collapsed,
   concat_ws('. ', nullif(trim(regexp_replace(substring(text, 1, 80), {_SP}, ' ', 'g')), ''), nullif(trim(regexp_replace(lang || ' ' || source, {_SP}, ' ', 'g')), ''), nullif(trim(regexp_replace(substring(text, 1, 600), {_SP}, ' ', 'g')), '')) AS item_text FROM documents""")
 def norm_text(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", T.clean_text(F.col("text"), 1800).alias("cleaned"), T.normalize_query(F.col("text")).alias("normalized"), T.collapse(F.col("text")).alias("collapsed"), T.item_text(F.substring("text", 1, 80), F.concat_ws(" ", "lang", "source"), F.col("text")).alias("item_text"))
+    return d.select("doc_id", T.clean_text(F.col("text"), 1800).alias("cleaned"), T.clean_text(F.col("text"), None).alias("cleaned_whole"), T.normalize_query(F.col("text")).alias("normalized"), T.collapse(F.col("text")).alias("collapsed"), T.item_text(F.substring("text", 1, 80), F.concat_ws(" ", "lang", "source"), F.col("text")).alias("item_text"))
 
 
 @query(rf"SELECT doc_id, len({tok('text')})::BIGINT AS n_tokens, array_to_string({tok('text')}, '|') AS tokens FROM documents")
@@ -103,24 +103,17 @@ def query_keys(spark, sf):
     return table(spark, sf, "part").select(split.query_key(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("qkey")).groupBy("qkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, lang, substring(coalesce(text, ''), 1, 1800) AS text FROM documents WHERE lang IN ('en', 'fr')")
+@query("SELECT doc_id, lang, coalesce(text, '') AS text FROM documents WHERE lang IN ('en', 'fr')")
 def pruned_scan(spark, sf):
     from tessera.sources.io import load_items
 
-    return load_items(spark, f"{sf}/documents.parquet", ["doc_id", "lang", "text"], text_columns=("text",)).where(F.col("lang").isin("en", "fr"))
+    return load_items(spark, f"{sf}/documents.parquet", ["doc_id", "lang", "text"], text_columns=("text",), chars=None).where(F.col("lang").isin("en", "fr"))
 
 
-@query(rf"""WITH t AS (SELECT item_id, {tok('text')} AS q FROM benchmark WHERE item_id < 20), d AS (SELECT doc_id, list_distinct({tok('text')}) AS d, text FROM documents WHERE doc_id < 50)
-SELECT item_id, doc_id, round(len(list_intersect(list_distinct(q), d))::DOUBLE / greatest(len(list_distinct(q)), 1), 6) AS coverage FROM t, d""")
+@query(rf"""WITH t AS (SELECT item_id, len(q) AS n, unnest(q) AS term FROM (SELECT item_id, list_distinct({tok('text')}) AS q FROM benchmark)), d AS (SELECT doc_id, unnest(list_distinct({tok('text')})) AS term FROM documents)
+SELECT item_id, doc_id, round(count(*)::DOUBLE / any_value(n), 6) AS coverage FROM t JOIN d USING (term) GROUP BY ALL""")
 def feature_coverage(spark, sf):
-    q = benchmark(spark, sf).where("query_id < 20").select(F.col("query_id").alias("item_id"), T.tokens(F.col("text")).alias("q"))
-    d = documents(spark, sf).where("item_id < 50").select(F.col("item_id").alias("doc_id"), T.tokens(F.col("text")).alias("d"))
-    return q.crossJoin(d).select("item_id", "doc_id", F.round(T.coverage(F.col("q"), F.col("d")), 6).alias("coverage"))
-
-
-@query()
-def feature_coverage_whole(spark, sf):
-    """Every passage and document that share a token; no SQL, for that of feature_coverage stops at 20 passages and 50 documents."""
+    """Every passage and document that share a token."""
     q = T.once(benchmark(spark, sf), F.array_distinct(T.tokens(F.col("text"))).alias("q")).select(F.col("query_id").alias("item_id"), F.size("q").alias("n"), F.explode("q").alias("term"))
     d = T.once(documents(spark, sf), F.array_distinct(T.tokens(F.col("text"))).alias("d")).select(F.col("item_id").alias("doc_id"), F.explode("d").alias("term"))
     return q.join(d, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)).cast("double") / F.first("n"), 6).alias("coverage"))

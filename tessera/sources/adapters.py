@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import ranking, search
-
-POOL = 60
+from tessera.operators import search
+from tessera.sources.io import kept
 
 TOK = r"regexp_extract_all(replace(lower(coalesce({c}, '')), 'ё', 'е'), '[\p{{L}}\p{{N}}]+')"
 
@@ -72,16 +71,18 @@ def coordinates(rows: DataFrame) -> DataFrame:
 COORDINATES = "30e0 + item_location * 15e-1 + (seller % 7) * 1e-2 AS lat, 5e0 + item_location * 225e-2 + (seller % 5) * 2e-2 AS lon"
 
 
-def pool(spark: SparkSession, sf_dir: str, k: int | None = POOL) -> DataFrame:
-    """(query_id, item_id, bm25, cov, rank, source, n_chars): the k best documents of each passage, or all, with token coverage.
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, item_id, bm25, cov, rank, source, n_chars): all documents that share a token with a passage, with token coverage.
 
-    The terms that matched were counted with the score, so no document is tokenised again.
+    The terms that matched were counted with the score, so no document is tokenised again. The pool is written once: the
+    queries that read it several times don't score again.
     """
     d, q = documents(spark, sf_dir), benchmark(spark, sf_dir)
-    top = ranking.top_k(search.bm25_search(d, q), (1 << 62) if k is None else k).withColumnRenamed("score", "bm25")
+    scored = search.bm25_search(d, q).where("score > 0").withColumnRenamed("score", "bm25")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "item_id")).cast("long"))
     qt = q.select("query_id", F.size(F.array_distinct(T.tokens(F.col("text")))).alias("asked"))
-    j = top.join(qt, "query_id").join(d.select("item_id", "source", "n_chars"), "item_id")
-    return j.select("query_id", "item_id", "bm25", F.round(F.col("matched").cast("double") / F.greatest("asked", F.lit(1)), 6).alias("cov"), "rank", "source", "n_chars")
+    j = ranked.join(qt, "query_id").join(d.select("item_id", "source", "n_chars"), "item_id")
+    return kept(j.select("query_id", "item_id", "bm25", F.round(F.col("matched").cast("double") / F.greatest("asked", F.lit(1)), 6).alias("cov"), "rank", "source", "n_chars"))
 
 
 POOL_CTE = rf"""d AS (SELECT doc_id AS item_id, source, n_chars, {tok('text')} AS tok FROM documents),
@@ -92,6 +93,6 @@ tf AS (SELECT item_id, term, any_value(l) AS l, count(*) AS tf FROM (SELECT item
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT term, item_id, ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * (tf * 22e-1 / (tf + 12e-1 * ((1e0 - 75e-2) + 75e-2 * l / mean))) AS w FROM tf JOIN df USING (term), st),
 bm AS (SELECT query_id, item_id, round(sum(w), 6) AS bm25 FROM qterm JOIN w USING (term) GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, item_id) AS rank FROM bm WHERE bm25 > 0 QUALIFY rank <= {POOL}),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, item_id) AS rank FROM bm WHERE bm25 > 0),
 pool AS (SELECT query_id, item_id, bm25, round(len(list_intersect(qt, list_distinct(tok)))::DOUBLE / greatest(len(qt), 1), 6) AS cov, rank, source, n_chars FROM top JOIN q USING (query_id) JOIN d USING (item_id)),
 truth AS (SELECT b.item_id AS query_id, doc_id AS item_id FROM documents, benchmark b WHERE contains(documents.text, b.text))"""

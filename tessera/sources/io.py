@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 log = logging.getLogger("tessera")
 
 
-def load_items(spark: SparkSession, path: str, columns: list[str] | None = None, text_columns: tuple = (), chars: int = 1800, keep_null: bool = False) -> DataFrame:
-    """The columns in the order asked for; long texts are cut at the scan, and null ones empty unless keep_null."""
+def load_items(spark: SparkSession, path: str, columns: list[str] | None = None, text_columns: tuple = (), chars: int | None = 1800, keep_null: bool = False) -> DataFrame:
+    """The columns in the order asked for; texts are cut at the scan unless chars is None, and null ones empty unless keep_null."""
     d = spark.read.parquet(path)
-    cut = lambda c: F.substring(F.col(c) if keep_null else F.coalesce(F.col(c), F.lit("")), 1, chars).alias(c)
+    whole = lambda c: F.col(c) if keep_null else F.coalesce(F.col(c), F.lit(""))
+    cut = lambda c: (whole(c) if chars is None else F.substring(whole(c), 1, chars)).alias(c)
     return d.select(*(cut(c) if c in text_columns else F.col(c) for c in (columns or d.columns)))
 
 
@@ -44,7 +45,8 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/tessera-kept"
     path = f"{at.rstrip('/')}/kept-{uuid.uuid4().hex}"

@@ -7,9 +7,8 @@ from pathlib import Path
 import pytest
 
 import tessera.plans  # noqa: F401
-from tessera.operators import features, metrics, search
+from tessera.operators import search
 from tessera.queries import QUERIES
-from tessera.sources.adapters import pool, truth
 
 #: Planted in 70 documents, more than a pool holds; only every third document has a label.
 PASSAGE = "violet harbour lantern"
@@ -35,7 +34,7 @@ def sharing():
 
 
 def test_coverage_of_all_pairs_that_share_a_token(spark, sf):
-    got = {(r["item_id"], r["doc_id"]): r["coverage"] for r in QUERIES["feature_coverage_whole"](spark, sf).collect()}
+    got = {(r["item_id"], r["doc_id"]): r["coverage"] for r in QUERIES["feature_coverage"](spark, sf).collect()}
     texts, passages = {i: set(t.split()) for i, t, *_ in DOCS}, {q: set(p.split()) for q, p in BENCH}
     assert got == {(q, i): round(len(passages[q] & texts[i]) / len(passages[q]), 6) for q, i in sharing()}
     assert (25, 500) in got
@@ -43,7 +42,7 @@ def test_coverage_of_all_pairs_that_share_a_token(spark, sf):
 
 def test_dense_queries_come_from_all_rows(spark, sf):
     got = {}
-    for r in QUERIES["dense_top10_whole"](spark, sf).collect():
+    for r in QUERIES["dense_top10"](spark, sf).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["score"]))
     assert sorted(got) == [0, 20, 40, 60, 80, 100, 120]
     for q, rows in got.items():
@@ -52,34 +51,29 @@ def test_dense_queries_come_from_all_rows(spark, sf):
 
 
 def test_pairs_that_share_a_term_are_all_scored(spark, sf):
-    got = {(r["query_id"], r["item_id"]): r["score"] for r in QUERIES["score_pairs_whole"](spark, sf).collect()}
+    got = {(r["query_id"], r["item_id"]): r["score"] for r in QUERIES["score_pairs"](spark, sf).collect()}
     assert {(q, i) for q, i in sharing() } <= got.keys() and all(s > 0 for s in got.values())
 
 
 def test_operators_see_documents_beyond_the_pool(spark, sf):
-    legal = [r["item_id"] for r in QUERIES["legal_top50_whole"](spark, sf).where("query_id = 0").collect()]
+    legal = [r["item_id"] for r in QUERIES["legal_top50"](spark, sf).where("query_id = 0").collect()]
     assert sorted(legal) == list(range(0, 70, 3))
-    answers = {r["query_id"]: r["answer"].split() for r in QUERIES["answer_rows_whole"](spark, sf).collect()}
+    answers = {r["query_id"]: r["answer"].split() for r in QUERIES["answer_rows"](spark, sf).collect()}
     assert sorted(map(int, answers[0])) == sorted(legal)
-    ceiling = QUERIES["candidate_ceiling_whole"](spark, sf).first()
+    ceiling = QUERIES["candidate_ceiling"](spark, sf).first()
     assert (ceiling["n_queries"], ceiling["ceiling"]) == (2, 1.0)
-    tags = {r["item_id"]: r["tags"].split(",") for r in QUERIES["error_tags_whole"](spark, sf).where("query_id = 0").collect()}
+    tags = {r["item_id"]: r["tags"].split(",") for r in QUERIES["error_tags"](spark, sf).where("query_id = 0").collect()}
     assert len(tags) == 70 and sum("close_rank" in t for t in tags.values()) == 20 and not any("candidate_miss" in t for t in tags.values())
-    counts = {r["tag"]: r["n"] for r in QUERIES["error_tag_counts_whole"](spark, sf).collect()}
+    counts = {r["tag"]: r["n"] for r in QUERIES["error_tag_counts"](spark, sf).collect()}
     assert counts["close_rank"] == 20 and "candidate_miss" not in counts
-    tiers = [r["tier"] for r in QUERIES["history_reservation_whole"](spark, sf).where("query_id = 0").collect()]
+    tiers = [r["tier"] for r in QUERIES["history_reservation"](spark, sf).where("query_id = 0").collect()]
     assert len(tiers) == 50 and tiers.count(0) == 25
-    union = {(r["query_id"], r["item_id"]): r["channels"].split() for r in QUERIES["candidate_union_whole"](spark, sf).collect()}
-    assert union.keys() == sharing() and {c for v in union.values() for c in v} == set(features.QUOTAS)
-
-
-def test_recall_at_50_needs_no_rank_beyond_the_pool(spark, sf):
-    got = {tuple(r) for r in QUERIES["recall_at_50"](spark, sf).collect()}
-    assert got == {(r["query_id"], r["n_relevant"], r["n_found"], round(r["recall"], 6)) for r in metrics.recall_per_query(pool(spark, sf, None), truth(spark, sf)).collect()}
+    union = {(r["query_id"], r["item_id"]): r["channels"].split() for r in QUERIES["candidate_union"](spark, sf).collect()}
+    assert union.keys() == sharing() and {c for v in union.values() for c in v} == {"word", "coverage", "length"}
 
 
 def test_deep_passages_and_rare_terms_stay_in_the_index(spark, sf):
-    for name in ("bm25_fielded_whole", "bm25_hybrid_whole"):
+    for name in ("bm25_fielded", "bm25_hybrid"):
         assert [r["item_id"] for r in QUERIES[name](spark, sf).where("query_id = 25").collect()] == [500]
     d = spark.createDataFrame([(i, f"common t{i}") for i in range(4)] + [(4, "other")], "item_id long, text string")
     few, all_ = ({r["term"] for r in search.fit_fields(d, {"description": "text"}, cfg=search.SparseConfig(max_features=n)).collect()} for n in (2, None))
@@ -87,7 +81,7 @@ def test_deep_passages_and_rare_terms_stay_in_the_index(spark, sf):
 
 
 def test_class_counts_leave_no_document_out(spark, sf):
-    got = {(r["class"], r["term"]): r["c"] for r in QUERIES["nb_counts_whole"](spark, sf).collect()}
+    got = {(r["class"], r["term"]): r["c"] for r in QUERIES["nb_counts"](spark, sf).collect()}
     assert got == Counter((lang, w) for _, t, lang, *_ in DOCS for w in t.split())
 
 
@@ -96,4 +90,4 @@ def test_texts_with_any_event_are_not_cold(spark):
     at = "/root/testdata/sf0.001"
     parts, bought = spark.read.parquet(f"{at}/part.parquet").select("p_partkey", "p_name").collect(), {r[0] for r in spark.read.parquet(f"{at}/lineitem.parquet").select("l_partkey").distinct().collect()}
     known = {name for key, name in parts if key in bought}
-    assert {(r["item_id"], r["cold"]) for r in QUERIES["cold_flags_whole"](spark, at).collect()} == {(key, name not in known) for key, name in parts}
+    assert {(r["item_id"], r["cold"]) for r in QUERIES["cold_flags"](spark, at).collect()} == {(key, name not in known) for key, name in parts}
