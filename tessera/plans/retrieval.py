@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import dense, features, learn, ranking, search
 from tessera.queries import query
-from tessera.sources.io import kept
 from tessera.sources.adapters import POOL_CTE, benchmark, documents, fields, pool, table, tok, truth
 
 
@@ -207,8 +206,8 @@ un AS (SELECT query_id, item_id, array_to_string(list_sort(list(channel)), ' ')
 
 
 @query(f"WITH {POOL_CTE}, {UNION_CTE} SELECT query_id, item_id, channels FROM un")
-def candidate_union(spark, sf):
-    u = ranking.union_channels(features.long_channels(pool(spark, sf), _CH), _QUOTA)
+def candidate_union(spark, sf, scored=None):
+    u = ranking.union_channels(features.long_channels(pool(spark, sf) if scored is None else scored, _CH), _QUOTA)
     return u.select("query_id", "item_id", F.concat_ws(" ", "channels").alias("channels"))
 
 
@@ -286,27 +285,3 @@ def base_features(spark, sf):
     f = features.base_features(p)
     coverages = ("bm25", "title_bm25", "char", "char_relative", "dense", "dense_relative", "title_coverage", "description_coverage", "params_coverage", "filter_coverage")
     return f.select("query_id", "item_id", *((cut(n, 5) if n.startswith(("geo_", "microcat_b", "microcat_d")) else F.round(n, 6 if n in coverages else 5)).alias(n) for n in features.FEATURES))
-
-
-@query()
-def gbt_rank(spark, sf):
-    """Pointwise trees over pool features; no SQL."""
-    p = features.label(pool(spark, sf), truth(spark, sf)).withColumn("n_chars", F.col("n_chars").cast("double"))
-    names = ["bm25", "cov", "n_chars", *(f"pool_{k}_bm25" for k in ("percentile", "gap_best", "gap_50"))]
-    a = ranking.augment(p, ["bm25"])
-    model = learn.train_pointwise(a, names, maxIter=5, maxDepth=3)
-    s = learn.score_pointwise(model, a)
-    return ranking.top_k(s.drop("rank").withColumn("score", F.round("score", 6)), 50).select("query_id", "item_id", "rank", "score")
-
-
-@query()
-def lambda_rank(spark, sf):
-    """A small LambdaMART over pool features; no SQL."""
-    p = features.label(pool(spark, sf), truth(spark, sf)).withColumn("n_chars", F.col("n_chars").cast("double"))
-    names = ["bm25", "cov", "n_chars"]
-    p = kept(p.select("query_id", "item_id", "label", *names))
-    trees = learn.train_lambda(p, names, rounds=2, depth=2, keep=kept)
-    s = learn.score_lambda(trees, p, names)
-    return ranking.top_k(s.withColumn("score", F.round("score", 6)), 50, positive=False).select("query_id", "item_id", "rank", "score")
-
-

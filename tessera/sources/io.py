@@ -39,17 +39,21 @@ def validate_schema(df: DataFrame, expected: T.StructType | list[str]) -> DataFr
     return df
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a written table: its lineage is cut, and a lost executor loses none of it. The folder is the one that all
-    executors share (spark.checkpoint.dir), or in a local session without one a folder of this machine."""
-    spark = df.sparkSession
+def kept_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir), or in a local session without one a folder of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/tessera-kept"
-    path = f"{at.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a written table: its lineage is cut, and a lost executor loses none of it."""
+    spark = df.sparkSession
+    path = f"{kept_folder(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
