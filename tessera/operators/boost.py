@@ -11,6 +11,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -291,17 +292,22 @@ def train(pool: DataFrame, features: list[str], s: Settings = Settings(), q: str
 
 
 def as_column(nodes: list[tuple]) -> Column:
-    """One tree as an expression."""
-    by = {n[1]: n for n in nodes}
-
-    def of(k: int) -> Column:
+    """One tree as an expression: a flat choice between the paths to its leaves."""
+    by, paths = {n[1]: n for n in nodes}, []
+    todo = [(0, [])]
+    while todo:
+        k, path = todo.pop()
         _, _, feature, threshold, left, right, value, *_ = by[k]
         if feature is None:
-            return F.lit(value)
-        x = F.col(feature).cast("double")
-        return F.when((x > threshold) & ~F.isnan(x), of(right)).otherwise(of(left))
-
-    return of(0)
+            paths.append((path, value))
+        else:
+            over = F.coalesce((F.col(feature).cast("double") > threshold) & ~F.isnan(F.col(feature).cast("double")), F.lit(False))
+            todo += [(right, [*path, over]), (left, [*path, ~over])]
+    out = None
+    for path, value in paths[:-1]:
+        both = reduce(lambda a, b: a & b, path)
+        out = F.when(both, F.lit(value)) if out is None else out.when(both, F.lit(value))
+    return F.lit(paths[-1][1]) if out is None else out.otherwise(F.lit(paths[-1][1]))
 
 
 def _outputs(x: np.ndarray, model: Model) -> np.ndarray:
@@ -318,8 +324,8 @@ def _outputs(x: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-#: Nodes that a model may have to be scored as an expression; the code of more is slower to compile than to walk.
-COLUMN_NODES = 400
+#: Nodes that a model may have to be scored as an expression; a plan of more takes longer to compile than trees to walk.
+COLUMN_NODES = 64
 
 
 def score(pool: DataFrame, model: Model, out: str = "score", staged: bool = False, column_nodes: int = COLUMN_NODES) -> DataFrame:

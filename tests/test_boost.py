@@ -133,10 +133,12 @@ def test_more_rounds_rank_better_and_beat_the_small_trees(pool, model):
 
 
 def test_expression_and_walk_give_the_same_scores(pool, model):
+    model = boost.truncated(model, 2)
     at = lambda n, staged: {r["item_id"]: r["score"] for r in boost.score(pool, model, staged=staged, column_nodes=n).collect()}
     for staged in (False, True):
         assert at(10**9, staged) == at(0, staged)
-    assert all(v[-1] == pytest.approx(at(0, False)[k]) and len(v) == 5 for k, v in at(0, True).items())
+    last = at(0, False)
+    assert all(v[-1] == pytest.approx(last[k]) and len(v) == 2 for k, v in at(0, True).items())
 
 
 def test_a_stored_model_is_the_same_in_a_new_reading_and_tampering_raises(spark, pool, model, tmp_path):
