@@ -1,4 +1,4 @@
-"""Naive Bayes intent model from counts: fit, predict, and recall over class rankings."""
+"""Naive Bayes intent models from counts: frozen vocabulary, fit, a grid of models scored in one pass, predict, recall, refit."""
 
 from __future__ import annotations
 
@@ -7,7 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators.ranking import softmax
+from tessera.operators.search import document_frequency, term_counts
+from tessera.sources.io import kept
+
+#: Weights of a text's words, of its characters, and of the filters beside it.
+BLOCKS = {"word": 0.8, "char": 0.6, "filter": 0.35}
+#: The models that are compared, in order.
+GRID = (("multinomial", 0.1), ("multinomial", 1.0), ("complement", 0.1), ("complement", 1.0))
 
 
 def class_counts(events: DataFrame, terms: DataFrame, text: str = "text", cls: str = "class") -> DataFrame:
@@ -91,3 +99,122 @@ def class_recall(ranks: DataFrame, truth: DataFrame, ks: tuple = (1, 5, 10), q:
     j = truth.select(q, cls).distinct().join(ranks.select(q, cls, "rank"), [q, cls], "left")
     per = j.groupBy(q).agg(*(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in ks))
     return per.agg(*(F.avg(f"recall_at_{k}").alias(f"recall_at_{k}") for k in ks))
+
+
+def _block_counts(rows: DataFrame, column: str, block: str) -> DataFrame:
+    """(column, term, tf) of different texts: words of two characters and more with their pairs, or n-grams inside words."""
+    d = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    tok = T.tokens(F.col(column))
+    return term_counts(d, column, T.char_grams(tok) if block == "char" else T.word_features(F.filter(tok, lambda x: F.length(x) > 1)))
+
+
+def fit_vocabulary(events: DataFrame, version: str, text: str = "text", filters: str = "filters") -> DataFrame:
+    """(version, block, term, idf): the terms of the events' texts and filters with their smoothed IDF.
+
+    Written and read again it stays as it is, whatever later models count: a refit on more events has the same terms.
+    """
+    out = None
+    for block in BLOCKS:
+        column = filters if block == "filter" else text
+        n = events.select(column).where(F.col(column).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n"))
+        df = document_frequency(_block_counts(events, column, block)).crossJoin(F.broadcast(n))  # one row
+        v = df.select(F.lit(version).alias("version"), F.lit(block).alias("block"), "term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+        out = v if out is None else out.union(v)
+    return out
+
+
+def _unit(rows: DataFrame, column: str, weight: float = 1.0) -> DataFrame:
+    norm = rows.groupBy(column).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.join(norm, column).select(column, "term", (F.col("w") / F.col("norm") * weight).alias("w"))
+
+
+def _block(rows: DataFrame, column: str, block: str, vocabulary: DataFrame) -> DataFrame:
+    v = vocabulary.where(F.col("block") == block).select("term", "idf")
+    c = _block_counts(rows, column, block).join(v, "term")
+    w = c.select(column, F.concat(F.lit(f"{block} "), "term").alias("term"), ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
+    return _unit(w, column, BLOCKS[block])
+
+
+def text_terms(rows: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """(text, term, w) of different texts: words and characters, of unit length together; terms outside the vocabulary add nothing."""
+    return _unit(_block(rows, text, "word", vocabulary).union(_block(rows, text, "char", vocabulary)), text)
+
+
+def filter_terms(rows: DataFrame, vocabulary: DataFrame, filters: str = "filters") -> DataFrame:
+    """(filters, term, w) of different filter texts, with the filters' weight."""
+    return _block(rows, filters, "filter", vocabulary)
+
+
+def query_vectors(queries: DataFrame, vocabulary: DataFrame, q: str = "query_id", text: str = "text", filters: str = "filters") -> DataFrame:
+    """(query, term, w): the text's terms and the filters' beside them."""
+    t = queries.select(q, text).join(text_terms(queries, vocabulary, text), text).select(q, "term", "w")
+    return t.union(queries.select(q, filters).join(filter_terms(queries, vocabulary, filters), filters).select(q, "term", "w"))
+
+
+def intent_counts(events: DataFrame, vocabulary: DataFrame, cls: str = "class", text: str = "text", filters: str = "filters") -> DataFrame:
+    """(class, term, c): events are counted by class and text, and by class and filters, before they meet any term."""
+    by_text = class_counts(events, text_terms(events, vocabulary, text), text, cls)
+    return by_text.union(class_counts(events, filter_terms(events, vocabulary, filters), filters, cls))
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Several models' weights, each as an array in the order of `models`, in the three parts of Weights; and their intercepts."""
+
+    models: tuple
+    classes: DataFrame
+    terms: DataFrame
+    extra: DataFrame
+    intercepts: DataFrame
+
+
+def fit_grid(counts: DataFrame, vocabulary: DataFrame, events: DataFrame, models: tuple = GRID, cls: str = "class") -> Grid:
+    """All models from one table of counts. Multinomial ones start from the classes' priors, complement ones from 0."""
+    terms = vocabulary.select(F.concat("block", F.lit(" "), "term").alias("term")).distinct()
+    c = counts.withColumn("c", F.col("c").cast("double")).where("c > 0").join(terms, "term", "left_semi")
+    c = kept(c.select(cls, "term", "c"))
+    one = terms.agg(F.count(F.lit(1)).alias("v")).crossJoin(c.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("all")))
+    s = priors(events, cls).join(c.groupBy(cls).agg(F.sum("c").alias("s")), cls, "left").fillna(0.0, ["s"]).crossJoin(F.broadcast(one))
+    t = terms.join(c.groupBy("term").agg(F.sum("c").alias("t")), "term", "left").fillna(0.0, ["t"])
+    x = c.join(t, "term")
+    col = F.col
+
+    def each(multinomial, complement):
+        return F.array(*((multinomial if kind == "multinomial" else complement)(float(alpha)) for kind, alpha in models))
+
+    in_class = each(lambda a: F.log(F.lit(a)) - F.log(col("s") + col("v") * a), lambda a: F.log(col("all") - col("s") + col("v") * a))
+    in_term = each(lambda _: F.lit(0.0), lambda a: -F.log(col("t") + a))
+    in_both = each(lambda a: F.log(col("c") + a) - F.log(F.lit(a)), lambda a: F.log(col("t") + a) - F.log(col("t") - col("c") + a))
+    start = each(lambda _: col("prior"), lambda _: F.lit(0.0))
+    return Grid(tuple(models), s.select(cls, in_class.alias("part")), t.select("term", in_term.alias("part")), x.select(cls, "term", in_both.alias("part")), s.select(cls, start.alias("part")))
+
+
+def predict_grid(terms: DataFrame, queries: DataFrame, grid: Grid, q: str = "query_id", cls: str = "class") -> DataFrame:
+    """(query, class, model, score): every query and class by all models, from one pass over the terms. Queries without a
+    known term get the intercepts. Few classes: they meet every query."""
+    k = range(len(grid.models))
+    sums = lambda to: [F.sum(F.col("w") * F.get("part", F.lit(i))).alias(f"{to}{i}") for i in k]
+    known = terms.join(grid.terms, "term")
+    per = known.groupBy(q).agg(F.sum("w").alias("n"), *sums("t"))
+    extra = terms.join(grid.extra, "term").groupBy(q, cls).agg(*sums("e"))
+    both = grid.classes.select(cls, F.col("part").alias("a")).join(grid.intercepts.select(cls, F.col("part").alias("b")), cls)
+    s = queries.select(q).distinct().crossJoin(both).join(per, q, "left").join(extra, [q, cls], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    scores = F.array(*(F.get("b", F.lit(i)) + F.get("a", F.lit(i)) * zero("n") + zero(f"t{i}") + zero(f"e{i}") for i in k))
+    return s.select(q, cls, F.posexplode(scores).alias("model", "score"))
+
+
+def grid_recall(scores: DataFrame, truth: DataFrame, models: tuple = GRID, ks: tuple = (1, 5, 10), q: str = "query_id", cls: str = "class") -> DataFrame:
+    """(model, kind, alpha, recall_at_k ..., chosen): the best recall at 5 is chosen, the first of equal ones."""
+    r = F.row_number().over(Window.partitionBy("model", q).orderBy(F.desc(F.round("score", 9)), cls))
+    j = truth.select(q, cls).distinct().join(scores.withColumn("rank", r).select("model", q, cls, "rank"), [q, cls])
+    per = j.groupBy("model", q).agg(*(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_at_{k}") for k in ks))
+    m = per.groupBy("model").agg(*(F.round(F.avg(f"recall_at_{k}"), 9).alias(f"recall_at_{k}") for k in ks))
+    names = F.create_map(*(x for i, (kind, alpha) in enumerate(models) for x in (F.lit(i), F.struct(F.lit(kind).alias("kind"), F.lit(float(alpha)).alias("alpha")))))
+    best = F.row_number().over(Window.orderBy(F.desc("recall_at_5"), "model")) == 1  # a row a model
+    return m.select("model", names[F.col("model")]["kind"].alias("kind"), names[F.col("model")]["alpha"].alias("alpha"), *(f"recall_at_{k}" for k in ks), best.alias("chosen"))
+
+
+def refit(events: DataFrame, vocabulary: DataFrame, model: tuple, cls: str = "class") -> Grid:
+    """The chosen model counted on other (all) events, over the same vocabulary."""
+    return fit_grid(intent_counts(events, vocabulary, cls), vocabulary, events, (model,), cls)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.io import kept
+
 
 def query_key(*fields: Column) -> Column:
     """One hash of the normalised search fields: equal fields, equal keys."""
@@ -103,3 +106,90 @@ def leakage(fit: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
         n = fit.select(k).distinct().join(held.select(k).distinct(), k, "left_semi").agg(F.count(F.lit(1)).alias("shared")).select(F.lit(k).alias("key"), "shared")
         out = n if out is None else out.union(n)
     return out
+
+
+@dataclass(frozen=True)
+class Holdout:
+    """queries (qkey, text, stratum, split, cold), targets (qkey, item), held items, fit events, and the log of the strata."""
+
+    queries: DataFrame
+    targets: DataFrame
+    held: DataFrame
+    fit: DataFrame
+    log: DataFrame
+
+
+def sample_texts(contexts: DataFrame, asked: DataFrame, sizes: dict[str, int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """(qkey, text, stratum, split) of texts drawn for the strata, and (stratum, wanted, got, short).
+
+    contexts (qkey, text, stratum): a text may stand in several strata. asked (stratum, n): how often each stratum is asked
+    for; each split's size is apportioned by it. Strata are drawn one after the other, the scarcest first (texts for each
+    place, then the name): from the texts that no earlier stratum took, the first by hash, of which the first share goes
+    to the first split. What a split still lacks is filled with unused texts of any stratum by hash. A drawn text takes
+    one of its contexts by hash. A stratum is one pass over the texts and a limit; what it takes is at most the sizes.
+    """
+    order = lambda c: hash_order(F.col(c), seed)
+    texts = kept(contexts.select("stratum", "text").distinct())
+    quotas = None
+    for name, total in sizes.items():
+        a = apportion(asked, total).select("stratum", F.col("quota").alias(name))
+        quotas = a if quotas is None else quotas.join(a, "stratum")
+    have = texts.groupBy("stratum").agg(F.count(F.lit(1)).alias("have"))
+    wanted = F.lit(0)
+    for name in sizes:
+        wanted = wanted + F.col(name)
+    strata = quotas.join(have, "stratum", "left").fillna(0, ["have"]).withColumn("wanted", wanted).orderBy(F.col("have") / F.greatest("wanted", F.lit(1)), "stratum").collect()  # a row a stratum
+    spark, schema = contexts.sparkSession, "text string, stratum string, split string"
+    drawn, log, (first, second) = spark.createDataFrame([], schema), [], sizes
+    rows: list[tuple] = []
+    for s in strata:
+        free = texts.where(F.col("stratum") == s["stratum"]).join(F.broadcast(drawn.select("text")), "text", "left_anti")  # at most the sizes' sum
+        got = [r["text"] for r in free.orderBy(order("text"), "text").limit(s["wanted"]).collect()] if s["wanted"] else []
+        ahead = min(len(got), math.floor(len(got) * s[first] / max(1, s["wanted"]) + 0.5))
+        rows += [(x, s["stratum"], first if i < ahead else second) for i, x in enumerate(got)]
+        log.append((s["stratum"], s["wanted"], len(got), s["wanted"] - len(got)))
+        drawn = spark.createDataFrame(rows, schema)
+    for name, size in sizes.items():
+        missing = size - sum(r[2] == name for r in rows)
+        if missing > 0:
+            free = texts.select("text").distinct().join(F.broadcast(drawn.select("text")), "text", "left_anti")
+            rows += [(r["text"], None, name) for r in free.orderBy(order("text"), "text").limit(missing).collect()]
+            drawn = spark.createDataFrame(rows, schema)
+    j = contexts.join(F.broadcast(drawn.withColumnRenamed("stratum", "of")), "text").where(F.col("of").isNull() | (F.col("of") == F.col("stratum")))
+    one = F.row_number().over(Window.partitionBy("text").orderBy(hash_order(F.col("qkey"), seed + 1), "qkey"))
+    picked = j.withColumn("r", one).where("r = 1").select("qkey", "text", "stratum", "split")
+    return picked, spark.createDataFrame(log, "stratum string, wanted long, got long, short long")
+
+
+def build_holdout(events: DataFrame, asked: DataFrame, known_texts: DataFrame, sizes: tuple[int, int] = (1500, 4500), seed: int = 17, most_items: int = 15, cold_share: float | None = None) -> Holdout:
+    """Holds out queries of the events (qkey, text, stratum, item_id, ...) for validation and for training a ranker.
+
+    Query groups of 1 to most_items different items are eligible. Texts are drawn for strata as often as `asked` (text,
+    stratum) asks for them, a quarter at most for validation. All events of the items of drawn groups leave the fit
+    events; texts without any event left are cold, and by hash as many others are made cold, and leave too, as the share
+    asks for: by default that of the asked texts which known_texts lacks. Ends with a check that nothing leaks.
+    """
+    e = kept(events)
+    pairs = e.select("qkey", "item_id").distinct()
+    groups = pairs.groupBy("qkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(1, most_items))
+    contexts = kept(e.select("qkey", "text", "stratum").distinct().join(groups.select("qkey"), "qkey", "left_semi"))
+    total = min(sum(sizes), contexts.select("text").distinct().count())
+    ahead = min(sizes[0], total // 4)
+    picked, log = sample_texts(contexts, asked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), {"validation": ahead, "ranker_train": total - ahead}, seed)
+    picked = kept(picked)
+    targets = kept(pairs.join(F.broadcast(picked.select("qkey")), "qkey", "left_semi"))  # at most the sizes' sum
+    held = kept(targets.select("item_id").distinct())
+    left = e.join(held, "item_id", "left_anti")
+    if cold_share is None:
+        cold_share = asked.join(known_texts.select("text").distinct().withColumn("known", F.lit(True)), "text", "left").agg(F.avg(F.col("known").isNull().cast("double"))).first()[0] or 0.0
+    flagged, out = kept(cold_flags(picked, left)), None
+    for name in ("validation", "ranker_train"):
+        part = cold_quota(flagged.where(F.col("split") == name), cold_share, seed + 2, "qkey")
+        out = part if out is None else out.union(part)
+    queries = kept(out.select("qkey", "text", "stratum", "split", F.col("forced").alias("cold")))
+    fit = kept(fit_rows(e, held, queries.where("cold").select("text")))
+    warm = queries.where("NOT cold").join(fit.select("text").distinct(), "text", "left_anti").limit(1).count()
+    shared = leakage(fit, held, ["item_id"]).first()["shared"] + leakage(fit, queries.where("cold"), ["text"]).first()["shared"]
+    if shared or warm or queries.groupBy("text").count().where("count > 1").limit(1).count():
+        raise ValueError("the holdout leaks")
+    return Holdout(queries, targets, held, fit, log)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import diagnostics, features, metrics, ranking, split, validate
 from tessera.plans import retrieval
 from tessera.queries import query
@@ -183,3 +184,29 @@ def pool_labels(spark, sf):
     return features.label(pool(spark, sf), truth(spark, sf)).select("query_id", "item_id", "label")
 
 
+
+
+def holdout(spark, sf):
+    """The holdout of the events' queries (text, segment or none, place); strata are asked for as the parts' names are."""
+    f = F.when(F.col("search_location") % 3 == 0, F.lit("")).otherwise(F.col("filters"))
+    e = events(spark, sf).withColumn("filters", f)
+    e = e.select(split.query_key(F.col("text"), F.col("filters"), F.col("search_location")).alias("qkey"), "text", "filters", "item_id", "class", T.stratum(F.col("text"), F.col("filters")).alias("stratum"))
+    asked = table(spark, sf, "part").select(F.col("p_name").alias("text"), T.stratum(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.lit("x"))).alias("stratum"))
+    return split.build_holdout(e, asked, asked.where("text < 'm'"), most_items=15)
+
+
+@query(f"""WITH {EVENTS}, g AS (SELECT text, search_location, CASE WHEN search_location % 3 = 0 THEN '' ELSE filters END AS f, count(DISTINCT item_id) AS n FROM ev GROUP BY ALL), t AS (SELECT least(6000, count(DISTINCT text)) AS n FROM g WHERE n BETWEEN 1 AND 15),
+v AS (SELECT least(1500, n // 4) AS v, n FROM t), w AS (SELECT avg((NOT (p_name < 'm'))::INT) AS share FROM part)
+SELECT split, size::BIGINT AS size, size::BIGINT AS n_texts, 0::BIGINT AS shared_items, 0::BIGINT AS cold_texts_in_fit, 0::BIGINT AS warm_texts_missing, true AS enough_cold FROM (SELECT 'validation' AS split, v AS size FROM v UNION ALL SELECT 'ranker_train', n - v FROM v)""")
+def holdout_audit(spark, sf):
+    """Sizes of the splits, and what must be 0: items that fit and holdout share, cold texts in fit, warm ones that fit lacks."""
+    h = holdout(spark, sf)
+    share = table(spark, sf, "part").agg(F.avg((~(F.col("p_name") < "m")).cast("double")).alias("share"))
+    shared = split.leakage(h.fit, h.held, ["item_id"]).select(F.col("shared").alias("shared_items"))
+    fit_texts = h.fit.select("text").distinct().withColumn("fit", F.lit(True))
+    q = h.queries.join(fit_texts, "text", "left").groupBy("split").agg(
+        F.count(F.lit(1)).alias("size"), F.count_distinct("text").alias("n_texts"), F.sum((F.col("cold") & F.col("fit").isNotNull()).cast("long")).alias("cold_texts_in_fit"),
+        F.sum((~F.col("cold") & F.col("fit").isNull()).cast("long")).alias("warm_texts_missing"), F.sum(F.col("cold").cast("long")).alias("n_cold"),
+    )
+    j = q.crossJoin(F.broadcast(shared)).crossJoin(F.broadcast(share))  # one row each
+    return j.select("split", "size", "n_texts", "shared_items", "cold_texts_in_fit", "warm_texts_missing", (F.col("n_cold") >= F.floor(F.col("size") * F.col("share"))).alias("enough_cold"))
