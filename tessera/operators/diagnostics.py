@@ -57,9 +57,39 @@ def feature_map(columns: list[str]) -> Column:
     return F.map_from_arrays(F.array(*(F.lit(c) for c in columns)), F.array(*(F.col(c).cast("double") for c in columns)))
 
 
-def report(counts: DataFrame, means: DataFrame, title: str = "Errors") -> str:
-    """Markdown of the two small tables."""
-    lines = [f"# {title}", "", "| tag | n |", "| --- | --- |", *(f"| {r['tag']} | {r['n']} |" for r in counts.orderBy(F.desc("n"), "tag").collect())]
-    number = lambda x: "-" if x is None else f"{x:.4f}"
-    lines += ["", "| feature | positive | distractor |", "| --- | --- | --- |", *(f"| {r['feature']} | {number(r['positive'])} | {number(r['distractor'])} |" for r in means.orderBy("feature").collect())]
-    return "\n".join(lines) + "\n"
+def error_groups(tagged: DataFrame, subset: str = "subset", cls: str = "class", tags: str = "tags") -> DataFrame:
+    """(subset, tag, class, n): missed items by subset and tag, by tag and class, by tag and by subset, from one pass; "all"
+    stands where a column isn't grouped by, and null classes are "none". Items of several tags count in each, but once in
+    the groups without a tag."""
+    e = tagged.select(F.col(subset).alias("subset"), F.coalesce(F.col(cls).cast("string"), F.lit("none")).alias("class"), F.explode(F.concat(F.array(F.lit(None).cast("string")), tags)).alias("tag"))
+    g = e.groupingSets([["subset", "tag"], ["tag", "class"], ["tag"], ["subset", "class", "tag"]], "subset", "class", "tag").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("set"))
+    every = lambda c, bit: F.when(F.col("set").bitwiseAND(bit) > 0, F.lit("all")).otherwise(F.col(c)).alias(c)
+    return g.select(every("subset", 4), F.coalesce("tag", F.lit("all")).alias("tag"), every("class", 2), "n")
+
+
+def error_examples(tagged: DataFrame, per_tag: int = 3, q: str = "query_id", item: str = "item_id", tags: str = "tags") -> DataFrame:
+    """The first missed items of each tag, by rank (those outside the pool last), then query and item: rows of tagged with
+    `tag` and `place`."""
+    w = Window.partitionBy("tag").orderBy(F.coalesce("rank", F.lit(10**9)), q, item)
+    return tagged.withColumn("tag", F.explode(tags)).withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= per_tag)
+
+
+def report(counts: DataFrame, means: DataFrame, title: str = "Errors", metrics: DataFrame | None = None, groups: DataFrame | None = None, examples: DataFrame | None = None) -> str:
+    """Markdown of small tables: tags, mean features, and if given the models' metrics (name, metric columns), the groups
+    of error_groups() and the examples of error_examples()."""
+    number = lambda x: "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+
+    def lines(heading: str, columns: list[str], rows: list) -> list[str]:
+        head = ["", f"## {heading}", ""] if heading else [""]
+        return [*head, "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(number(r[c]) for c in columns) + " |" for r in rows)]
+
+    out = [f"# {title}"]
+    if metrics is not None:
+        out += lines("Models", metrics.columns, metrics.orderBy(metrics.columns[0]).collect())
+    out += lines("", ["tag", "n"], counts.orderBy(F.desc("n"), "tag").collect())
+    out += lines("", ["feature", "positive", "distractor"], means.orderBy("feature").collect())
+    if groups is not None:
+        out += lines("Groups", ["subset", "tag", "class", "n"], groups.orderBy("subset", "tag", "class").collect())
+    if examples is not None:
+        out += lines("Examples", ["tag", "place", "query_id", "item_id", "rank"], examples.orderBy("tag", "place").collect())
+    return "\n".join(out) + "\n"

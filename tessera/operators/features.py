@@ -98,3 +98,13 @@ def label(pool: DataFrame, truth: DataFrame, q: str = "query_id", item: str = "i
     """pool with `label` (1 where the pair is in the truth), every row kept."""
     t = truth.select(q, item).distinct().withColumn("__t", F.lit(1))
     return pool.join(t, [q, item], "left").withColumn("label", F.coalesce("__t", F.lit(0)).cast("long")).drop("__t")
+
+
+def known_by_text(pool: DataFrame, clicks: DataFrame, text: str = "text", search: str = "search_location", q: str = "query_id", item: str = "item_id") -> DataFrame:
+    """(query, item, rank) of a pool's items that clicks (text, search_location, item) know for the query's text: those
+    clicked from the query's place, and those whose geography is compatible. pool has text, search_location, rank and the
+    features that compatible_geography() reads."""
+    c = clicks.select(text, item, F.col(search).alias("__from")).distinct()
+    j = pool.join(c, [text, item])
+    near = F.coalesce(F.col("__from") == F.col(search), F.lit(False)) | F.coalesce(compatible_geography(), F.lit(False))
+    return j.where(near).select(q, item, "rank").distinct()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.io import kept
+
 ITEM_ID = "^[0-9a-f]{16}$"
 CODES = (
     "invalid_header", "wrong_column_count", "invalid_query_id_length", "unknown_query_id", "duplicate_query_id", "invalid_answer_separator",
@@ -94,16 +94,36 @@ def id_fingerprint(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_distinct"), F.sum(h).cast("string").alias("fingerprint"))
 
 
-def ordered_fingerprint(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row (n, fingerprint): SHA-256 of the ids joined by newlines, in the order of a column: row order matters.
+def ordered_digest(rows: DataFrame, key: str, order: str, run: int = 1000) -> DataFrame:
+    """One row (n, fingerprint) of the ids in the order of a column, by a tree of hashes: row order matters.
 
-    The ids are sorted by ranges and pass through the driver one partition at a time; it holds none but the digest.
+    Rows are numbered by ranges, each range by its own task from where the ones before it end. The SHA-256 of `run` ids
+    joined by newlines is a leaf, that of `run` digests the next level, until one is left; no task holds more than a run
+    of them. Ties go by the id, null ids count as empty, and no rows give the digest of nothing.
     """
-    digest, n = hashlib.sha256(), 0
-    for r in rows.select(F.col(key).cast("string").alias("k"), order).orderBy(order, "k").select("k").toLocalIterator():
-        digest.update(("\n" if n else "").encode() + (r["k"] or "").encode())
-        n += 1
-    return rows.sparkSession.createDataFrame([(n, digest.hexdigest())], "n long, fingerprint string")
+    spark = rows.sparkSession
+    r = rows.select(F.col(order).alias("o"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"))
+    r = kept(r.repartitionByRange("o", "k").select("o", "k", F.spark_partition_id().alias("p")))
+    ends = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = r.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ends), F.lit(0))).select("p", "start")
+    at = F.row_number().over(Window.partitionBy("p").orderBy("o", "k")) - 1
+    level = r.withColumn("i", at).join(F.broadcast(starts), "p").select((F.col("start") + F.col("i")).alias("i"), "k")
+    n = r.count()
+    if not n:
+        return spark.range(1).select(F.lit(0).cast("long").alias("n"), F.sha2(F.lit(""), 256).alias("fingerprint"))
+    left = n
+    while True:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "k"))), lambda x: x["k"]), "\n")
+        level = level.groupBy(F.floor(F.col("i") / run).alias("g")).agg(F.sha2(joined, 256).alias("k")).select(F.col("g").alias("i"), "k")
+        left = -(-left // run)
+        if left == 1:
+            return level.select(F.lit(n).cast("long").alias("n"), F.col("k").alias("fingerprint"))
+        level = kept(level)
+
+
+def ordered_fingerprint(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """ordered_digest() in runs of 1,000."""
+    return ordered_digest(rows, key, order)
 
 
 def finite_check(rows: DataFrame, columns: list[str]) -> DataFrame:

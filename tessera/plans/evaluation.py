@@ -170,6 +170,21 @@ def error_tag_counts(spark, sf):
 
 
 
+_MISSED = f"{TAGS}, mm AS (SELECT query_id, item_id, rank, CASE WHEN query_id % 3 = 0 THEN 'cold' ELSE 'warm' END AS subset, coalesce(lang, 'none') AS class, CASE WHEN len(tags) = 0 THEN ['other_ranking'] ELSE tags END AS tags FROM tg LEFT JOIN (SELECT query_id, item_id, rank, lang FROM rel) USING (query_id, item_id))"
+
+
+@query(f"""WITH {_MISSED}, e AS (SELECT subset, class, unnest(list_prepend('all', tags)) AS tag FROM mm)
+SELECT coalesce(subset, 'all') AS subset, tag, coalesce(class, 'all') AS class, count(*)::BIGINT AS n FROM e GROUP BY GROUPING SETS ((subset, tag), (tag, class), (tag), (subset, class, tag))""")
+def error_groups(spark, sf):
+    """Missed items by subset (here queries whose id 3 divides, and the others), tag and class."""
+    return diagnostics.error_groups(_tagged(spark, sf).withColumn("subset", F.when(F.col("query_id") % 3 == 0, "cold").otherwise("warm")))
+
+
+@query(f"""WITH {_MISSED}, e AS (SELECT query_id, item_id, rank, unnest(tags) AS tag FROM mm) SELECT tag, row_number() OVER w AS place, query_id, item_id, rank FROM e WINDOW w AS (PARTITION BY tag ORDER BY coalesce(rank, 1000000000), query_id, item_id) QUALIFY place <= 3""")
+def error_examples(spark, sf):
+    return diagnostics.error_examples(_tagged(spark, sf)).select("tag", "place", "query_id", "item_id", "rank")
+
+
 @query(f"""WITH {POOL_CTE}, t AS (SELECT DISTINCT * FROM truth), p AS (SELECT pool.* FROM pool JOIN t USING (query_id, item_id)), n AS (SELECT * FROM pool WHERE (query_id, item_id) NOT IN (SELECT (query_id, item_id) FROM t) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1)
 SELECT 'bm25' AS feature, (SELECT round(avg(bm25), 4) FROM p) AS positive, (SELECT round(avg(bm25), 4) FROM n) AS distractor UNION ALL SELECT 'cov', (SELECT round(avg(cov), 4) FROM p), (SELECT round(avg(cov), 4) FROM n)""")
 def positive_vs_distractor_means(spark, sf):

@@ -238,3 +238,43 @@ def test_windows_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("windows").collect()) == sorted(windowed_counts(d).collect()) and windowed_counts(d).count() == 2
+
+
+def test_error_groups_examples_and_the_report(spark):
+    rows = [(1, 10, 60, "cold", "x", ["close_rank", "low_lexical"]), (2, 11, None, "warm", None, ["candidate_miss"]), (3, 12, 55, "warm", "x", ["close_rank"]), (4, 13, 55, "warm", "y", ["close_rank"])]
+    t = spark.createDataFrame(rows, "query_id int, item_id int, rank int, subset string, class string, tags array<string>")
+    got = {(r["subset"], r["tag"], r["class"]): r["n"] for r in diagnostics.error_groups(t).collect()}
+    want = Counter()
+    for _, _, _, s, c, tags in rows:
+        for tag in ["all", *tags]:
+            want.update([(s, tag, "all"), ("all", tag, c or "none"), ("all", tag, "all"), (s, tag, c or "none")])
+    assert got == want and got["all", "all", "all"] == 4
+    ex = diagnostics.error_examples(t, 2)
+    assert {(r["tag"], r["place"], r["item_id"]) for r in ex.collect()} == {("close_rank", 1, 12), ("close_rank", 2, 13), ("low_lexical", 1, 10), ("candidate_miss", 1, 11)}
+    means = spark.createDataFrame([("a|b", 1.0, None)], "feature string, positive double, distractor double")
+    text = diagnostics.report(diagnostics.tag_counts(t), means, "T", spark.createDataFrame([("m", 0.5)], "name string, recall double"), diagnostics.error_groups(t), ex)
+    assert text.startswith("# T\n") and "| m | 0.5000 |" in text and "| close_rank | 3 |" in text and "| a\\|b | 1.0000 | - |" in text and "| all | all | all | 4 |" in text and "| candidate_miss | 1 | 2 | 11 | - |" in text
+
+
+def test_ordered_digest_is_a_tree_of_runs(spark):
+    import hashlib
+
+    def plain(ids, run):
+        level = ids
+        while True:
+            level = [hashlib.sha256("\n".join(level[i : i + run]).encode()).hexdigest() for i in range(0, len(level), run)]
+            if len(level) == 1:
+                return level[0]
+
+    rows = [(i % 7, f"id{i}") for i in range(100)] + [(3, None), (None, "first")]
+    d = spark.createDataFrame(rows, "at int, id string").repartition(5)
+    ids = [k or "" for _, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    for run in (4, 1000):
+        assert tuple(validate.ordered_digest(d, "id", "at", run).first()) == (102, plain(ids, run))
+    assert tuple(validate.ordered_digest(d.limit(0), "id", "at").first()) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_known_items_need_the_place_or_a_compatible_one(spark):
+    p = spark.createDataFrame([(1, i, "t", 5, i, float(i == 2), 0.0, 9.0 if i != 4 else 1.0) for i in range(1, 6)], "query_id int, item_id int, text string, search_location int, rank int, same_location double, location_probability double, log_distance double")
+    c = spark.createDataFrame([("t", 5, 1), ("t", 7, 2), ("t", 7, 3), ("t", 7, 4), ("u", 5, 5), ("t", None, 5)], "text string, search_location int, item_id int")
+    assert sorted(r["item_id"] for r in features.known_by_text(p, c).collect()) == [1, 2, 4]
