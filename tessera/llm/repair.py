@@ -327,15 +327,16 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     again = r.groupBy("conv", "role", h.alias("h")).agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = sized(materialize(again.select(F.col("conv").alias("c"), F.col("role").alias("o"), "h", "at")))
     j = r.join(again, F.col("conv").eqNullSafe(F.col("c")) & (F.col("role") == F.col("o")) & (h == F.col("h")), "left")
+    keys = ["conv", "turn", "role", "text"]
+    # What a row costs is worked out after the deal, whose sampling reads all rows once more.
+    dealt = j.select(*keys, "at").repartitionByRange(parts(spark), *keys).sortWithinPartitions(*keys)
     last = F.substring(F.rtrim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), -1, 1)
     fault = F.when(~F.col("text").rlike(NO_SPACE), 1).when(order > F.col("at"), 2).when(~last.isin(".", "!", "?"), 3).otherwise(0)
     initial = F.substring("role", 1, 1)
     letter = F.lit(3)
     for x, i in _INITIALS.items():
         letter = F.when(initial == x, i).otherwise(letter)
-    coded = j.select("conv", "turn", "role", "text", (letter + fault * 4).cast("int").alias("code"))
-    keys = ["conv", "turn", "role", "text"]
-    dealt = coded.repartitionByRange(parts(spark), *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, (letter + fault * 4).cast("int").alias("code"))
     kinds = {c: r.schema[c].dataType.simpleString() for c in ("conv", "turn")}
     segments = materialize(dealt.mapInArrow(lambda b: _cut(b, segment_rows), _CUT.format(**kinds)))
     thin = segments.drop("roles", "texts").repartition(parts(spark), "conv").sortWithinPartitions("conv", F.desc("seg"))
