@@ -6,7 +6,7 @@ from tessera.functions import text as T
 from tessera.operators import diagnostics, features, metrics, ranking, split, validate
 from tessera.plans import retrieval
 from tessera.queries import query
-from tessera.sources.adapters import EVENTS, POOL_CTE, documents, events, pool, table, truth
+from tessera.sources.adapters import EVENTS, POOL_CTE, documents, events, pool, scored, table, truth
 
 _RECALL = """pq AS (SELECT query_id, count(*) AS n_relevant, count(p.item_id) AS n_found, count(p.item_id)::DOUBLE / count(*) AS recall FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT query_id, item_id FROM pool WHERE {0}) p USING (query_id, item_id) GROUP BY query_id)"""
 
@@ -18,12 +18,13 @@ def _ranked(spark, sf, by="bm25"):
 
 @query(f"WITH {POOL_CTE}, {_RECALL.format('rank <= 50')} SELECT query_id, n_relevant::BIGINT AS n_relevant, n_found::BIGINT AS n_found, round(recall, 6) AS recall FROM pq")
 def recall_at_50(spark, sf):
-    return metrics.recall_per_query(_ranked(spark, sf), truth(spark, sf)).withColumn("recall", F.round("recall", 6))
+    best = ranking.top_k(scored(spark, sf), 50, "bm25")
+    return metrics.recall_per_query(best, truth(spark, sf)).withColumn("recall", F.round("recall", 6))
 
 
 @query(f"""WITH {POOL_CTE}, {_RECALL.format('rank <= 1')} SELECT count(*)::BIGINT AS n_queries, round(avg(recall), 6) AS recall, round(avg(recall) FILTER (WHERE query_id % 3 = 0), 6) AS recall_cold, round(avg(recall) FILTER (WHERE query_id % 3 <> 0), 6) AS recall_warm FROM pq""")
 def recall_summary(spark, sf):
-    m = metrics.summarize(metrics.recall_per_query(_ranked(spark, sf), truth(spark, sf), 1).withColumn("cold", F.col("query_id") % 3 == 0))
+    m = metrics.summarize(metrics.recall_per_query(ranking.top_k(scored(spark, sf), 1, "bm25"), truth(spark, sf), 1).withColumn("cold", F.col("query_id") % 3 == 0))
     return m.select("n_queries", *(F.round(c, 6).alias(c) for c in ("recall", "recall_cold", "recall_warm")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import boost, features, ranking
 from tessera.plans.retrieval import UNION_CTE, candidate_union
 from tessera.queries import query
-from tessera.sources.adapters import POOL_CTE, pool, table, truth
+from tessera.sources.adapters import POOL_CTE, scored, table, truth
 from tessera.sources.io import kept, kept_folder
 
 BASE = ["bm25", "cov", "n_chars"]
@@ -25,7 +25,7 @@ CANDIDATES_CTE = f"{POOL_CTE}, {UNION_CTE}, cand AS (SELECT pool.*, t.item_id IS
 
 def rank_pool(spark, sf):
     """The candidates of all channels, which their quotas bound, with labels, features and windows; written once."""
-    p = pool(spark, sf)
+    p = kept(scored(spark, sf))
     u = candidate_union(spark, sf, p).select("query_id", "item_id")
     p = features.label(p.join(u, ["query_id", "item_id"], "left_semi"), truth(spark, sf)).withColumn("n_chars", F.col("n_chars").cast("double"))
     return kept(ranking.augment(p, ["bm25", "cov"]).select("query_id", "item_id", "label", *BASE, *WINDOWS))

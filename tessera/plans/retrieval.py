@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import dense, features, learn, ranking, search
 from tessera.queries import query
-from tessera.sources.adapters import POOL_CTE, benchmark, documents, fields, pool, table, tok, truth
+from tessera.sources.adapters import POOL_CTE, benchmark, documents, fields, pool, scored, table, tok, truth
 
 
 def cut(c, digits: int):
@@ -62,7 +62,7 @@ def bm25_fielded(spark, sf):
 def score_pairs(spark, sf):
     """The pool's pairs by the fielded index: those that share only terms left out of it count 0."""
     terms = search.query_terms(benchmark(spark, sf))
-    s = search.score_pairs(pool(spark, sf).select("query_id", "item_id"), search.fit_fields(fields(spark, sf), _THREE, cfg=_WHOLE), terms)
+    s = search.score_pairs(scored(spark, sf).select("query_id", "item_id"), search.fit_fields(fields(spark, sf), _THREE, cfg=_WHOLE), terms)
     return s.select("query_id", "item_id", cut("score", 3).alias("score"))
 
 
@@ -188,7 +188,7 @@ def score_fusion(spark, sf):
 SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM t""")
 def legal_top50(spark, sf):
     legal = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"))
-    return ranking.legal_top(pool(spark, sf).drop("rank").withColumnRenamed("bm25", "score"), legal, 50).select("query_id", "item_id", "rank")
+    return ranking.legal_top(scored(spark, sf).withColumnRenamed("bm25", "score"), legal, 50, check=False).select("query_id", "item_id", "rank")
 
 
 @query(f"""WITH {POOL_CTE}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, item_id) AS r FROM pool WHERE item_id IN (SELECT doc_id FROM labels) QUALIFY r <= 50)
@@ -206,8 +206,8 @@ un AS (SELECT query_id, item_id, array_to_string(list_sort(list(channel)), ' ')
 
 
 @query(f"WITH {POOL_CTE}, {UNION_CTE} SELECT query_id, item_id, channels FROM un")
-def candidate_union(spark, sf, scored=None):
-    u = ranking.union_channels(features.long_channels(pool(spark, sf) if scored is None else scored, _CH), _QUOTA)
+def candidate_union(spark, sf, of=None):
+    u = ranking.union_channels(features.long_channels(scored(spark, sf) if of is None else of, _CH), _QUOTA)
     return u.select("query_id", "item_id", F.concat_ws(" ", "channels").alias("channels"))
 
 

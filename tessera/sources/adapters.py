@@ -71,18 +71,26 @@ def coordinates(rows: DataFrame) -> DataFrame:
 COORDINATES = "30e0 + item_location * 15e-1 + (seller % 7) * 1e-2 AS lat, 5e0 + item_location * 225e-2 + (seller % 5) * 2e-2 AS lon"
 
 
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, item_id, bm25, cov, rank, source, n_chars): all documents that share a token with a passage, with token coverage.
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, item_id, bm25, cov, source, n_chars): all documents that share a token with a passage, with token coverage.
 
-    The terms that matched were counted with the score, so no document is tokenised again. The pool is written once: the
-    queries that read it several times don't score again.
+    The terms that matched were counted with the score, so no document is tokenised again.
     """
     d, q = documents(spark, sf_dir), benchmark(spark, sf_dir)
-    scored = search.bm25_search(d, q).where("score > 0").withColumnRenamed("score", "bm25")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "item_id")).cast("long"))
+    s = search.bm25_search(d, q).where("score > 0").withColumnRenamed("score", "bm25")
     qt = q.select("query_id", F.size(F.array_distinct(T.tokens(F.col("text")))).alias("asked"))
-    j = ranked.join(qt, "query_id").join(d.select("item_id", "source", "n_chars"), "item_id")
-    return kept(j.select("query_id", "item_id", "bm25", F.round(F.col("matched").cast("double") / F.greatest("asked", F.lit(1)), 6).alias("cov"), "rank", "source", "n_chars"))
+    j = s.join(qt, "query_id").join(d.select("item_id", "source", "n_chars"), "item_id")
+    return j.select("query_id", "item_id", "bm25", F.round(F.col("matched").cast("double") / F.greatest("asked", F.lit(1)), 6).alias("cov"), "source", "n_chars")
+
+
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() with every document's rank, written once: queries that read it several times don't score again.
+
+    For queries whose windows are over a passage's whole list; those that take the best of it start from scored(), which
+    Spark cuts before it shuffles.
+    """
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "item_id")).cast("long")
+    return kept(scored(spark, sf_dir).withColumn("rank", rank).select("query_id", "item_id", "bm25", "cov", "rank", "source", "n_chars"))
 
 
 POOL_CTE = rf"""d AS (SELECT doc_id AS item_id, source, n_chars, {tok('text')} AS tok FROM documents),
