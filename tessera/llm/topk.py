@@ -15,6 +15,8 @@ from tessera.llm.common import materialize, parts, table
 K, SCALE = 20, 64
 SOURCES = 2
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 2048
+#: What stands for components beyond it, whose products no score could hold.
+HUGE = 1 << 62
 _PACK = "b int, s int, n int, ids binary, x binary, tau binary"
 _LIST = "qb int, cb int, s int, code binary, score binary"
 
@@ -23,7 +25,7 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFram
     """(id, v): floor(scale * x) of each component; one row an id, ids and vectors that are null or not finite left out."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     ok = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
+    v = F.transform(x, lambda c: F.when(F.abs(c) * scale < float(HUGE), F.floor(c * scale).cast("long")).otherwise(F.lit(HUGE)))
     return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(ok).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(v).alias("v"))
 
 
@@ -72,11 +74,15 @@ def top_k(vectors: DataFrame, queries=None, k: int = K, scale: int = SCALE, sour
     shares sent and asks the sources for those that weren't. Blocks bound what a task holds; nothing grows with the
     table but their number. Null or non-finite vectors and null ids take no part, repeated ids count once (with the
     least of their vectors), shorter vectors count as padded with zeros. Fewer than k candidates: all are returned.
+    Vectors whose scores may pass 2^63 raise a ValueError.
     """
     spark = vectors.sparkSession
     queries = (F.col("id") % 20 == 0) if queries is None else queries
     v = materialize(quantised(vectors, key, vector, scale))
-    n, n_queries, dim = v.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(queries, 1)), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    widest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    n, n_queries, dim, most = v.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(queries, 1)), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(widest), F.lit(0))).first()
+    if dim * most * most >= 1 << 63:
+        raise ValueError("scores of these vectors may pass 2^63: scale them down")
     dim = max(dim, sources)
     c_blocks, q_blocks = max(1, math.ceil(n / VECTOR_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
     wide = max(parts(spark), min(4096, c_blocks * sources))
