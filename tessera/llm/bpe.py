@@ -52,13 +52,19 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-_TABLE = "words binary, h binary, n binary, ids binary, spread binary, n_words long, n_ids long"
+_TABLE = "words binary, h binary, check binary, n binary, ids binary, spread binary, n_words long, n_ids long"
+
+
+def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each word's hash to find it by, and 32 more to check that it is the word."""
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2)
+    return h[:, 0].astype(np.uint64), (h[:, 1] >> np.uint64(32)).astype(np.uint32)
 
 
 def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The distinct words (runs of characters other than ASCII white space) of all texts, each encoded once.
 
-    A row holds those of one bucket of hashes, packed: the words joined by spaces, their 64-bit hashes, how many ids each
+    A row holds those of one bucket of hashes, packed: the words joined by spaces, their hashes (64 and 32 bits), how many ids each
     has (uint32), the ids (uint32), and in how many parts of the corpus each was found (uint32). Null texts have none. White space never reaches an id under a vocabulary whose
     pre-tokenizer drops it, so the ids of a text are those of its words, one after the other; special tokens inside a
     word are found as the library finds them.
@@ -96,10 +102,10 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             for e in t.encode_batch_fast([w.decode() for w in words[i : i + 2000]], add_special_tokens=False):
                 n.append(len(e.ids))
                 ids += e.ids
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        h, check = _hashes(words)
         spread = np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))
-        blobs = [b" ".join(words), h.tobytes(), np.array(n, np.uint32).tobytes(), np.array(ids, np.uint32).tobytes(), spread.tobytes()]
-        return pa.table({**{c: pa.array([x], pa.binary()) for c, x in zip(("words", "h", "n", "ids", "spread"), blobs, strict=True)}, "n_words": pa.array([len(words)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
+        blobs = [b" ".join(words), h.tobytes(), check.tobytes(), np.array(n, np.uint32).tobytes(), np.array(ids, np.uint32).tobytes(), spread.tobytes()]
+        return pa.table({**{c: pa.array([x], pa.binary()) for c, x in zip(("words", "h", "check", "n", "ids", "spread"), blobs, strict=True)}, "n_words": pa.array([len(words)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
 
     found = docs.select(F.col(quoted(text)).alias("t")).mapInArrow(split, "bucket long, words binary")
     return found.groupBy("bucket").applyInArrow(encode, _TABLE)
@@ -120,17 +126,17 @@ def _rare(words: DataFrame, spread: int) -> DataFrame:
 
 
 def _common(words: DataFrame, spread: int) -> DataFrame:
-    """(h, n, ids) of the words of a table that at least `spread` parts have, bucket by bucket."""
+    """(h, check, n, ids) of the words of a table that at least `spread` parts have, bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                h, n, ids, found = (np.frombuffer(b.column(i)[k].as_py(), t) for i, t in enumerate((np.uint64, np.uint32, np.uint32, np.uint32)))
+                h, check, n, ids, found = (np.frombuffer(b.column(i)[k].as_py(), t) for i, t in enumerate((np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)))
                 common = found >= spread
-                out = (h[common], n[common], ids[np.repeat(common, n)])
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], ["h", "n", "ids"])
+                out = (h[common], check[common], n[common], ids[np.repeat(common, n)])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], ["h", "check", "n", "ids"])
 
-    return words.select("h", "n", "ids", "spread").mapInArrow(run, "h binary, n binary, ids binary")
+    return words.select("h", "check", "n", "ids", "spread").mapInArrow(run, "h binary, check binary, n binary, ids binary")
 
 
 def _spread(words: DataFrame, most: int) -> tuple[int, int, int]:
@@ -147,40 +153,48 @@ def _spread(words: DataFrame, most: int) -> tuple[int, int, int]:
     rows = words.select("n", "spread").mapInArrow(run, "spread long, n_words long, n_ids long").groupBy("spread").agg(F.sum("n_words"), F.sum("n_ids")).collect()
     least, n_words, n_ids = max((r[0] for r in rows), default=0) + 1, 0, 0
     for spread, more, more_ids in sorted(rows, reverse=True):
-        if 16 * (n_words + more) + 2 * (n_ids + more_ids) > most:
+        if WORD_BYTES * (n_words + more) + 2 * (n_ids + more_ids) > most:
             break
         least, n_words, n_ids = spread, n_words + more, n_ids + more_ids
     return least, n_words, n_ids
 
 
+#: What a word takes in the packed table, beside its ids.
+WORD_BYTES = 20
+
+
 class _Packed:
     """The word table as arrays: hashes in order; the ids of word i are n[i] ids from start[i] on. Word -1 has none."""
 
-    def __init__(self, hashes: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray):
-        self.hashes, self.start, self.n, self.ids = hashes, np.append(start, start.dtype.type(0)), np.append(n, n.dtype.type(0)), ids
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray):
+        self.hashes, self.checks, self.start, self.n, self.ids = hashes, checks, np.append(start, start.dtype.type(0)), np.append(n, n.dtype.type(0)), ids
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The words' numbers; -1 for those that aren't there."""
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        h, check = _hashes(words)
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        at, last = np.searchsorted(self.hashes, h), len(self.hashes) - 1
+        out = np.full(len(h), -1)
+        for step in (0, 1):  # two words of one hash stand side by side
+            i = np.minimum(at + step, last)
+            out = np.where((out < 0) & (self.hashes[i] == h) & (self.checks[i] == check), i, out)
+        return out
 
 
 def _pack(words: DataFrame, n_words: int, n_ids: int) -> _Packed:
     """The table in the driver, bucket by bucket into arrays of known size."""
-    hashes, n, ids = np.empty(n_words, np.uint64), np.empty(n_words, np.uint32), np.empty(n_ids, np.uint16)
+    hashes, checks, n, ids = np.empty(n_words, np.uint64), np.empty(n_words, np.uint32), np.empty(n_words, np.uint32), np.empty(n_ids, np.uint16)
     i = j = 0
-    for r in words.select("h", "n", "ids").toLocalIterator():
+    for r in words.select("h", "check", "n", "ids").toLocalIterator():
         h, m, x = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.uint32), np.frombuffer(r["ids"], np.uint32)
         if ids.dtype == np.uint16 and x.max(initial=0) >= 1 << 16:
             ids = ids.astype(np.uint32)
-        hashes[i : i + len(h)], n[i : i + len(h)], ids[j : j + len(x)] = h, m, x
+        hashes[i : i + len(h)], checks[i : i + len(h)], n[i : i + len(h)], ids[j : j + len(x)] = h, np.frombuffer(r["check"], np.uint32), m, x
         i, j = i + len(h), j + len(x)
     start = (np.cumsum(n, dtype=np.uint64) - n).astype(np.uint32)
     order = np.argsort(hashes).astype(np.uint32)
-    return _Packed(hashes[order], start[order], (n.astype(np.uint16) if n.max(initial=0) < 1 << 16 else n)[order], ids)
+    return _Packed(hashes[order], checks[order], start[order], (n.astype(np.uint16) if n.max(initial=0) < 1 << 16 else n)[order], ids)
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +228,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     docs = docs.drop(ids)
     fields = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     own = None
-    if 16 * n_words + 2 * n_ids <= packed_bytes:
+    if WORD_BYTES * n_words + 2 * n_ids <= packed_bytes:
         shared = spark.sparkContext.broadcast(_pack(words, n_words, n_ids))
     else:
         spread, n_words, n_ids = _spread(words, packed_bytes)

@@ -35,7 +35,7 @@ def test_a_large_word_table_sends_rare_words_only(spark):
     assert sent < 1_000_000
     words = bpe.word_table(docs, bpe.vocabulary_path())
     spread, n, ids = bpe._spread(words, 9000)
-    assert n >= 300 and 16 * n + 2 * ids <= 9000 and spread > 1 and bpe._rare(words, spread).count() + n == words.agg(F.sum("n_words")).first()[0]
+    assert n >= 300 and bpe.WORD_BYTES * n + 2 * ids <= 9000 and spread > 1 and bpe._rare(words, spread).count() + n == words.agg(F.sum("n_words")).first()[0]
 
 
 def test_suffix_passes_hold_little_at_a_time(spark, monkeypatch):
@@ -126,3 +126,15 @@ def test_lines_that_differ_in_white_space_are_one(spark):
     assert lines._lines(d, "doc_id", "text").where("line like 'one two three'").select("h1", "h2").distinct().count() == 1
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(d).collect()}
     assert got == {1: ("one two three\n\t \x0b\n\x0c\r\n x", 3, 1), 2: ("One Two Three four five six", 2, 1), 3: ("\xa0\n", 2, 1), 4: (None, 0, 0), 5: ("", 0, 0)}
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """With 64 bits that are the same for two words and a stranger, the other 32 decide."""
+    real = bpe._hashes
+    monkeypatch.setattr(bpe, "_hashes", lambda words: (np.where([w.startswith(b"same") for w in words], np.uint64(7), real(words)[0]), real(words)[1]))
+    words = [b"same1", b"same2", b"other"]
+    h, check = bpe._hashes(words)
+    order = np.argsort(h, kind="stable")
+    packed = bpe._Packed(h[order], check[order], np.arange(3, dtype=np.uint32)[order], np.ones(3, np.uint32), np.array([10, 11, 12], np.uint16))
+    at = packed.places([b"same2", b"same3", b"other", b"same1", b"absent"])
+    assert [int(packed.ids[packed.start[i]]) if i >= 0 else None for i in at] == [11, None, 12, 10, None]
