@@ -27,6 +27,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 MANIFEST = "_manifest.json"
+#: Files that a writer makes begin so. They count only if a manifest names them: tasks that failed leave some behind.
+WRITTEN = "written-"
 #: Bytes that one task reads of an array, and rows of one batch inside a task.
 SPLIT, BATCH = 64 << 20, 8192
 #: Rows of one written file; a task holds no more of them.
@@ -146,7 +148,7 @@ class NpyReader(DataSourceReader):
 
 
 def _files(path: str) -> list[str]:
-    """The files of a written folder's manifest; of another folder, all arrays in it; or the file itself."""
+    """The files of a written folder's manifest; of another folder, all arrays in it that no writer made; or the file itself."""
     fs, at = _open(path)
     info = fs.get_file_info(at)
     if info.type == pafs.FileType.NotFound:
@@ -157,7 +159,7 @@ def _files(path: str) -> list[str]:
     if fs.get_file_info(f"{at}/{MANIFEST}").type == pafs.FileType.File:
         with fs.open_input_stream(f"{at}/{MANIFEST}") as f:
             return [f"{root}/{n}" for n in json.loads(f.read())["files"]]
-    return sorted(f"{root}/{i.base_name}" for i in fs.get_file_info(pafs.FileSelector(at)) if i.base_name.endswith((".npy", ".npz")))
+    return sorted(f"{root}/{i.base_name}" for i in fs.get_file_info(pafs.FileSelector(at)) if i.base_name.endswith((".npy", ".npz")) and not i.base_name.startswith(WRITTEN))
 
 
 def _pairs(path: str) -> list[tuple[Array, Array | None]]:
@@ -205,7 +207,7 @@ class NpyWriter(DataSourceArrowWriter):
             if flat.null_count or len(set(sizes.tolist())) > 1:
                 raise ValueError("vectors must be of one length and hold no nulls")
             keys = np.asarray(ids.to_pylist(), str) if pa.types.is_string(ids.type) else ids.to_numpy()
-            name, buffer = f"part-{task}-{len(files):04d}.npz", io.BytesIO()
+            name, buffer = f"{WRITTEN}{task}-{len(files):04d}.npz", io.BytesIO()
             np.savez(buffer, ids=keys, vectors=flat.to_numpy().reshape(len(sizes), -1))
             with fs.open_output_stream(f"{at}/{name}") as f:
                 f.write(buffer.getbuffer())
@@ -228,7 +230,6 @@ class NpyWriter(DataSourceArrowWriter):
         # Without a manifest the folder's own arrays count, as they do when it is read.
         before = [f.rsplit("/", 1)[-1] for f in _files(self.path)]
         new = [f for m in messages if m for f in m.files]
-        before = [f for f in before if f not in set(new)]
         with fs.open_output_stream(f"{at}/{MANIFEST}") as f:
             f.write(json.dumps({"files": new if self.overwrite else before + new}).encode())
         if self.overwrite:

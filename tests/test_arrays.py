@@ -33,6 +33,16 @@ def test_round_trip_by_byte_ranges(src, tmp_path):
     assert len(list((tmp_path / "a").glob("*.npz"))) <= 3
 
 
+def test_files_of_failed_tasks_do_not_count(src, tmp_path):
+    at = tmp_path / "lost"
+    at.mkdir()
+    np.savez(at / f"{arrays.WRITTEN}00000-gone-0000.npz", ids=np.arange(3), vectors=np.ones((3, 2), np.float32))
+    np.savez(at / "own.npz", ids=np.array([7]), vectors=np.ones((1, 2), np.float32))
+    assert rows(src.read.format("npy").load(str(at))) == [(7, [1.0, 1.0])]
+    src.sql("SELECT 8L AS k, array(2f, 2f) AS v").write.format("npy").mode("append").save(str(at))
+    assert rows(src.read.format("npy").load(str(at))) == [(7, [1.0, 1.0]), (8, [2.0, 2.0])]
+
+
 def test_text_ids_doubles_and_files_of_several_batches(src, tmp_path, monkeypatch):
     d = src.range(20_000).selectExpr("concat('n', id) AS k", "array(cast(id AS double), 0.1D) AS v").coalesce(1)
     d.write.format("npy").mode("append").save(f"{tmp_path}/t")
