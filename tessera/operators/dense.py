@@ -16,6 +16,8 @@ from tessera.operators.ranking import top_k
 BLOCK = 4096
 #: Items of a shard that meets one block of queries.
 SHARD = 16_384
+#: Queries of a block that meet a shard at once: their scores are all that a task holds beside the two.
+STRIP = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,13 +42,18 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
     return F.transform(sums, lambda x: x / F.greatest(F.sqrt(F.aggregate(sums, F.lit(0.0), lambda t, y: t + y * y)), F.lit(1e-12)))
 
 
+def every(n: int) -> Column:
+    """Copies of a row for the numbers 0 to n - 1, of the type of pmod(xxhash64, n): keys of other types hash elsewhere,
+    and the two sides of a cogroup wouldn't meet."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+
 def all_scores(queries: DataFrame, items: DataFrame, q: str = "query_id", item: str = "item_id", vector: str = "vector", block: int = 256, shard: int = 4096) -> DataFrame:
     """(query, item, score) of a stated query set with every item, for channels that rank the whole corpus. Blocks of
     queries meet shards of items; both stay small, whatever the tables' sizes."""
     kind, kind_q = items.schema[item].dataType.simpleString(), queries.schema[q].dataType.simpleString()
     blocks, shards = max(1, -(-queries.count() // block)), max(1, -(-items.count() // shard))
     at = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     qs = queries.select(F.col(q).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", at("q", blocks)).withColumn("s", every(shards))
     its = items.select(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("s", at("i", shards)).withColumn("b", every(blocks))
 
@@ -82,12 +89,13 @@ def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int, q: str = "query
         for f in frames:
             if not len(f) or not len(ids):
                 continue
-            s = matrix @ np.stack(f["v"].to_numpy()).astype(np.float64).T
-            m = min(k, s.shape[1])
-            names = f["i"].to_numpy()
-            cut = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-            a, b = np.nonzero(s >= cut - 2e-6)  # what rounds to the edge's score stays for the window, which rounds first
-            yield pd.DataFrame({q: ids[a], item: names[b], "score": s[a, b]})
+            vectors, names = np.stack(f["v"].to_numpy()).astype(np.float64).T, f["i"].to_numpy()
+            m = min(k, len(names))
+            for at in range(0, len(ids), STRIP):
+                s = matrix[at : at + STRIP] @ vectors
+                cut = np.partition(s, len(names) - m, axis=1)[:, len(names) - m, None]
+                a, b = np.nonzero(s >= cut - 2e-6)  # what rounds to the edge's score stays for the window, which rounds first
+                yield pd.DataFrame({q: ids[at + a], item: names[b], "score": s[a, b]})
 
     flat = items.select(F.col(item).alias("i"), F.col(vector).alias("v"))
     if packed is not None:
@@ -98,12 +106,12 @@ def retrieve_top_k(queries: DataFrame, items: DataFrame, k: int, q: str = "query
     else:
         qs = queries.select(F.pmod(F.xxhash64(q), F.lit(blocks)).alias("b"), F.col(q).alias("q"), F.col(vector).cast("array<double>").alias("v"))
         shards = max(1, -(-items.count() // SHARD))  # as many as keep a shard small, however many items there are
-        its = flat.withColumn("s", F.pmod(F.xxhash64("i", F.lit(3)), F.lit(shards))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        each = qs.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        its = flat.withColumn("s", F.pmod(F.xxhash64("i", F.lit(3)), F.lit(shards))).withColumn("b", every(blocks))
+        each = qs.withColumn("s", every(shards))
 
         def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = list(against(left["q"].to_numpy(), np.stack(left["v"].to_numpy()) if len(left) else None, iter([right])))
-            return out[0] if out else pd.DataFrame({q: [], item: [], "score": []})
+            return pd.concat(out) if out else pd.DataFrame({q: [], item: [], "score": []})
 
         got = each.groupBy("b", "s").cogroup(its.groupBy("b", "s")).applyInPandas(both, schema)
     return top_k(got.withColumn("score", F.round("score", 6)), k, q=q, tie=item, positive=False)

@@ -78,6 +78,19 @@ def test_dense_blocks_and_shards_agree_with_one_block(spark, monkeypatch):
     assert len(every) == 8 * 40 and all(abs(every[a, b] - np.dot(v[a][1], v[b][1])) < 1e-5 for a, b in every)
 
 
+def test_blocks_meet_all_shards_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SHARD", 7)
+    monkeypatch.setattr(dense, "STRIP", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        items = spark.createDataFrame([(i, [float(i % 9), 1.0 + i]) for i in range(60)], "item_id long, vector array<double>")
+        q = items.where("item_id % 5 = 0").withColumnRenamed("item_id", "query_id")
+        one, many = ([tuple(r) for r in dense.retrieve_top_k(q, items, 3, block=b).orderBy("query_id", "rank").collect()] for b in (100, 3))
+        assert len(one) == 36 and one == many
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_hashed_vectors(spark):
     d = spark.createDataFrame([("red car",), ("car red",), ("",), ("blue boat",)], "t string").select(dense.hashed_vector(F.col("t"), 16).alias("v")).collect()
     assert d[0]["v"] == d[1]["v"] != d[3]["v"] and len(d[0]["v"]) == 16 and math.isclose(sum(x * x for x in d[0]["v"]), 1.0) and set(d[2]["v"]) == {0.0}
