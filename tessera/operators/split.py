@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tessera.sources.io import kept
 
 
+#: The parts of a holdout.
+SPLITS = ("validation", "ranker_train")
+
+
 def query_key(*fields: Column) -> Column:
     """One hash of the normalised search fields: equal fields, equal keys."""
     return F.sha2(F.concat_ws("\u0001", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields)), 256)
@@ -175,7 +179,7 @@ def build_holdout(events: DataFrame, asked: DataFrame, known_texts: DataFrame, s
     contexts = kept(e.select("qkey", "text", "stratum").distinct().join(groups.select("qkey"), "qkey", "left_semi"))
     total = min(sum(sizes), contexts.select("text").distinct().count())
     ahead = min(sizes[0], total // 4)
-    picked, log = sample_texts(contexts, asked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), {"validation": ahead, "ranker_train": total - ahead}, seed)
+    picked, log = sample_texts(contexts, asked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), dict(zip(SPLITS, (ahead, total - ahead), strict=True)), seed)
     picked = kept(picked)
     targets = kept(pairs.join(F.broadcast(picked.select("qkey")), "qkey", "left_semi"))  # at most the sizes' sum
     held = kept(targets.select("item_id").distinct())
@@ -183,7 +187,7 @@ def build_holdout(events: DataFrame, asked: DataFrame, known_texts: DataFrame, s
     if cold_share is None:
         cold_share = asked.join(known_texts.select("text").distinct().withColumn("known", F.lit(True)), "text", "left").agg(F.avg(F.col("known").isNull().cast("double"))).first()[0] or 0.0
     flagged, out = kept(cold_flags(picked, left)), None
-    for name in ("validation", "ranker_train"):
+    for name in SPLITS:
         part = cold_quota(flagged.where(F.col("split") == name), cold_share, seed + 2, "qkey")
         out = part if out is None else out.union(part)
     queries = kept(out.select("qkey", "text", "stratum", "split", F.col("forced").alias("cold")))
