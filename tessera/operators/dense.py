@@ -38,8 +38,10 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
     Texts without words give zeros."""
     slots = F.transform(T.tokens(text), lambda w: F.xxhash64(w))
     at = lambda h, i: F.when(F.pmod(h, F.lit(dim)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))).otherwise(F.lit(0.0))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(slots, F.lit(0.0), lambda t, h: t + at(h, i)))
-    return F.transform(sums, lambda x: x / F.greatest(F.sqrt(F.aggregate(sums, F.lit(0.0), lambda t, y: t + y * y)), F.lit(1e-12)))
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  a variable of a lambda: computed once a row
+    sums = bound(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(s, F.lit(0.0), lambda t, h: t + at(h, i))))
+    size = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, y: t + y * y)), F.lit(1e-12))
+    return bound(sums, lambda v: bound(size(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def every(n: int) -> Column:
