@@ -132,11 +132,13 @@ def audit(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 def contrastive_mask(batch: DataFrame, q: str = "query_id", item: str = "item_id", group: str = "batch") -> DataFrame:
     """(batch, a, b): pairs of rows of one batch that are no negatives of each other: same query or same item.
 
-    One equi-join by query and one by item, so rows meet only those they match.
+    One equi-join by query and one by item, so rows meet only those they match; a pair that has both comes by the query
+    alone, so the pairs (many more than the rows) need not meet again. `pos` names a row within its batch.
     """
-
-    def same(key: str) -> DataFrame:
-        x, y = batch.select(group, key, F.col("pos").alias("a")), batch.select(group, key, F.col("pos").alias("b"))
-        return x.join(y, [group, key]).where("a <> b").select(group, "a", "b")
-
-    return same(q).union(same(item)).distinct()
+    rows = batch.select(group, q, item, "pos").distinct()
+    x, y = (rows.select(group, F.col(q).alias(f"__q{n}"), F.col(item).alias(f"__i{n}"), F.col("pos").alias(n)) for n in ("a", "b"))
+    y = y.withColumnRenamed(group, "__g")
+    one = F.col(group) == F.col("__g")
+    by_query = x.join(y, one & (F.col("__qa") == F.col("__qb"))).where("a <> b")
+    by_item = x.join(y, one & (F.col("__ia") == F.col("__ib"))).where((F.col("a") != F.col("b")) & ~F.coalesce(F.col("__qa") == F.col("__qb"), F.lit(False)))
+    return by_query.select(group, "a", "b").union(by_item.select(group, "a", "b"))
