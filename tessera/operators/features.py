@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.numeric import flag, geo_blend, log_positive
 from tessera.operators.ranking import augment
+from tessera.operators.search import small
 
 #: The order of the features is a contract with trained models.
 FEATURES = [
@@ -100,8 +101,8 @@ def class_index(items: DataFrame, classes: DataFrame, cls: str = "class", item:
 
 
 def label(pool: DataFrame, truth: DataFrame, q: str = "query_id", item: str = "item_id") -> DataFrame:
-    """pool with `label` (1 where the pair is in the truth), every row kept."""
-    t = truth.select(q, item).distinct().withColumn("__t", F.lit(1))
+    """pool with `label` (1 where the pair is in the truth), every row kept. Few pairs of the truth go to the pool's rows."""
+    t, _ = small(truth.select(q, item).distinct().withColumn("__t", F.lit(1)))
     return pool.join(t, [q, item], "left").withColumn("label", F.coalesce("__t", F.lit(0)).cast("long")).drop("__t")
 
 
