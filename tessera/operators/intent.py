@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.ranking import softmax
-from tessera.operators.search import document_frequency, term_counts
+from tessera.operators.search import document_frequency, small, term_counts
 from tessera.sources.io import kept
 
 #: Weights of a text's words, of its characters, and of the filters beside it.
@@ -24,6 +24,11 @@ def class_counts(events: DataFrame, terms: DataFrame, text: str = "text", cls: s
     return n.join(terms, text).groupBy(cls, "term").agg(F.sum(F.col("n") * F.col("w")).alias("c"))
 
 
+def token_class_counts(rows: DataFrame, tok: Column, cls: str = "class") -> DataFrame:
+    """(class, term, c) of rows that each have a text of their own: a task sums up its tokens by class before any travels."""
+    return rows.select(cls, F.explode(tok).alias("term")).groupBy(cls, "term").agg(F.count(F.lit(1)).cast("double").alias("c"))
+
+
 def priors(events: DataFrame, cls: str = "class") -> DataFrame:
     """(class, n, prior): ln((n + 1) / (N + K))."""
     c = events.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
@@ -43,10 +48,16 @@ class Weights:
     extra: DataFrame
     cls: str = "class"
 
+    def by_term(self) -> DataFrame:
+        """(term, b, parts): a row a term, with the parts of the classes (k, p) that saw it; null if none did."""
+        e = self.extra.where(F.col(self.cls).isNotNull()).groupBy("term").agg(F.collect_list(F.struct(F.col(self.cls).alias("k"), F.col("part").alias("p"))).alias("parts"))
+        return self.terms.withColumnRenamed("part", "b").join(e, "term", "left")
+
     def table(self) -> DataFrame:
-        """(class, term, weight) of every class and term: for reports, as large as that."""
-        c, t, e = (d.withColumnRenamed("part", n) for d, n in ((self.classes, "a"), (self.terms, "b"), (self.extra, "c")))
-        return c.crossJoin(t).join(e, [self.cls, "term"], "left").select(self.cls, "term", (F.col("a") + F.col("b") + F.coalesce("c", F.lit(0.0))).alias("weight"))
+        """(class, term, weight) of every class and term: for reports, as large as that. Terms travel once, not once for each class."""
+        c, _ = small(self.classes.withColumnRenamed("part", "a"))
+        t = self.by_term().select("term", "b", F.map_from_entries("parts").alias("parts"))
+        return t.crossJoin(c).select(self.cls, "term", (F.col("a") + F.col("b") + F.coalesce(F.col("parts")[F.col(self.cls)], F.lit(0.0))).alias("weight"))
 
 
 def _counted(counts: DataFrame, vocabulary: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -77,13 +88,18 @@ def complement(counts: DataFrame, alpha: float = 0.1, vocabulary: DataFrame | No
 
 
 def predict(terms: DataFrame, weights: Weights, intercept: DataFrame, q: str = "query_id", temperature: float = 1.0) -> DataFrame:
-    """(query, class, score, prob): terms (query, term, w) outside the vocabulary add nothing."""
+    """(query, class, score, prob): terms (query, term, w) outside the vocabulary add nothing. They meet the weights once:
+    a row a term holds the parts of all classes that saw it."""
     cls = weights.cls
-    known = terms.join(weights.terms.withColumnRenamed("part", "b"), "term")
-    per = known.groupBy(q).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("b")).alias("tb"))
-    extra = known.join(weights.extra, "term").groupBy(q, cls).agg(F.sum(F.col("w") * F.col("part")).alias("e"))
-    classes = intercept.select(cls, "prior").join(weights.classes.withColumnRenamed("part", "a"), cls, "left")
-    s = terms.select(q).distinct().crossJoin(classes).join(per, q, "left").join(extra, [q, cls], "left")
+    kind = weights.extra.schema[cls].dataType
+    own = F.array(F.struct(F.lit(None).cast(kind).alias("k"), F.col("b").alias("p")))  # the term's part, under no class
+    each = terms.join(weights.by_term(), "term", "left").select(q, "w", F.explode(F.concat(own, F.coalesce("parts", F.slice(own, 1, 0)))).alias("x"))
+    sums = each.groupBy(q, F.col("x.k").alias("k")).agg(F.sum(F.when(F.col("x.p").isNotNull(), F.col("w"))).alias("n"), F.sum(F.col("w") * F.col("x.p")).alias("e"))
+    of = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "e")))
+    base = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c)))
+    per = sums.groupBy(q).agg(base("n").alias("n"), base("e").alias("tb"), F.map_from_entries(of).alias("es"))
+    classes, _ = small(intercept.select(cls, "prior").join(weights.classes.withColumnRenamed("part", "a"), cls, "left"))
+    s = per.crossJoin(classes).withColumn("e", F.col("es")[F.col(cls)])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     s = s.withColumn("score", F.col("prior") + zero("a") * zero("n") + zero("tb") + zero("e"))
     return s.select(q, cls, "score", softmax(F.col("score"), temperature, q).alias("prob"))
