@@ -33,7 +33,9 @@ def bigrams(spark, sf):
 @query(rf"""WITH w AS (SELECT p_partkey, ' ' || unnest({tok('p_name')}) || ' ' AS w FROM part), n AS (SELECT unnest([3, 4, 5]) AS n)
 SELECT p_partkey, substring(w, i::BIGINT, n) AS gram, count(*)::BIGINT AS n FROM (SELECT p_partkey, w, n, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS i FROM w, n WHERE n = 3 OR len(w) > n - 1) GROUP BY ALL""")
 def char_ngrams(spark, sf):
-    return search.term_counts(table(spark, sf, "part"), "p_partkey", T.char_grams(T.tokens(F.col("p_name")))).select("p_partkey", F.col("term").alias("gram"), F.col("tf").alias("n"))
+    p = table(spark, sf, "part").select("p_partkey", "p_name")
+    n = p.agg(F.sum(F.length("p_name")) * 3).first()[0] or 0  # at most so many n-grams, about
+    return search.term_counts(search.by_item(p, n, "p_partkey"), "p_partkey", T.char_grams(T.tokens(F.col("p_name")))).select("p_partkey", F.col("term").alias("gram"), F.col("tf").alias("n"))
 
 
 _BIN = "CASE WHEN length({c}) <= 14 THEN 0 WHEN length({c}) <= 21 THEN 1 WHEN length({c}) <= 29 THEN 2 WHEN length({c}) <= 39 THEN 3 ELSE 4 END"
