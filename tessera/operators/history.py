@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.numeric import distance_km
 from tessera.operators.ranking import top_k
-from tessera.operators.search import char_tfidf, unit
+from tessera.operators.search import by_item, char_tfidf, small, unit
+from tessera.sources.io import kept
 
 
 def click_counts(events: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
@@ -94,7 +95,12 @@ def vote_features(near: DataFrame, votes: DataFrame, text: str = "text", cls: st
 
 
 def click_evidence(near: DataFrame, clicks: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """log1p of the text's own clicks, plus 0.3 sim^5 log1p of each neighbour's (the text is a neighbour of itself)."""
-    own = clicks.select(text, item, F.log1p(F.col("n").cast("double")).alias("e"))
-    far = near.join(clicks.withColumnRenamed(text, "neighbour"), "neighbour").select(text, item, (F.lit(0.3) * F.pow("sim", F.lit(5.0)) * F.log1p(F.col("n").cast("double"))).alias("e"))
-    return own.union(far).groupBy(text, item).agg(F.sum("e").alias("evidence"))
+    """log1p of the text's own clicks, plus 0.3 sim^5 log1p of each neighbour's (the text is a neighbour of itself).
+    Clicks are dealt by item and meet the neighbours there, so what they give is summed up where it is made."""
+    own = clicks.select(F.col(text), F.col(text).alias("neighbour"), F.lit(1.0).alias("share")).distinct()
+    shares, _ = small(near.select(text, "neighbour", (F.lit(0.3) * F.pow("sim", F.lit(5.0))).alias("share")).union(own))
+    c = kept(clicks)
+    most = shares.groupBy("neighbour").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    c = by_item(c, c.count() * most, item).select(F.col(text).alias("__of"), item, "n")
+    e = c.join(shares, F.col("__of").eqNullSafe(F.col("neighbour"))).select(text, item, (F.col("share") * F.log1p(F.col("n").cast("double"))).alias("e"))
+    return e.groupBy(text, item).agg(F.sum("e").alias("evidence"))
