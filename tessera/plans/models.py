@@ -5,9 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import boost, features, ranking
-from tessera.plans.retrieval import UNION_CTE, candidate_union
+from tessera.operators.search import small
+from tessera.plans.retrieval import UNION_CTE, candidate_union, within_quotas
 from tessera.queries import query
-from tessera.sources.adapters import POOL_CTE, scored, table, truth
+from tessera.sources.adapters import POOL_CTE, table, truth
 from tessera.sources.io import kept, kept_folder
 
 BASE = ["bm25", "cov", "n_chars"]
@@ -23,11 +24,11 @@ ENSEMBLE = [
 CANDIDATES_CTE = f"{POOL_CTE}, {UNION_CTE}, cand AS (SELECT pool.*, t.item_id IS NOT NULL AS label FROM pool JOIN un USING (query_id, item_id) LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (query_id, item_id))"
 
 
-def rank_pool(spark, sf):
+def rank_pool(spark, sf, of=None):
     """The candidates of all channels, which their quotas bound, with labels, features and windows; written once."""
-    p = kept(scored(spark, sf))
-    u = candidate_union(spark, sf, p).select("query_id", "item_id")
-    p = features.label(p.join(u, ["query_id", "item_id"], "left_semi"), truth(spark, sf)).withColumn("n_chars", F.col("n_chars").cast("double"))
+    p = within_quotas(spark, sf)
+    u, _ = small(candidate_union(spark, sf, p).select("query_id", "item_id"))  # few pairs: the others needn't travel
+    p = features.label(p.join(u, ["query_id", "item_id"], "left_semi"), truth(spark, sf) if of is None else of).withColumn("n_chars", F.col("n_chars").cast("double"))
     return kept(ranking.augment(p, ["bm25", "cov"]).select("query_id", "item_id", "label", *BASE, *WINDOWS))
 
 
@@ -104,8 +105,9 @@ sr AS (SELECT tree + 1 AS stage, round(avg(recall), 6) AS recall FROM rc GROUP B
 SELECT stage::BIGINT AS stage, recall, row_number() OVER (ORDER BY recall DESC, stage) = 1 AS best FROM sr""")
 def staged_recalls(spark, sf):
     """Recall at 3 after each tree of the stated ensemble, and the earliest best stage."""
-    s = boost.score(rank_pool(spark, sf), stated(), staged=True)
-    r = kept(boost.staged_recall(s, truth(spark, sf), 3).withColumn("recall", F.round("recall", 6)))
+    t = kept(truth(spark, sf))
+    s = boost.score(rank_pool(spark, sf, t), stated(), staged=True)
+    r = kept(boost.staged_recall(s, t, 3).withColumn("recall", F.round("recall", 6)))
     best = boost.best_stage(r).select("stage", F.lit(True).alias("best"))
     return r.join(F.broadcast(best), "stage", "left").select("stage", "recall", F.coalesce("best", F.lit(False)).alias("best"))  # one row
 
@@ -182,7 +184,8 @@ _VARIANTS = {"lambda15": boost.Settings(rounds=8, leaves=15), "logistic_depth3":
 @query()
 def model_registry(spark, sf):
     """Models side by side: recall of their training and validation queries, and which is chosen; no SQL."""
-    models = registry(rank_pool(spark, sf), truth(spark, sf), _VARIANTS, BASE + WINDOWS, F.col("query_id") % 2 == 0)
+    t = kept(truth(spark, sf))
+    models = registry(rank_pool(spark, sf, t), t, _VARIANTS, BASE + WINDOWS, F.col("query_id") % 2 == 0)
     best = boost.choose(models)
     rows = [(n, m.metrics["train_recall"], m.metrics["validation_recall"], m.metrics["trees"], len(m.nodes), m.fingerprint(), n == best) for n, m in models.items()]
     return spark.createDataFrame(rows, "name string, train_recall double, validation_recall double, trees int, n_nodes int, fingerprint string, chosen boolean")
@@ -191,7 +194,8 @@ def model_registry(spark, sf):
 @query()
 def refit_answers(spark, sf):
     """The chosen model refitted on all queries, stored, loaded, checked, and used for answers, known items first; no SQL."""
-    p, t = rank_pool(spark, sf), truth(spark, sf)
+    t = kept(truth(spark, sf))
+    p = rank_pool(spark, sf, t)
     models = registry(p, t, _VARIANTS, BASE + WINDOWS, F.col("query_id") % 2 == 0)
     best = models[boost.choose(models)]
     at = f"{kept_folder(spark)}/bundle-{uuid.uuid4().hex}"
