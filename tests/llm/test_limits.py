@@ -4,9 +4,10 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, lines, suffix
+from tessera.llm import bpe, common, lines, lm, suffix
 
 
 def _shuffled(spark) -> int:
@@ -138,3 +139,18 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     packed = bpe._Packed(h[order], check[order], np.arange(3, dtype=np.uint32)[order], np.ones(3, np.uint32), np.array([10, 11, 12], np.uint16))
     at = packed.places([b"same2", b"same3", b"other", b"same1", b"absent"])
     assert [int(packed.ids[packed.start[i]]) if i >= 0 else None for i in at] == [11, None, 12, 10, None]
+
+
+def test_lm_texts_reach_a_worker_in_small_batches(spark):
+    """Batches of 64 MB, held several times over by the JVM and the worker, took an executor beyond its memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 64 << 20)
+    try:
+        d = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" word ")), 1000).alias("text"))
+        out = lm.score(d)
+        sizes = d.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").agg(F.sum("n"), F.max("n")).first()
+        assert out.where("n_tokens = 2001").count() == 2000
+        assert sizes[0] > 20_000_000 and sizes[1] < 6_000_000
+    finally:
+        spark.conf.set(name, before)
