@@ -154,3 +154,32 @@ def test_lm_texts_reach_a_worker_in_small_batches(spark):
         assert sizes[0] > 20_000_000 and sizes[1] < 6_000_000
     finally:
         spark.conf.set(name, before)
+
+
+def test_suffix_rows_to_buckets_share_batches_and_large_inputs_have_fewer(spark, monkeypatch):
+    """A chunk's rows to its sorting tasks go many to a batch; beyond LARGE, chunks and tasks take twice as much."""
+    bucket = np.repeat(np.arange(200), 5)
+    columns = [np.arange(1000, dtype=np.uint64) * np.uint64(1 << 40), np.arange(1000, dtype=np.uint64)]
+    batches = list(suffix._sent(bucket, columns, chunk=3))
+    assert len(batches) == 1 and batches[0].num_rows == 200 and set(batches[0].column("chunk").to_pylist()) == {3}
+    back = [suffix._unpack(x, 2) for x in batches[0].column("c").to_pylist()]
+    assert all(np.array_equal(np.concatenate([b[i] for b in back]), c) for i, c in enumerate(columns))
+    mixed = bucket[np.random.default_rng(1).permutation(1000)]
+    assert all(np.array_equal(np.arange(1000)[part], np.flatnonzero(mixed == b)) for b, part in suffix._slices(mixed)) and not list(suffix._slices(bucket[:0]))
+
+    r = random.Random(7)
+    passages = ["".join(r.choices("abcdefgh  ", k=300)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(r.sample(passages, 3)) + str(i)) for i in range(120)], "doc_id long, text string")
+    monkeypatch.setattr(suffix, "CHUNK", 1 << 14)
+    monkeypatch.setattr(suffix, "BUCKET_KEYS", 10_000)
+    sent, real = [], suffix.repeated_places
+
+    def places(chunks, n_bytes):
+        sent.append(chunks.count() * -(-n_bytes // (suffix.BUCKET_KEYS * suffix._share(n_bytes))))
+        return real(chunks, n_bytes)
+
+    monkeypatch.setattr(suffix, "repeated_places", places)
+    plain = sorted(map(tuple, suffix.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix, "LARGE", 0)
+    assert sorted(map(tuple, suffix.remove_repeats(docs).collect())) == plain and any(x[2] for x in plain)
+    assert sent[1] < 0.5 * sent[0]
