@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import ranking, validate
@@ -113,3 +114,13 @@ def test_answer_file(spark, tmp_path):
     digest = io.write_answers(d, str(tmp_path / "a.csv"))
     assert (tmp_path / "a.csv").read_bytes() == b"query_id,answer\r\na,\r\nb,2 1\r\n"
     assert digest == io.file_sha256(str(tmp_path / "a.csv"))
+
+
+def test_ranged_ranks_are_those_of_the_whole_list(spark):
+    """Long lists, one score for half of them, and ranges of few rows: no task puts a query's whole list in order."""
+    d = spark.range(3000).select((F.col("id") % 2).alias("query_id"), F.col("id").alias("item_id"), F.when(F.col("id") % 4 < 2, 1.0).otherwise((F.col("id") * 37 % 101).cast("double")).alias("a"), (F.col("id") % 7 / 7).alias("b"))
+    got = ranking.ranged_ranks(d, {"x": "a", "y": "b"}, rows=100)
+    w = lambda s: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(s), "item_id")).cast("long")
+    want = d.withColumn("x", w("a")).withColumn("y", w("b"))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert ranking.ranged_ranks(d.limit(0), {"x": "a"}).count() == 0
