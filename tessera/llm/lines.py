@@ -12,6 +12,8 @@ from tessera.llm.common import SMALL_ROWS, discard, free_names, materialize, quo
 K, PERCENT = 5, 80
 #: Lines with more tokens than this are verified by a join of pairs instead of with their tokens beside each posting.
 LONG = 512
+#: Places of shingles from which on a line tries to make do with a part of its tokens.
+MANY = 16
 #: White space inside a line that isn't a blank.
 OTHER_SPACE = "\t\x0b\f\r"
 
@@ -49,6 +51,39 @@ def _prefix(n, percent: int):
     return n - F.ceil(n * percent / 100.0 - 1e-9).cast("int") + 1
 
 
+def _least(n):
+    """Shared tokens that the screen asks of sets of that size; grows with n and is never above it."""
+    return F.lit(1) + (n >= 8).cast("int") + (n >= 16).cast("int")
+
+
+def _heads(lines: DataFrame, k: int, percent: int) -> DataFrame:
+    """(h1, least, tok): the tokens of each line (h1, line) that the screen goes by, and how many of them another line
+    has to have.
+
+    Tokens are ordered by the sign of their first word's hash, then by their own. A line with enough of negative sign
+    makes only these. Sets that match share their m first common tokens inside prefixes of _prefix() + m - 1, for any m
+    up to their intersection; places of shingles are counted for the size, which is no less, and what a line sends for
+    the size where it has to be no more.
+    """
+    sign = -(1 << 63)
+    d = lines.select("h1", F.array_remove(F.split(F.lower("line"), " "), "").alias("w"))
+    # A line of less than k words has no places: its words are hashed together.
+    d = d.select("h1", F.when(F.size("w") >= k, F.transform("w", lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64("w"))).alias("h"), F.greatest(F.size("w") - k + 1, F.lit(0)).alias("places"))
+    size = F.greatest("places", F.lit(1))
+    d = d.select("h1", "h", "places", (_prefix(size, percent) + _least(size) - 1).alias("p"))
+
+    def shingle(i):
+        return F.xxhash64(*(F.get("h", i + j) for j in range(k)))
+
+    some = F.transform("h", lambda x, i: F.when((x < 0) & (i < F.col("places")), shingle(i).bitwiseOR(F.lit(sign))))
+    every = F.transform(F.slice("h", F.lit(1), F.col("places")), lambda x, i: F.when(x < 0, shingle(i).bitwiseOR(F.lit(sign))).otherwise(shingle(i).bitwiseAND(F.lit(~sign))))
+    d = d.select("h1", "h", "places", "p", F.when(F.col("places") >= MANY, F.array_distinct(F.array_compact(some))).alias("some"))
+    full = F.when(F.col("places") == 0, F.col("h")).otherwise(F.array_distinct(every))
+    d = d.select("h1", F.slice(F.sort_array(F.when(F.size("some") >= F.col("p"), F.col("some")).otherwise(full)), F.lit(1), F.col("p")).alias("t"))
+    # From explode() Spark infers a filter, which makes all of the above once more.
+    return d.select("h1", _least(F.ceil(F.size("t") * percent / 100.0 - 1e-9)).cast("byte").alias("least"), F.explode_outer("t").alias("tok"))
+
+
 def _near(kept: DataFrame, percent: int) -> DataFrame:
     """(h1, h2) of the lines in `kept` (id, h1, h2, at, toks), all distinct, that match an earlier one; deletes `kept`.
 
@@ -59,7 +94,8 @@ def _near(kept: DataFrame, percent: int) -> DataFrame:
     """
     common = kept.select("id", F.explode("toks").alias("tok")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1")
     g = common.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
-    g = materialize(g.select("id", F.col("t.tok").alias("t")).join(kept.select("id", "h1", "h2", "at", F.size("toks").alias("n")), "id"))
+    g = g.select("id", F.col("t.tok").alias("t")).join(kept.select("id", "h1", "h2", "at", F.size("toks").alias("n")), "id")
+    g = materialize(g.where(F.size("t") * 100 >= F.col("n") * percent))  # an intersection has no other tokens
     discard(kept)
     posts = g.select("id", "at", "n", F.size("t").alias("m"), "t", F.posexplode("t").alias("i", "tok")).withColumn("p", F.col("n") - F.col("m") + F.col("i"))
     posts = posts.where(F.col("p") < _prefix(F.col("n"), percent))
@@ -99,9 +135,8 @@ def removed_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str
     (lower case), or all of its words as one token where there are fewer than k; lines without a word are neither
     removed nor compared.
 
-    Equal lines become one line first. Screening: every line's prefix under an order by hash goes by token and size;
-    sizes of lines that share a token stand in order, so a line whose neighbours there are too short or too long can't
-    match through it. Lines left with no token drop out, without loss. The join by rarity runs on the rest.
+    Equal lines become one line first. Screening: every line's prefix under an order by hash goes by token; lines of
+    which too few of these tokens stand in another line drop out, without loss. The join by rarity runs on the rest.
     """
     at = F.struct("doc", "row", "pos")
     lines = _lines(docs, key, text)
@@ -110,12 +145,11 @@ def removed_lines(docs: DataFrame, k: int = K, percent: int = PERCENT, key: str
     copies = materialize(places.join(sized(twice, small_rows), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(at).alias("first")))
     # Rows that repeat a key and its text repeat their lines at the same places, and no place comes before itself.
     once = lines.withColumn("at", at).join(sized(copies, small_rows), ["h1", "h2"], "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(F.col("at")))
+    by = Window.partitionBy("tok").orderBy("tok")  # any order does
+    heads = _heads(once, k, percent).withColumn("before", F.lag("least").over(by)).withColumn("after", F.lead("least").over(by))
+    hits = heads.where(F.coalesce("before", "after").isNotNull()).groupBy("h1").agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least"))
+    alive = materialize(hits.where("c >= least").select("h1"))
     words, tokens = line_tokens(F.col("line"), k)
-    made = once.select("h1", words.alias("w")).select("h1", tokens(F.col("w")).alias("toks"))
-    heads = made.select("h1", F.size("toks").alias("n"), F.explode(F.slice(F.sort_array("toks"), F.lit(1), _prefix(F.size("toks"), percent))).alias("tok"))
-    by = Window.partitionBy("tok").orderBy("n")
-    heads = heads.withColumn("shorter", F.lag("n").over(by)).withColumn("longer", F.lead("n").over(by))
-    alive = materialize(heads.where((F.col("shorter") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("longer") * percent)).select("h1").distinct())
     kept = once.join(sized(alive, small_rows), "h1", "left_semi").select("h1", "h2", "at", words.alias("w")).select("h1", "h2", "at", tokens(F.col("w")).alias("toks"))
     kept = materialize(kept.withColumn("id", F.monotonically_increasing_id()))
     near = _near(kept, percent).withColumn("near", F.lit(True))

@@ -183,3 +183,40 @@ def test_suffix_rows_to_buckets_share_batches_and_large_inputs_have_fewer(spark,
     monkeypatch.setattr(suffix, "LARGE", 0)
     assert sorted(map(tuple, suffix.remove_repeats(docs).collect())) == plain and any(x[2] for x in plain)
     assert sent[1] < 0.5 * sent[0]
+
+
+def test_lines_that_share_one_passage_are_screened_out(spark, monkeypatch):
+    rows = []
+    for i in range(40):
+        for j in range(2):
+            words = [f"w{i}x{j}x{n}" for n in range(60)]
+            words[20:25] = [f"p{i}x{n}" for n in range(5)]  # one of 56 shingles
+            rows.append((2 * i + j, " ".join(words)))
+    seen, near = [], lines._near
+    monkeypatch.setattr(lines, "_near", lambda kept, percent: seen.append(kept.count()) or near(kept, percent))
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen == [0] and not any(r["n_removed"] for r in got)
+
+
+def test_the_screen_of_lines_loses_none(spark):
+    r = random.Random(11)
+    texts, few = [], [f"v{i}" for i in range(9)]
+    for i in range(60):
+        n = r.choice([3, 5, 9, 12, 15, 19, 20, 24, 40, 90])
+        words = [r.choice(few) if i % 3 == 0 else f"W{r.randrange(10**6)}é" for _ in range(n)]  # some repeat their shingles
+        texts.append(" ".join(words))
+        for _ in range(4):
+            other = list(words)
+            for _ in range(r.randrange(1, 2 + n // 20)):
+                other[r.choice([0, n - 1, r.randrange(n)])] = f"new{r.randrange(10**6)}"
+            cut = r.randrange(1 + n // 5)
+            texts.append(" ".join(other[cut:]).upper())
+    r.shuffle(texts)
+    seen, want = [], {}
+    for i, text in enumerate(texts):
+        w = text.lower().split()
+        s = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+        want[i] = int(any(len(s & t) * 100 >= 80 * len(s | t) for t in seen))
+        seen.append(s)
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x["doc_id"]: x["n_removed"] for x in got.collect()} == want and 30 < sum(want.values()) < 270
