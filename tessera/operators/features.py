@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.numeric import flag, geo_blend, log_positive
-from tessera.operators.ranking import augment
+from tessera.operators.ranking import augment, augment_counted
 from tessera.operators.search import small
 
 #: The order of the features is a contract with trained models.
@@ -25,9 +25,9 @@ QUOTAS = {"word": 250, "char": 150, "dense": 250, "geo_bm25": 300, "geo_dense":
 TINY_QUOTAS = {"tiny": 200, "tiny_geo": 450, "tiny_microcat": 250, "tiny_rule": 150}
 
 
-def channel_scores(w: Column, c: Column, d: Column, geo: Column, vote: Column, supervised: Column) -> dict[str, Column]:
-    """Blends of relative lexical, character and dense scores with place and class."""
-    m = F.greatest(vote, supervised * 0.7)
+def channel_scores(w: Column, c: Column, d: Column, geo: Column, vote: Column, supervised: Column, greatest=F.greatest) -> dict[str, Column]:
+    """Blends of relative lexical, character and dense scores with place and class; of matrices with NumPy's maximum."""
+    m = greatest(vote, supervised * 0.7)
     return {
         "geo_bm25": w * (geo * 0.85 + 0.15),
         "geo_dense": d * (geo * 0.85 + 0.15),
@@ -37,10 +37,11 @@ def channel_scores(w: Column, c: Column, d: Column, geo: Column, vote: Column, s
     }
 
 
-def all_features(base: DataFrame) -> DataFrame:
-    """The 41 base features and, after them, the three pool windows of each of the seven sources: 62 columns in order."""
+def all_features(base: DataFrame, counted: bool = False) -> DataFrame:
+    """The 41 base features and, after them, the three pool windows of each of the seven sources: 62 columns in order.
+    counted: the windows come from counts of each score, so base is made twice, and its rows aren't sent."""
     names = [f"pool_{k}_{s}" for s in WINDOW_SOURCES for k in ("percentile", "gap_best", "gap_50")]
-    return augment(base, WINDOW_SOURCES).select("query_id", "item_id", *FEATURES, *names)
+    return (augment_counted if counted else augment)(base, WINDOW_SOURCES).select("query_id", "item_id", *FEATURES, *names)
 
 
 def long_channels(pool: DataFrame, columns: dict[str, str], q: str = "query_id", item: str = "item_id") -> DataFrame:

@@ -77,10 +77,11 @@ def text_vectors(texts: DataFrame, text: str = "text") -> DataFrame:
     return unit(both, text)
 
 
-def neighbours(vectors: DataFrame, k: int = 25, least: float = 0.10, text: str = "text") -> DataFrame:
-    """(text, neighbour, sim): each text's k most similar texts, itself among them, above the least similarity."""
+def neighbours(vectors: DataFrame, k: int = 25, least: float = 0.10, text: str = "text", of: DataFrame | None = None) -> DataFrame:
+    """(text, neighbour, sim): each text's k most similar texts, itself among them, above the least similarity; with `of`
+    (text) of these texts only."""
     other = vectors.select("term", F.col(text).alias("neighbour"), F.col("w").alias("v"))
-    s = vectors.join(other, "term").groupBy(text, "neighbour").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("sim"))
+    s = (vectors if of is None else vectors.join(of.select(text), text, "left_semi")).join(other, "term").groupBy(text, "neighbour").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("sim"))
     return top_k(s.where(F.col("sim") > least), k, "sim", text, "neighbour").select(text, "neighbour", "sim")
 
 
@@ -94,11 +95,17 @@ def vote_features(near: DataFrame, votes: DataFrame, text: str = "text", cls: st
     return j.select(text, cls, F.when(F.col("known"), F.coalesce("vote", F.lit(0.0)) * 0.75 + p * 0.25).otherwise(p).alias("vote"))
 
 
+def click_shares(near: DataFrame, clicks: DataFrame, text: str = "text") -> DataFrame:
+    """(text, neighbour, share): what a click of the neighbour counts for the text; its own count whole, beside its share
+    as its own neighbour."""
+    own = clicks.select(F.col(text), F.col(text).alias("neighbour"), F.lit(1.0).alias("share")).distinct()
+    return near.select(text, "neighbour", (F.lit(0.3) * F.pow("sim", F.lit(5.0))).alias("share")).union(own)
+
+
 def click_evidence(near: DataFrame, clicks: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
     """log1p of the text's own clicks, plus 0.3 sim^5 log1p of each neighbour's (the text is a neighbour of itself).
     Clicks are dealt by item and meet the neighbours there, so what they give is summed up where it is made."""
-    own = clicks.select(F.col(text), F.col(text).alias("neighbour"), F.lit(1.0).alias("share")).distinct()
-    shares, _ = small(near.select(text, "neighbour", (F.lit(0.3) * F.pow("sim", F.lit(5.0))).alias("share")).union(own))
+    shares, _ = small(click_shares(near, clicks, text))
     c = kept(clicks)
     most = shares.groupBy("neighbour").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     c = by_item(c, c.count() * most, item).select(F.col(text).alias("__of"), item, "n")
