@@ -43,7 +43,7 @@ class Block:
     rounded: channels whose sums are rounded to six digits, as search.search() does.
     """
 
-    def __init__(self, ids: list, vectors: np.ndarray, terms: dict[str, list[tuple]], rounded: set[str]):
+    def __init__(self, ids: list, vectors: np.ndarray | None, terms: dict[str, list[tuple]], rounded: set[str]):
         """terms: by channel (query, term, weight)."""
         self.ids, self.vectors, self.rounded, self.terms = np.array(ids), vectors, rounded, {}
         at = {q: i for i, q in enumerate(ids)}
@@ -58,10 +58,10 @@ class Block:
         return spark.sparkContext.broadcast((self.ids, self.vectors, self.terms, self.rounded))
 
 
-def scores(block: tuple, vectors: pa.Array, postings: pa.Array) -> dict[str, np.ndarray]:
-    """Matrices of items by queries: each channel's sums, and `dense`."""
+def scores(block: tuple, vectors: pa.Array | None, postings: pa.Array) -> dict[str, np.ndarray]:
+    """Matrices of items by queries: each channel's sums, and `dense` if there are vectors."""
     ids, of_queries, terms, rounded = block
-    n, m = len(vectors), len(ids)
+    n, m = len(postings), len(ids)
     flat = postings.flatten()
     row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(postings), 0).to_numpy(zero_copy_only=False))
     channel, term, weight = (flat.field(i) for i in range(3))
@@ -78,8 +78,9 @@ def scores(block: tuple, vectors: pa.Array, postings: pa.Array) -> dict[str, np.
             if len(w):  # or the zeros would be whole numbers
                 found = np.bincount(np.repeat(row[hit], each) * m + queries[place], weights=w, minlength=n * m)
         out[k] = (np.round(found, 6) if k in rounded else found).reshape(n, m)
-    v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    out["dense"] = np.round(v @ of_queries.T, 6)
+    if vectors is not None:
+        v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        out["dense"] = np.round(v @ of_queries.T, 6)
     return out
 
 
@@ -88,7 +89,7 @@ def _parts(block: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa
     for b in batches:
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
-            yield part, scores(block, part.column("vector"), part.column("postings"))
+            yield part, scores(block, part.column("vector") if "vector" in part.schema.names else None, part.column("postings"))
 
 
 def best(items: DataFrame, block: Block, names: list[str], item: str = "item_id") -> dict[str, np.ndarray]:
@@ -102,7 +103,7 @@ def best(items: DataFrame, block: Block, names: list[str], item: str = "item_id"
                 most[k] = np.maximum(most[k], s[k].max(axis=0))
         yield pa.RecordBatch.from_pydict({"q": np.arange(len(shared.value[0])), **most})
 
-    rows = items.select("vector", "postings").mapInArrow(run, "q long, " + ", ".join(f"`{k}` double" for k in names)).groupBy("q").agg(*(F.max(k).alias(k) for k in names)).collect()
+    rows = items.select(*(c for c in ("vector", "postings") if c in items.columns)).mapInArrow(run, "q long, " + ", ".join(f"`{k}` double" for k in names)).groupBy("q").agg(*(F.max(k).alias(k) for k in names)).collect()
     out = {k: np.zeros(len(block.ids)) for k in names}
     for r in rows:
         for k in names:
@@ -185,3 +186,17 @@ def chosen(items: DataFrame, block: Block, columns: list[str], always: str, kind
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pairs], [*columns, "pairs"]).filter(has)
 
     return items.select(*columns, "vector", "postings", "picked").mapInArrow(run, schema)
+
+
+def sums(items: DataFrame, block: Block, weights: dict[str, np.ndarray], item: str = "item_id", q: str = "query_id", kind_q: str = "bigint") -> DataFrame:
+    """(query, item, score): channels' scores, each times the query's weight, summed up; positive ones only."""
+    shared = block.shared(items.sparkSession)
+    kind = items.schema[item].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, s in _parts(shared.value, batches):
+            total = sum(s[k] * w for k, w in weights.items())
+            a, b = np.nonzero(total > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[0][b]), part.column(item).take(pa.array(a)), pa.array(total[a, b])], [q, item, "score"])
+
+    return items.select(item, "postings").mapInArrow(run, f"`{q}` {kind_q}, `{item}` {kind}, score double")
