@@ -55,3 +55,21 @@ def test_hybrid_scores_of_blocks_are_those_of_tables_and_pairs_are_not_sent(spar
     got, want = ({(r["query_id"], r["item_id"]): r["score"] for r in d.where("score > 0").collect()} for d in (asked, whole))
     assert got == want and {q for q, _ in got} == {1, 2, 4}
     assert "Exchange" not in asked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_base_features_meets_items_once_and_rounds_without_decimals(spark, tmp_path):
+    from tessera.queries import QUERIES, SQL
+
+    docs = [(i, ["red lamp shines", "a red lamp", "blue Red  lamp blue", "", "lamp"][i % 5] + f" w{i}", "en", f"src{i % 3}", 10 + i) for i in range(40)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", [(0, "red lamp"), (3, "lamp w7 lamp"), (5, "none")], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    d = QUERIES["base_features"](spark, str(tmp_path))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "Window" not in plan and plan.count("n_chars") > 0
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(SQL["base_features"]).fetchall()
+    assert sorted(map(tuple, d.collect())) == sorted(want) and want
