@@ -192,11 +192,12 @@ def sums(items: DataFrame, block: Block, weights: dict[str, np.ndarray], item: s
     """(query, item, score): channels' scores, each times the query's weight, summed up; positive ones only."""
     shared = block.shared(items.sparkSession)
     kind = items.schema[item].dataType.simpleString()
+    whole = {"smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}.get(kind_q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, s in _parts(shared.value, batches):
             total = sum(s[k] * w for k, w in weights.items())
             a, b = np.nonzero(total > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[0][b]), part.column(item).take(pa.array(a)), pa.array(total[a, b])], [q, item, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[0][b], whole), part.column(item).take(pa.array(a)), pa.array(total[a, b])], [q, item, "score"])
 
     return items.select(item, "postings").mapInArrow(run, f"`{q}` {kind_q}, `{item}` {kind}, score double")

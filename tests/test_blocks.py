@@ -49,7 +49,7 @@ def test_hybrid_scores_of_blocks_are_those_of_tables_and_pairs_are_not_sent(spar
     monkeypatch.setattr(blocks, "BLOCK", 2)
     texts = [(i, f"word{i % 4} red lamp" if i % 3 else "", f"en src{i % 2}", " ".join(["word1 red", "lamp blue", "word2"][: i % 4])) for i in range(30)]
     items = spark.createDataFrame(texts, "item_id long, title string, params string, description string")
-    queries = spark.createDataFrame([(1, "red lamp blue"), (2, "lamp word2 en"), (3, "absent"), (4, "redder lamps")], "query_id long, text string")
+    queries = spark.createDataFrame([(1, "red lamp blue"), (2, "lamp word2 en"), (3, "absent"), (4, "redder lamps")], "query_id int, text string")
     cfg, three = search.SparseConfig(max_features=None, description_chars=None), {n: n for n in ("title", "params", "description")}
     asked, whole = (search.SparseRetriever(items, three, cfg=cfg, queries=q).scores(queries, "hybrid") for q in (queries, None))
     got, want = ({(r["query_id"], r["item_id"]): r["score"] for r in d.where("score > 0").collect()} for d in (asked, whole))
